@@ -26,13 +26,19 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
     return register
 
 
+# Halves are lifted a little before rounding, on both sides, so that neither the order of a sum nor
+# an engine's way to round decimals can tip them. Adding 0.0 turns a negative zero into zero.
+LIFT = 0.001
+
+
 def out(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Comparable output: doubles rounded, dates as text."""
     columns = []
     for field in df.schema:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), special.get(field.name, digits))
+            scale = 10.0 ** special.get(field.name, digits)
+            c = F.rint(c.cast("double") * scale + LIFT) / scale + 0.0
         elif isinstance(field.dataType, (T.DateType, T.TimestampNTZType, T.TimestampType)):
             c = c.cast("string")
         columns.append(c.alias(field.name))
@@ -40,5 +46,6 @@ def out(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
 
 
 def r(expression: str, name: str | None = None, digits: int = 6) -> str:
-    """SQL for a rounded double; adding 0.0 turns a negative zero into zero."""
-    return f"round({expression}, {digits}) + 0.0 AS {name or expression}"
+    """SQL for a double rounded as in `out`."""
+    scale = f"1e{digits}"
+    return f"round(({expression}) * {scale} + {LIFT}) / {scale} + 0.0 AS {name or expression}"

@@ -48,14 +48,14 @@ def denoise_long_series(spark, sf):
 
 
 @query("pct_change", f"""SELECT province, fsa, CAST(week_end AS VARCHAR) AS week_end,
-  {r('qty / lag(qty) OVER w - 1', 'qty')}, {r('price / lag(price) OVER w - 1', 'price')}
+  {r('qty / nullif(lag(qty) OVER w, 0) - 1', 'qty')}, {r('price / nullif(lag(price) OVER w, 0) - 1', 'price')}
   FROM pos_week WINDOW w AS (PARTITION BY province, fsa ORDER BY pos_week.week_end)""", v.POS_WEEK)
 def pct_change(spark, sf):
     weekly = v.pos_week(spark, sf).select("province", "fsa", "week_end", "qty", "price")
     return out(series.pct_change(weekly, ["province", "fsa"], ["week_end"], ["qty", "price"], one_row_per_date=True))
 
 
-@query("pct_change_long_series", f"""SELECT event_type, event_id, {r('value / lag(value) OVER w - 1', 'value')}
+@query("pct_change_long_series", f"""SELECT event_type, event_id, {r('value / nullif(lag(value) OVER w, 0) - 1', 'value')}
   FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def pct_change_long_series(spark, sf):
     data = v.table(spark, sf, "events").select("event_type", "ts", "event_id", "value")
