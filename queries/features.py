@@ -22,7 +22,7 @@ def code_sql(source: str, column: str) -> str:
 @query("encode_categorical", f"SELECT {KEYS_SQL}, brand_code, ka_code, fsa_code FROM pos"
        + "".join(f" JOIN {code_sql('pos', c)} AS d_{c} USING ({c})" for c in v.SERIES), v.POS)
 def encode_categorical(spark, sf):
-    data = v.pos(spark, sf).select(*KEYS)
+    data = v.pos_rows(spark, sf, *KEYS)
     return out(encoders.fit_encoder(data, v.SERIES).transform(data))
 
 
@@ -96,31 +96,31 @@ def _scaled_sql(center: str, spread: str, low=0.0, high=1.0, columns=_CONT) -> s
 
 @query("scale_minmax", _scaled_sql("min({c})", "(max({c}) - min({c}))", 1.0, 2.0), v.POS)
 def scale_minmax(spark, sf):
-    data = v.pos(spark, sf).select(*KEYS, *_CONT)
+    data = v.pos_rows(spark, sf, *KEYS, *_CONT)
     return out(scalers.fit_scaler(data, _CONT, "minmax", low=1, high=2).transform(data))
 
 
 @query("scale_standard", _scaled_sql("avg({c})", "stddev_pop({c})"), v.POS)
 def scale_standard(spark, sf):
-    data = v.pos(spark, sf).select(*KEYS, *_CONT)
+    data = v.pos_rows(spark, sf, *KEYS, *_CONT)
     return out(scalers.fit_scaler(data, _CONT, "standard").transform(data))
 
 
 @query("scale_robust", _scaled_sql("quantile_cont({c}, 0.5)", "(quantile_cont({c}, 0.9) - quantile_cont({c}, 0.1))"), v.POS)
 def scale_robust(spark, sf):
-    data = v.pos(spark, sf).select(*KEYS, *_CONT)
+    data = v.pos_rows(spark, sf, *KEYS, *_CONT)
     return out(scalers.fit_scaler(data, _CONT, "robust").transform(data))
 
 
 @query("scale_target", _scaled_sql("min({c})", "(max({c}) - min({c}))", 1.0, 2.0, ["qty"]), v.POS)
 def scale_target(spark, sf):
-    data = v.pos(spark, sf).select(*KEYS, "qty")
+    data = v.pos_rows(spark, sf, *KEYS, "qty")
     return out(scalers.fit_scaler(data, ["qty"], "minmax", low=1, high=2).transform(data))
 
 
 @query("unscale_minmax", f"SELECT {KEYS_SQL}, {r('population')}, {r('price')} FROM pos", v.POS)
 def unscale_minmax(spark, sf):
-    data = v.pos(spark, sf).select(*KEYS, *_CONT)
+    data = v.pos_rows(spark, sf, *KEYS, *_CONT)
     scaler = scalers.fit_minmax(data, _CONT, 0.0, 1.0)
     return out(scaler.inverse(scaler.transform(data)))
 
@@ -143,7 +143,7 @@ def rank_pairing(spark, sf):
 @query("sample_weights", f"SELECT {KEYS_SQL}, {r('weight')} FROM pos JOIN paired USING (brand)",
        v.POS + ",\n" + paired_sql("brand", "pos", True))
 def sample_weights(spark, sf):
-    data = v.pos(spark, sf).select(*KEYS)
+    data = v.pos_rows(spark, sf, *KEYS)
     return out(weights.add_weights(data, weights.sample_weights(data, "brand"), "brand"))
 
 
@@ -160,7 +160,7 @@ binned AS (SELECT pos.*, CASE WHEN price <= q1 THEN 0 WHEN price <= q2 THEN 1 WH
 
 @query("quantile_bins", f"SELECT {KEYS_SQL.replace('pos.week_end', 'binned.week_end')}, {r('price')}, bin FROM binned", v.POS + ",\n" + _BINS)
 def quantile_bins(spark, sf):
-    return out(weights.quantile_bins(v.pos(spark, sf).select(*KEYS, "price"), "price", 4))
+    return out(weights.quantile_bins(v.pos_rows(spark, sf, *KEYS, "price"), "price", 4))
 
 
 def split_sql(source: str, key: str, stratum: str, test: float, validation: float) -> str:
@@ -190,5 +190,5 @@ def stratified_split(spark, sf):
        v.POS + ",\n" + _BINS + ",\n" + split_sql(
            "binned", "concat_ws('|', '75', brand, ka, fsa, segment, CAST(week_end AS VARCHAR))", "bin", 0.05, 0.15))
 def stratified_split_quartiles(spark, sf):
-    binned = weights.quantile_bins(v.pos(spark, sf).select(*KEYS, "price"), "price", 4)
+    binned = weights.quantile_bins(v.pos_rows(spark, sf, *KEYS, "price"), "price", 4)
     return out(weights.stratified_split(binned, KEYS, "bin", test=0.05, validation=0.15).drop("price"))

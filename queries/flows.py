@@ -32,7 +32,7 @@ def segments_flow(spark, sf):
     demo = segments.weekly_demographics(v.demo(spark, sf), v.MEASURES)
     changes = segments.area_changes(weekly, demo, columns, _BANDS, ["qty", "Younger", "Older"], ["Average Income"])
     measures = ["qty", "price", "Lower_income", "Higher_income", "Average_Income"]
-    return out(segments.area_segments(changes, columns, "ASIA", measures, max_passes=20).profile("fsa"))
+    return out(segments.area_segments(changes, columns, "ASIA", measures, max_passes=20, tolerance=1e-4).profile("fsa"))
 
 
 @query("loans_flow")

@@ -11,7 +11,7 @@ from weekloom.operators import evaluation, learning
 from weekloom.operators.clustering import Prototypes, cluster_segments, elbow_curve, kprototypes_fit
 from weekloom.operators.encoders import fit_encoder
 from weekloom.operators.scalers import fit_minmax
-from weekloom.session import scratch_path
+from weekloom.session import materialize, scratch_path
 from weekloom.sources.models import load_model, save_model
 
 _MEASURES = ["qty", "price", "population"]
@@ -20,7 +20,7 @@ _MEASURES = ["qty", "price", "population"]
 # ---- clustering
 
 def _scaled_weeks(spark, sf):
-    weekly = v.pos_week(spark, sf).select("province", "fsa", "week_end", *_MEASURES)
+    weekly = materialize(v.pos_week(spark, sf).select("province", "fsa", "week_end", *_MEASURES), "weeks")
     return fit_minmax(weekly, _MEASURES, 0.0, 1.0).transform(weekly)
 
 
@@ -50,7 +50,7 @@ def kprototypes_assign(spark, sf):
 def kprototypes(spark, sf):
     """Rows, cost and prototype of each cluster."""
     scaled = _scaled_weeks(spark, sf)
-    fitted = kprototypes_fit(scaled, _MEASURES, ["fsa"], k=2, max_passes=20)
+    fitted = kprototypes_fit(scaled, _MEASURES, ["fsa"], k=2, max_passes=20, tolerance=1e-4)
     sizes = fitted.assign(scaled, "cluster", "distance").groupBy("cluster").agg(
         F.count("*").alias("rows"), F.sum("distance").alias("cost"))
     return out(fitted.table(spark).join(sizes, "cluster", "left"))
@@ -58,26 +58,29 @@ def kprototypes(spark, sf):
 
 @query("elbow_curve")
 def elbow(spark, sf):
-    return out(elbow_curve(_scaled_weeks(spark, sf), _MEASURES, ["fsa"], ks=range(1, 5), max_passes=10))
+    return out(elbow_curve(_scaled_weeks(spark, sf), _MEASURES, ["fsa"], ks=range(1, 5), max_passes=10, tolerance=1e-4))
 
 
 @query("cluster_segments")
 def segments(spark, sf):
-    weekly = v.pos_week(spark, sf).select("fsa", *_MEASURES)
-    return out(cluster_segments(weekly, "fsa", _MEASURES, k=2, max_passes=20).profile("fsa"))
+    weekly = materialize(v.pos_week(spark, sf).select("fsa", *_MEASURES), "weeks")
+    return out(cluster_segments(weekly, "fsa", _MEASURES, k=2, max_passes=20, tolerance=1e-4).profile("fsa"))
 
 
 # ---- training
 
 def _sales_rows(spark, sf):
     """One return flag with encoded series, time parts, scaled and logged measures."""
-    data = v.pos_series(spark, sf).select(
-        *v.SERIES, "week_end", "population", *date_features("week_end", "t_", ["Yr", "Mon"]),
-        log_plus_one("price").cast("double").alias("log_price"), log_target("qty").alias("log_qty"),
-        F.when(F.col("qty") > 25, 1.2).otherwise(0.8).alias("weight"),
+    data = materialize(
+        v.pos_series(spark, sf).select(
+            *v.SERIES, "week_end", "population", *date_features("week_end", "t_", ["Yr", "Mon"]),
+            log_plus_one("price").cast("double").alias("log_price"), log_target("qty").alias("log_qty"),
+            F.when(F.col("qty") > 25, 1.2).otherwise(0.8).alias("weight"),
+        ),
+        "sales",
     )
     coded = fit_encoder(data, [*v.SERIES, "t_Yr", "t_Mon"]).transform(data)
-    return fit_minmax(data, ["population"]).transform(coded)
+    return materialize(fit_minmax(data, ["population"]).transform(coded), "features")
 
 
 _SALES = learning.FeatureSpec(
@@ -108,7 +111,7 @@ def train_classifier(spark, sf):
     data = v.loan(spark, sf).select("o_orderkey", "priority", "ka", "amount", "balance", "status",
                                     *date_features("order_date", "t_", ["Yr", "Qtr"]))
     coded = fit_encoder(data, ["priority", "ka", "t_Yr", "t_Qtr", "status"]).transform(data)
-    rows = fit_minmax(data, ["amount", "balance"], 1.0, 3.0).transform(coded)
+    rows = materialize(fit_minmax(data, ["amount", "balance"], 1.0, 3.0).transform(coded), "features")
     spec = learning.FeatureSpec(
         codes=["priority_code", "ka_code", "t_Yr_code", "t_Qtr_code"], scaled=["amount", "balance"], label="status_code")
     model = learning.train_classifier(rows, spec, "logistic", maxIter=20)

@@ -53,7 +53,7 @@ kept AS (SELECT * FROM (
 @query("join_right_semi", f"""SELECT brand, ka, fsa, segment, CAST(week_end AS VARCHAR) AS week_end, {r('qty')}, {r('price')}
   FROM pos WHERE (brand, ka, fsa) IN (SELECT (brand, ka, fsa) FROM kept)""", v.POS + ",\n" + SHARES)
 def join_right_semi(spark, sf):
-    data = v.pos(spark, sf).select("brand", "ka", "fsa", "segment", "week_end", "qty", "price")
+    data = v.pos_rows(spark, sf, "brand", "ka", "fsa", "segment", "week_end", "qty", "price")
     kept = cumulative_share_cut(data.filter(F.year("week_end") == 2000), v.SERIES, "price", "qty", 0.05)
     return out(joins.keep_keys(data, kept, v.SERIES, rows="n"))
 
@@ -61,7 +61,7 @@ def join_right_semi(spark, sf):
 @query("lookup_join", f"""SELECT brand, ka, fsa, segment, CAST(week_end AS VARCHAR) AS week_end, {r('qty')}, {r('mean_price', None, 4)}
   FROM pos JOIN (SELECT brand, avg(price) AS mean_price FROM pos GROUP BY 1) USING (brand)""", v.POS)
 def lookup_join(spark, sf):
-    data = v.pos(spark, sf).select("brand", "ka", "fsa", "segment", "week_end", "qty", "price")
+    data = v.pos_rows(spark, sf, "brand", "ka", "fsa", "segment", "week_end", "qty", "price")
     table = data.groupBy("brand").agg(F.avg("price").alias("mean_price"), F.count("*").alias("n"))
     return out(joins.attach(data, table, ["brand"], "n").drop("price"), mean_price=4)
 

@@ -11,6 +11,7 @@ from weekloom.functions import date_features
 from weekloom.operators import series
 from weekloom.operators.joins import keep_keys
 from weekloom.operators.shares import cumulative_share_cut
+from weekloom.session import materialize
 
 
 def denoise_sql(source: str, keys: str, order: str, column: str, threshold: float) -> str:
@@ -109,7 +110,7 @@ _LARGE = (
   CAST(month(denoised.week_end) AS INTEGER) AS "Time_Mon", {r('smooth', 'price')}
   FROM denoised WHERE (brand, ka, fsa) IN (SELECT (brand, ka, fsa) FROM kept)""", _LARGE)
 def large_combination_prices(spark, sf):
-    data = v.pos_series(spark, sf).select(*v.SERIES, "province", "week_end", "qty", "price")
+    data = materialize(v.pos_series(spark, sf).select(*v.SERIES, "province", "week_end", "qty", "price"), "sales")
     kept = cumulative_share_cut(data.filter(F.year("week_end") == 2000), v.SERIES, "price", "qty", 0.05)
     large = keep_keys(data, kept, v.SERIES)
     smooth = series.denoise_series(large, v.SERIES, ["week_end"], "price", 0.01, one_row_per_date=True)

@@ -32,8 +32,7 @@ _MEASURES_SQL = ", ".join(r(f'"{m}"', f'"{m}"', 2) for m in v.MEASURES)
 @query("scan_csv_vintages", f'SELECT "CODE", "GEO", "YEAR", {_MEASURES_SQL} FROM demo', v.DEMO)
 def scan_csv_vintages(spark, sf):
     paths, schemas = {}, {}
-    for year in v.DEMO_YEARS:
-        vintage = v.demo_vintage(spark, sf, year)
+    for year, vintage in v.demo_vintages(spark, sf).items():
         paths[year], schemas[year] = scratch_path(spark, f"csv-{year}"), vintage.schema
         vintage.write.csv(paths[year], header=True)
     return out(tables.scan_csv_vintages(spark, paths, v.DEMO_NAMES, schemas), 2)
@@ -73,8 +72,9 @@ def save_params(spark, sf):
 )
 def load_params(spark, sf):
     path = scratch_path(spark, "params")
-    fit_minmax(v.pos(spark, sf), ["price"]).save(spark, path)
-    return out(Scaler.load(spark, path).transform(v.pos(spark, sf).select(*KEYS, "price")))
+    data = v.pos_rows(spark, sf, *KEYS, "price")
+    fit_minmax(data, ["price"]).save(spark, path)
+    return out(Scaler.load(spark, path).transform(data))
 
 
 # ---- projection and schema
@@ -91,7 +91,7 @@ def clean_colnames(spark, sf):
 
 @query("rename_vintage", 'SELECT "CODE", "GEO", ' + _MEASURES_SQL + ' FROM demo WHERE "YEAR" = 1998', v.DEMO)
 def rename_vintage(spark, sf):
-    return out(schema.rename_vintage(v.demo_vintage(spark, sf, 1998), 1998, v.DEMO_NAMES), 2)
+    return out(schema.rename_vintage(v.demo_vintages(spark, sf)[1998], 1998, v.DEMO_NAMES), 2)
 
 
 @query("rename_columns", "SELECT l_orderkey AS order_id, l_linenumber AS line, " + r("l_quantity", "sold") + " FROM lineitem")
@@ -112,7 +112,7 @@ def drop_columns(spark, sf):
 
 @query("add_literal", f'SELECT "CODE", "GEO", {_MEASURES_SQL}, 1996 AS "YEAR" FROM demo WHERE "YEAR" = 1996', v.DEMO)
 def add_literal(spark, sf):
-    vintage = schema.rename_vintage(v.demo_vintage(spark, sf, 1996), 1996, v.DEMO_NAMES)
+    vintage = schema.rename_vintage(v.demo_vintages(spark, sf)[1996], 1996, v.DEMO_NAMES)
     return out(schema.add_literal(vintage, "YEAR", 1996), 2)
 
 
@@ -306,7 +306,7 @@ def ordered_category(spark, sf):
 @query("union_vintages", f'SELECT "CODE", "GEO", "YEAR", {_MEASURES_SQL} FROM demo', v.DEMO)
 def union_all_vintages(spark, sf):
     frames = [
-        schema.add_literal(schema.rename_vintage(v.demo_vintage(spark, sf, y), y, v.DEMO_NAMES), "YEAR", y)
-        for y in v.DEMO_YEARS
+        schema.add_literal(schema.rename_vintage(vintage, y, v.DEMO_NAMES), "YEAR", y)
+        for y, vintage in v.demo_vintages(spark, sf).items()
     ]
     return out(union_vintages(frames), 2)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.functions import week_ending
-from weekloom.operators.schema import VintageNames
+from weekloom.operators.schema import VintageNames, add_literal, rename_vintage
+from weekloom.operators.sets import union_vintages
+from weekloom.session import materialize
 
 SERIES = ["brand", "ka", "fsa"]
 
@@ -21,32 +23,51 @@ def _half_up(c: Column, scale: int) -> Column:
 
 
 def pos(spark: SparkSession, sf: str) -> DataFrame:
-    """Weekly sales by region, nation, brand, market segment and return flag."""
-    line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    """Weekly sales by region, nation, brand, market segment and return flag.
+
+    Nation and region names are joined to the groups, not to the line items.
+    """
     area = table(spark, sf, "nation").join(
         table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    joined = (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    grouped = (
+        table(spark, sf, "lineitem")
+        .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(area, F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy(
+            "c_nationkey",
+            F.col("p_brand").alias("brand"),
+            F.col("c_mktsegment").alias("ka"),
+            F.col("l_returnflag").alias("segment"),
+            week_ending("l_shipdate").alias("week_end"),
+        )
+        .agg(
+            F.sum("l_quantity").alias("qty"),
+            F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+            F.avg("l_tax").alias("tax"),
+            F.avg("c_acctbal").alias("balance"),
+        )
     )
-    return joined.groupBy(
+    return grouped.join(area, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("r_name").alias("province"),
         F.col("n_name").alias("fsa"),
-        F.col("p_brand").alias("brand"),
-        F.col("c_mktsegment").alias("ka"),
-        F.col("l_returnflag").alias("segment"),
-        week_ending("l_shipdate").alias("week_end"),
-    ).agg(
-        F.sum("l_quantity").alias("qty"),
-        _half_up(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 100).alias("price"),
-        F.concat(_half_up(F.avg("l_tax") * 100, 10).cast("string"), F.lit("%")).alias("inflation_text"),
-        _half_up(F.avg("c_acctbal"), 100).alias("population"),
+        "brand",
+        "ka",
+        "segment",
+        "week_end",
+        "qty",
+        _half_up(F.col("price"), 100).alias("price"),
+        F.concat(_half_up(F.col("tax") * 100, 10).cast("string"), F.lit("%")).alias("inflation_text"),
+        _half_up(F.col("balance"), 100).alias("population"),
     )
 
 
+def pos_rows(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of `pos` as a written table, for operators that go over their input more than once."""
+    return materialize(pos(spark, sf).select(*columns), "pos")
+
+
 POS = """pos AS (
   SELECT r_name AS province, n_name AS fsa, p_brand AS brand, c_mktsegment AS ka, l_returnflag AS segment,
          CAST(l_shipdate AS DATE) + CAST(7 - isodow(CAST(l_shipdate AS DATE)) AS INTEGER) AS week_end,
@@ -109,36 +130,40 @@ MEASURES = list(DEMO_NAMES.suffixes.values())
 MISSING = {1995: "AVGBAL", 1997: "AGE3", 2001: "INC5"}
 
 
-def demo_vintage(spark: SparkSession, sf: str, year: int) -> DataFrame:
-    """Yearly figures per nation under that year's column names."""
-    orders = table(spark, sf, "orders").filter(
-        (F.col("o_orderdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz"))
-        & (F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz"))
-    )
+def demo_vintages(spark: SparkSession, sf: str) -> dict[int, DataFrame]:
+    """Yearly figures per nation, one frame per year under that year's column names."""
     price = F.col("o_totalprice")
     figures = {f"AGE{i}": F.count_if(F.col("o_orderpriority") == p).cast("double") for i, p in enumerate(PRIORITIES, 1)}
     for i, (low, high) in enumerate(zip(PRICE_RANGES, PRICE_RANGES[1:]), 1):
         figures[f"INC{i}"] = F.round(F.sum(F.when((price >= low) & (price < high), price).otherwise(0.0)), 2)
     figures["AVGBAL"] = _half_up(F.avg("c_acctbal"), 100)
     figures["AVGINC"] = _half_up(F.avg("o_totalprice"), 100)
-    figures.pop(MISSING.get(year), None)
-    vendor = {name: code for code, name in DEMO_NAMES.mapping(year).items()}
-    return (
-        orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    grouped = (
+        table(spark, sf, "orders")
+        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", F.year("o_orderdate").alias("year"))
+        .agg(*[x.alias(s) for s, x in figures.items()])
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy(F.col("n_name").alias("CODE"), F.col("r_name").alias("GEO"))
-        .agg(*[x.alias(vendor[DEMO_NAMES.suffixes[s]]) for s, x in figures.items()])
+        .select(F.col("n_name").alias("CODE"), F.col("r_name").alias("GEO"), "year", *figures)
+    )
+    yearly = materialize(grouped, "yearly")
+    return {y: _vintage(yearly, y) for y in DEMO_YEARS}
+
+
+def _vintage(yearly: DataFrame, year: int) -> DataFrame:
+    vendor = {name: code for code, name in DEMO_NAMES.mapping(year).items()}
+    return yearly.filter(F.col("year") == year).select(
+        "CODE",
+        "GEO",
+        *[F.col(s).alias(vendor[name]) for s, name in DEMO_NAMES.suffixes.items() if s != MISSING.get(year)],
     )
 
 
 def demo(spark: SparkSession, sf: str) -> DataFrame:
     """All vintages, renamed, tagged and stacked."""
-    from weekloom.operators.schema import add_literal, rename_vintage
-    from weekloom.operators.sets import union_vintages
-
     return union_vintages(
-        [add_literal(rename_vintage(demo_vintage(spark, sf, y), y, DEMO_NAMES), "YEAR", y) for y in DEMO_YEARS]
+        [add_literal(rename_vintage(df, y, DEMO_NAMES), "YEAR", y) for y, df in demo_vintages(spark, sf).items()]
     )
 
 

@@ -7,6 +7,7 @@ whose result has at most k rows per categorical column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -133,10 +134,12 @@ def _pass(data: DataFrame, current: Prototypes) -> tuple[list[tuple[tuple, tuple
 
 def kprototypes_fit(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int = 2,
-    gamma: float | None = None, seed: int = 0, max_passes: int = 100,
+    gamma: float | None = None, seed: int = 0, max_passes: int = 100, tolerance: float = 0.0,
 ) -> Prototypes:
     """Prototypes of k clusters, numbered by their first numeric value. Rows must hold no nulls.
 
+    Ends when a pass changes nothing, or lowers the cost by no more than `tolerance` of it.
+
     The needed columns are written once to the shared folder; prototypes travel as literals, so
     the plan of a pass never grows.
     """
@@ -147,27 +150,24 @@ def kprototypes_fit(
         ),
         "prototypes",
     )
-    return _fit_on(data, list(numeric), list(categorical), k, gamma, seed, max_passes)
+    return _fit_on(data, list(numeric), list(categorical), k, gamma, seed, max_passes, tolerance)
 
 
-def _fit_on(data, numeric, categorical, k, gamma, seed, max_passes) -> Prototypes:
+def _fit_on(data, numeric, categorical, k, gamma, seed, max_passes, tolerance) -> Prototypes:
     start = Prototypes(numeric, categorical, mixed_gamma(data, numeric) if gamma is None else gamma, [])
     centers = _seeds(data, start, k, seed)
-    cost, passes = None, 0
-    while passes < max_passes:
-        moved, cost = _pass(data, Prototypes(numeric, categorical, start.gamma, centers))
-        passes += 1
-        settled = moved == centers
-        centers = moved
-        if settled:
-            break
+    cost, passes, settled = math.inf, 0, False
+    while passes < max_passes and not settled:
+        moved, now = _pass(data, Prototypes(numeric, categorical, start.gamma, centers))
+        settled = moved == centers or (passes > 0 and cost - now <= tolerance * now)
+        centers, cost, passes = moved, now, passes + 1
     ordered = sorted(centers, key=lambda c: (c[0], c[1]))
     return Prototypes(numeric, categorical, start.gamma, ordered, cost, passes)
 
 
 def elbow_curve(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ks: Sequence[int] = range(1, 10),
-    seed: int = 0, max_passes: int = 100,
+    seed: int = 0, max_passes: int = 100, tolerance: float = 0.0,
 ) -> DataFrame:
     """Cost for each number of clusters; the input is written once for all of them."""
     data = materialize(
@@ -178,7 +178,8 @@ def elbow_curve(
         "elbow",
     )
     gamma = mixed_gamma(data, numeric)
-    costs = [(k, _fit_on(data, list(numeric), list(categorical), k, gamma, seed, max_passes).cost) for k in ks]
+    columns = list(numeric), list(categorical)
+    costs = [(k, _fit_on(data, *columns, k, gamma, seed, max_passes, tolerance).cost) for k in ks]
     return df.sparkSession.createDataFrame(costs, "k int, cost double")
 
 
@@ -200,13 +201,14 @@ SEGMENT_NAMES: Mapping[int, str] = {0: "First", 1: "Second", 2: "Third", 3: "Fou
 
 
 def cluster_segments(
-    df: DataFrame, key: str, numeric: Sequence[str], k: int = 2, seed: int = 0, max_passes: int = 100
+    df: DataFrame, key: str, numeric: Sequence[str], k: int = 2, seed: int = 0, max_passes: int = 100,
+    tolerance: float = 0.0,
 ) -> Segments:
     """Scale to 0..1, cluster on the measures and the key, name the clusters, give each key to one
     segment, and scale back."""
     scaler = fit_minmax(df, numeric, 0.0, 1.0)
     scaled = scaler.transform(df)
-    prototypes = kprototypes_fit(scaled, numeric, [key], k, seed=seed, max_passes=max_passes)
+    prototypes = kprototypes_fit(scaled, numeric, [key], k, seed=seed, max_passes=max_passes, tolerance=tolerance)
     names = {i: SEGMENT_NAMES.get(i, f"Segment {i + 1}") for i in range(k)}
     named = prototypes.assign(scaled).withColumn("segment", label_name("cluster", names))
     resolved = overlap_resolve(named, "segment", key, list(names.values()))

@@ -93,7 +93,10 @@ def exact_quantiles(
     and bracket ends only.
     """
     values = df.select(*[as_column(c).cast("double").alias(c) for c in columns])
-    values = values.select(*[F.when(~F.isnan(as_column(c)), as_column(c)).alias(c) for c in columns])
+    # Only these columns are read again, so only they are written.
+    values = materialize(
+        values.select(*[F.when(~F.isnan(as_column(c)), as_column(c)).alias(c) for c in columns]), "quantiles"
+    )
     first = values.agg(
         *[
             expression

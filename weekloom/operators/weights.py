@@ -12,6 +12,7 @@ from weekloom.functions import as_column
 from weekloom.operators.aggregates import value_counts
 from weekloom.operators.joins import attach
 from weekloom.operators.ordered import exact_quantiles, numbered
+from weekloom.session import materialize
 
 
 def rank_pairing(counts: DataFrame, label: str, value: str) -> DataFrame:
@@ -110,7 +111,7 @@ def stratified_split(
     strata = placed.select(as_column(stratum).alias("_stratum"), "_hash").withColumn(
         "_prefix", F.substring("_hash", 1, 4)
     )
-    cells = strata.groupBy("_stratum", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    cells = materialize(strata.groupBy("_stratum", "_prefix").agg(F.count(F.lit(1)).alias("_n")), "cells")
     # Strata are classes or bins: one row each.
     counts = {r["_stratum"]: r["n"] for r in cells.groupBy("_stratum").agg(F.sum("_n").alias("n")).collect()}
     quotas = split_quotas(counts, test, validation)

@@ -62,6 +62,7 @@ def large_combinations(
 ) -> DataFrame:
     """Rows of the combinations that are left after the smallest ones of one year are dropped."""
     c = columns
+    data = materialize(data, "denoised")
     judged = data.filter(F.year(as_column(c.week)) == share_year)
     kept = cumulative_share_cut(judged, c.categorical, c.price, c.quantity, threshold)
     # With a row per date no series is long; otherwise the hot ones are served apart.
@@ -83,6 +84,7 @@ def sales_features(
     from the training rows, or from all rows with `fit_on="all"`."""
     c = columns
     label = "log_quantity"
+    data = materialize(data, "large")
     binned = quantile_bins(data.withColumn(label, log_target(c.quantity)), label, 4, "stratum", duplicates="drop")
     split = materialize(
         stratified_split(binned, c.key, "stratum", test=0.05, validation=0.15, seed=seed), "sales"

@@ -15,6 +15,7 @@ from weekloom.operators.filters import drop_nulls, filter_level, infinite_to_nul
 from weekloom.operators.joins import join_left_diffkeys
 from weekloom.operators.schema import cast_numeric, clean_colnames
 from weekloom.operators.series import interpolate_linear, pct_change
+from weekloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -77,4 +78,4 @@ def area_segments(
     rows = select_slice(changes, **{c.province: province}).select(
         as_column(c.area), *[F.col(f"`{m}`").cast("double").alias(m) for m in measures]
     )
-    return cluster_segments(rows, c.area, measures, k, **options)
+    return cluster_segments(materialize(rows, "areas"), c.area, measures, k, **options)
