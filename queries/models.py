@@ -137,14 +137,15 @@ def score_table(spark, sf):
     return out(learning.score_table(model, data, ["l_orderkey", "l_linenumber"]), 4)
 
 
-@query("save_model")
+@query("save_model", f"SELECT {r('regr_intercept(l_extendedprice, l_quantity)', 'intercept', 4)}, "
+       f"{r('regr_slope(l_extendedprice, l_quantity)', 'slope', 4)} FROM lineitem")
 def save(spark, sf):
     """Coefficients of the model as written."""
     _, model = _line(spark, sf)
     path = scratch_path(spark, "model")
     save_model(model, path)
-    stage = spark.read.parquet(f"{path}/stages/1_*/data")
-    return stage.select(F.round("intercept", 4).alias("intercept"))
+    line = load_model(path).stages[-1]
+    return out(spark.createDataFrame([(line.intercept, float(line.coefficients[0]))], "intercept double, slope double"), 4)
 
 
 @query("load_model", _LINE_SQL)

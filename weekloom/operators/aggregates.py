@@ -141,6 +141,14 @@ def segment_key_share(df: DataFrame, segment: str, key: str) -> DataFrame:
     return per_segment.withColumn("key_share", F.col("keys") / overall)
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Over the rows that have both values; null where one of them does not vary. `corr` itself
+    raises there under ANSI."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(spread))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of all column pairs in long form (a, b, r), optionally per group.
 
@@ -149,7 +157,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str]
     pairs = list(combinations(range(len(columns)), 2))
     x = [as_column(c).cast("double") for c in columns]
     grouped = df.groupBy(*[as_column(c) for c in by]).agg(
-        *[F.nanvl(F.corr(x[i], x[j]), F.lit(None).cast("double")).alias(f"_r{i}_{j}") for i, j in pairs],
+        *[_pearson(x[i], x[j]).alias(f"_r{i}_{j}") for i, j in pairs],
         *[F.when(F.var_pop(x[i]) > 0, 1.0).alias(f"_r{i}_{i}") for i in range(len(columns))],
     )
     entries = [
