@@ -4,7 +4,7 @@ import pytest
 from weekloom.operators import joins, ordered, sets, shares
 
 
-@pytest.mark.parametrize("direct", [10, 100_000])
+@pytest.mark.parametrize("direct", [10, 1_000_000])
 @pytest.mark.parametrize("kind", ["uniform", "ties", "constant", "two", "skewed"])
 def test_exact_quantiles(frame, kind, direct):
     rng = np.random.default_rng(1)
@@ -39,8 +39,10 @@ def test_cumulative_share_cut(frame):
 
 
 @pytest.mark.parametrize("hot_share", [2, 1000])
-def test_attach_serves_hot_and_cold_keys(frame, monkeypatch, hot_share):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_attach_serves_hot_and_cold_keys(frame, monkeypatch, hot_share, broadcast):
     monkeypatch.setattr(joins, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
     rows = [("hot", 1)] * 50 + [(f"k{i}", 1) for i in range(40)] + [("lost", 1), (None, 1)]
     df = frame(rows, "k string, x int")
     table = frame([("hot", "H", 50)] + [(f"k{i}", str(i), 1) for i in range(40)], "k string, v string, n bigint")

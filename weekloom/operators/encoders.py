@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekloom.functions import as_column, clamp
+from weekloom.operators import joins
 from weekloom.operators.aggregates import cardinality
-from weekloom.operators.joins import attach
 from weekloom.operators.ordered import numbered
-
-# Dictionaries up to this many entries are broadcast; larger ones are joined.
-BROADCAST_ENTRIES = 100_000
+from weekloom.session import materialize
 
 _WHOLE = (T.IntegralType,)
 _FRACTION = (T.FractionalType,)
@@ -74,10 +72,10 @@ class Encoder:
                 F.col("label").alias(key), F.col("code").alias(c + suffix), "n"
             )
             keyed = df.withColumn(key, as_column(c).cast("string"))
-            if self.entries.get(c, 0) <= BROADCAST_ENTRIES:
+            if self.entries.get(c, 0) <= joins.BROADCAST_ROWS:
                 joined = keyed.join(F.broadcast(words.drop("n")), key, "left")
             else:
-                joined = attach(keyed, words, [key], "n")
+                joined = joins.attach(keyed, words, [key], "n")
             df = joined.drop(key)
             if reserve:
                 df = df.withColumn(c + suffix, F.coalesce(as_column(c + suffix), F.lit(self.entries.get(c, 0))))
@@ -92,7 +90,7 @@ def fit_encoder(df: DataFrame, columns: Sequence[str]) -> Encoder:
     table = ranked.join(F.broadcast(starts), "feature").select(
         "feature", "label", (F.col("_position") - F.col("_start")).cast("int").alias("code"), "n"
     )
-    return Encoder.of(table)
+    return Encoder.of(materialize(table, "dictionary"))
 
 
 def embedding_sizes(

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions import as_column
+from weekloom.session import materialize
+
+# Look-up tables are broadcast up to this many rows.
+BROADCAST_ROWS = 100_000
 
 # A key with at least one in HOT_SHARE of all rows is hot; there can be no more than HOT_SHARE of them.
 HOT_SHARE = 1000
@@ -30,11 +34,17 @@ def join_left_diffkeys(left: DataFrame, right: DataFrame, keys: Mapping[str, str
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str], rows: str) -> DataFrame:
     """Left-join a table that has one row per key, where `rows` says how many rows of `df` a key has.
 
-    The hot keys, at most HOT_SHARE of them by their definition, are broadcast, so their rows are
-    not moved. The rest is a plain join in which no key has more than one in HOT_SHARE of the
-    rows; rows already served are spread over it by a hash of their content.
+    The table is written and counted first; a small one is broadcast whole. Of a larger one the hot
+    keys, at most HOT_SHARE of them by their definition, are broadcast, so their rows are not moved.
+    The rest is a plain join in which no key has more than one in HOT_SHARE of the rows; rows
+    already served are spread over it by a hash of their content.
     """
     on = list(on)
+    table = materialize(table, "lookup")
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table.drop(rows)), on, "left").select(
+            *[as_column(c) for c in df.columns], *[as_column(c) for c in table.columns if c not in on and c != rows]
+        )
     values = [c for c in table.columns if c not in on and c != rows]
     total = table.agg(F.sum(rows).alias("_all")).scalar()
     marked = table.withColumn("_hot", F.col(rows) * HOT_SHARE >= total)

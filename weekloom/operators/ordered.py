@@ -64,7 +64,7 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str, runs: int
 
 @dataclass
 class _Bracket:
-    """An open interval (low, high) known to hold the value of a rank, ends counted apart."""
+    """An open interval (low, high) around the value of a rank; its ends are counted apart."""
 
     column: str
     rank: int
@@ -75,6 +75,10 @@ class _Bracket:
     few: bool
     value: float | None = None
 
+    @property
+    def interval(self) -> tuple:
+        return self.column, self.low, self.high, self.few
+
 
 GRID = 1000
 
@@ -83,14 +87,14 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    direct_rows: int = 100_000,
+    direct_rows: int = 1_000_000,
 ) -> dict[str, list[float]]:
     """Exact quantiles with linear interpolation, for every column in the same few passes.
 
     `percentile` keeps every distinct value of a column in one task. Here each pass counts the
     rows around a bracket and narrows it with an approximate grid of the rows inside; only when
-    at most `direct_rows` rows are left inside is their order looked at. The driver sees counts
-    and bracket ends only.
+    at most `direct_rows` rows are left inside are they put in order. The driver sees counts,
+    grids and bracket ends only.
     """
     values = df.select(*[as_column(c).cast("double").alias(c) for c in columns])
     # Only these columns are read again, so only they are written.
@@ -138,21 +142,31 @@ def exact_quantiles(
 def _narrow(values: DataFrame, brackets: list[_Bracket], direct_rows: int) -> None:
     """One pass over the data: settle or tighten every open bracket."""
     grid = [g / GRID for g in range(GRID + 1)]
+    ranks: dict[tuple, list[int]] = {}
+    for b in brackets:
+        ranks.setdefault(b.interval, []).append(b.rank)
     aggregates = []
-    for i, b in enumerate(brackets):
-        x = as_column(b.column)
-        inside = F.when((x > b.low) & (x < b.high), x)
-        look = F.sort_array(F.collect_list(inside)) if b.few else F.percentile_approx(inside, grid, 10 * GRID)
+    for i, ((column, low, high, few), wanted) in enumerate(ranks.items()):
+        x = as_column(column)
+        inside = F.when((x > low) & (x < high), x)
+        below, at_low = F.count_if(x < low), F.count_if(x == low)
+        if few:
+            in_order = F.sort_array(F.collect_list(inside))
+            look = F.array(*[F.get(in_order, (F.lit(k) - below - at_low).cast("int")) for k in wanted])
+        else:
+            look = F.percentile_approx(inside, grid, 10 * GRID)
         aggregates += [
-            F.count_if(x < b.low).alias(f"below{i}"),
-            F.count_if(x == b.low).alias(f"low{i}"),
+            below.alias(f"below{i}"),
+            at_low.alias(f"low{i}"),
             F.count(inside).alias(f"inside{i}"),
-            F.count_if(x == b.high).alias(f"high{i}"),
+            F.count_if(x == high).alias(f"high{i}"),
             look.alias(f"look{i}"),
         ]
     row = values.agg(*aggregates).first()
+    index = {interval: i for i, interval in enumerate(ranks)}
 
-    for i, b in enumerate(brackets):
+    for b in brackets:
+        i, wanted = index[b.interval], ranks[b.interval]
         below, at_low, inside, at_high, look = (row[f"{k}{i}"] for k in ("below", "low", "inside", "high", "look"))
         rank = b.rank - below - at_low
         if b.rank < below:  # the grid was off: look on the other side of the border
@@ -160,7 +174,7 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], direct_rows: int) -> No
         elif rank < 0:
             b.value = b.low
         elif rank < inside and b.few:
-            b.value = look[rank]
+            b.value = look[wanted.index(b.rank)]
         elif rank < inside:
             # Two grid steps of slack on either side cover the error of the approximate grid.
             left = math.floor(rank / inside * GRID) - 2
