@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 from queries import views as v
 from queries.registry import out, query
 from weekloom.functions import date_features
+from weekloom.operators.sets import union_vintages
 from weekloom.plans import loans, sales, segments
 
 
 @query("sales_flow")
 def sales_flow(spark, sf):
-    """Log-quantity regression of one region and return flag; error statistics on the test rows."""
+    """Log-quantity regression of one region and return flag; error statistics on the test rows, of
+    the fit on the training rows and of the final one."""
     columns = sales.SalesColumns()
     data = sales.denoised_sales(v.pos(spark, sf), columns, 2001, one_row_per_date=True, province="ASIA", segment="N")
     large = sales.large_combinations(data, columns, 2000, one_row_per_date=True)
     features = sales.sales_features(large, columns)
-    return out(sales.sales_regression(features, columns, max_iter=5, maxDepth=3).errors)
+    fitted = sales.sales_regression(features, columns, max_iter=5, maxDepth=3)
+    first, final = (e.withColumn("fit", F.lit(n)) for n, e in (("first", fitted.first_errors), ("final", fitted.errors)))
+    return out(first.unionByName(final))
 
 
 _BANDS = {"Younger": ["Age Band 1", "Age Band 2"], "Older": ["Age Band 3", "Age Band 4", "Age Band 5"],
@@ -37,16 +41,19 @@ def segments_flow(spark, sf):
 
 @query("loans_flow")
 def loans_flow(spark, sf):
-    """Order status from order features with class weights; report on the test rows."""
+    """Order status from order features with class weights; reports on validation, test and all."""
     data = v.loan(spark, sf).select(
         "o_orderkey", "priority", "ka", "amount", "balance", "status", *date_features("order_date", "t_", ["Yr", "Qtr"]))
     features = loans.loan_features(data, ["o_orderkey"], ["priority", "ka"], ["t_Yr", "t_Qtr"], ["amount", "balance"], "status")
-    return out(loans.loan_classification(features, ["o_orderkey"], maxIter=20).report("test"))
+    models = loans.loan_classification(features, ["o_orderkey"], maxIter=20)
+    reports = {"first validation": models.first.report("validation"), "first test": models.first.report("test"),
+               "final all": models.final.report("all"), "final test": models.final.report("test")}
+    return out(union_vintages([df.withColumn("on", F.lit(name)) for name, df in reports.items()]))
 
 
 @query("loans_binary_flow")
 def loans_binary_flow(spark, sf):
-    """Document quality by boosted trees with the validation stop; confusion on the test rows."""
+    """Document quality by boosted trees with the validation stop; confusion on the training and validation rows."""
     data = v.loan_binary(spark, sf).select("doc_id", "lang", "source", F.col("n_chars").cast("double"), "quality")
     features = loans.loan_features(data, ["doc_id"], ["lang", "source"], [], ["n_chars"], "quality")
-    return loans.loan_classification(features, ["doc_id"], "gbt", max_iter=4, maxDepth=3).confusion("all")
+    return loans.loan_classification(features, ["doc_id"], "gbt", max_iter=4, maxDepth=3).final.confusion("all")

@@ -12,7 +12,12 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, "tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
+    session = local_session(
+        4,
+        "tests",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -84,6 +84,9 @@ def best_count(losses: Sequence[float], patience: int, min_delta: float) -> int:
 
 @dataclass(frozen=True)
 class ValidatedFit:
+    """`first` saw the training rows only; `model` is the second fit, on the wider set."""
+
+    first: PipelineModel
     model: PipelineModel
     iterations: int
     losses: list[float]
@@ -111,7 +114,8 @@ def fit_with_validation(
     )
     count = best_count(losses, patience, min_delta)
     wider = train.unionByName(validation)
-    return ValidatedFit(fit(wider, spec, kind="gbt", seed=seed, maxIter=count, **options), count, list(losses))
+    second = fit(wider, spec, kind="gbt", seed=seed, maxIter=count, **options)
+    return ValidatedFit(full, second, count, list(losses))
 
 
 def score_table(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -47,9 +47,11 @@ def loan_features(
 
 
 @dataclass(frozen=True)
-class LoanModel:
+class Scored:
+    """A model and its answer for every row. Parts: train, validation, test, or all but test."""
+
     model: PipelineModel
-    scored: DataFrame
+    rows: DataFrame
     label: str
 
     def confusion(self, part: str) -> DataFrame:
@@ -59,21 +61,32 @@ class LoanModel:
         return classification_report(self._part(part), "actual", "predicted")
 
     def _part(self, part: str) -> DataFrame:
-        rows = self.scored if part == "all" else self.scored.filter(F.col("part") == part)
-        return rows.select(
+        chosen = F.col("part") != "test" if part == "all" else F.col("part") == part
+        return self.rows.filter(chosen).select(
             F.col(self.label).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted")
         )
 
 
+@dataclass(frozen=True)
+class LoanModels:
+    """`first` is fitted on the training rows, `final` on training and validation rows."""
+
+    first: Scored
+    final: Scored
+
+
 def loan_classification(
     features: LoanFeatures, key: Sequence[str], kind: str = "logistic", max_iter: int = 20, **options
-) -> LoanModel:
-    """Train, with the validation stop for boosted trees, then on training and validation rows
-    together; score every row. The test rows are never trained on."""
+) -> LoanModels:
+    """Train on the training rows, then again with the validation rows; boosted trees stop by the
+    validation loss. The test rows are never trained on."""
     rows, spec = features.rows, features.spec
     train, validation = (rows.filter(F.col("part") == p) for p in ("train", "validation"))
     if kind == "gbt":
-        model = fit_with_validation(train, validation, spec, "classification", max_iter, **options).model
+        fit = fit_with_validation(train, validation, spec, "classification", max_iter, **options)
+        models = fit.first, fit.model
     else:
-        model = train_classifier(train.unionByName(validation), spec, kind, **options)
-    return LoanModel(model, score_table(model, rows, [*key, "part", spec.label]), spec.label)
+        wider = train.unionByName(validation)
+        models = tuple(train_classifier(part, spec, kind, **options) for part in (train, wider))
+    first, final = (Scored(m, score_table(m, rows, [*key, "part", spec.label]), spec.label) for m in models)
+    return LoanModels(first, final)

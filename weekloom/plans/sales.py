@@ -109,17 +109,25 @@ def sales_features(
 
 @dataclass(frozen=True)
 class SalesModel:
+    """Errors on the test rows, in log scale: of the fit on the training rows, and of the final one."""
+
     model: PipelineModel
     scored: DataFrame
+    first_errors: DataFrame
     errors: DataFrame
     iterations: int
 
 
 def sales_regression(features: SalesFeatures, columns: SalesColumns, max_iter: int = 20, **options) -> SalesModel:
-    """Fit with the validation stop, score the test rows, report the percent errors in log scale."""
+    """Fit with the validation stop, fit again on the wider set, report both on the test rows."""
+    label = features.spec.label
     part = {p: features.rows.filter(F.col("part") == p) for p in ("train", "validation", "test")}
     fit = fit_with_validation(part["train"], part["validation"], features.spec, max_iter=max_iter, **options)
-    scored = score_table(fit.model, part["test"], [*columns.key, features.spec.label])
+    first, scored = (score_table(m, part["test"], [*columns.key, label]) for m in (fit.first, fit.model))
     return SalesModel(
-        fit.model, scored, percent_error_stats(scored, features.spec.label, "prediction"), fit.iterations
+        fit.model,
+        scored,
+        percent_error_stats(first, label, "prediction"),
+        percent_error_stats(scored, label, "prediction"),
+        fit.iterations,
     )
