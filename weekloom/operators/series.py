@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from weekloom.functions import as_column, round_4, week_ending, year_to_date
@@ -22,6 +22,10 @@ def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [as_column(c) for c in names]
 
 
+def _so_far(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, 0)
+
+
 def _in_step(x: Column, previous: Column, threshold: float) -> Column:
     """Whether a value is close enough to its raw predecessor to stay in the running step."""
     near = F.round(F.abs(x - previous), 4) < F.round(F.abs(x * threshold), 4)
@@ -90,7 +94,7 @@ def denoise_series(
         # The struct keeps a null value a step of its own.
         start = F.when(~_in_step(x, F.lag(x).over(window), threshold), F.struct(round_4(column).alias("v")))
         flagged = df.withColumn("_start", start)
-        return flagged.withColumn(column, F.last("_start", ignorenulls=True).over(window)["v"]).drop("_start")
+        return flagged.withColumn(column, F.last("_start", ignorenulls=True).over(_so_far(window))["v"]).drop("_start")
 
     cut = cut_into_runs(df, [*keys, *order])
     inside = Window.partitionBy(*_columns(keys), RUN).orderBy(*_columns(order))
@@ -122,7 +126,7 @@ def denoise_series(
         .select(*keys, RUN, "_carry")
     )
     return (
-        local.withColumn("_start", F.last("_start", ignorenulls=True).over(inside))
+        local.withColumn("_start", F.last("_start", ignorenulls=True).over(_so_far(inside)))
         .transform(lambda rows: _with_border(rows, border, keys))
         .withColumn(column, F.coalesce("_start", "_carry")["v"])
         .drop("_row", "_start", "_carry", RUN)
