@@ -56,6 +56,25 @@ def kprototypes(spark, sf):
     return out(fitted.table(spark).join(sizes, "cluster", "left"))
 
 
+_SCALED = v.POS_WEEK + ",\nscaled AS (SELECT province, fsa, week_end, " + ", ".join(
+    f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in _MEASURES) + " FROM pos_week)"
+_MOVED = _SCALED + f""",
+assigned AS (SELECT *, CASE WHEN {_distance_sql(_CENTERS[1])} < {_distance_sql(_CENTERS[0])} THEN 1 ELSE 0 END AS was FROM scaled),
+modes AS (SELECT was, fsa AS label FROM (
+  SELECT was, fsa, row_number() OVER (PARTITION BY was ORDER BY count(*) DESC, fsa) AS place FROM assigned GROUP BY 1, 2) WHERE place = 1),
+means AS (SELECT was, CAST(row_number() OVER (ORDER BY avg({_MEASURES[0]})) - 1 AS INTEGER) AS cluster, {', '.join(f'avg({c}) AS {c}' for c in _MEASURES)}
+  FROM assigned GROUP BY 1)"""
+
+
+@query("kprototypes_one_pass", " UNION ALL ".join(
+    f"SELECT cluster, '{c}' AS feature, {r(c, 'value')}, CAST(NULL AS VARCHAR) AS label FROM means" for c in _MEASURES)
+    + " UNION ALL SELECT cluster, 'fsa', NULL, label FROM means JOIN modes USING (was)", _MOVED)
+def kprototypes_one_pass(spark, sf):
+    """Prototypes after one pass from given ones."""
+    fitted = kprototypes_fit(_scaled_weeks(spark, sf), _MEASURES, ["fsa"], gamma=_GAMMA, max_passes=1, start=_CENTERS)
+    return out(fitted.table(spark))
+
+
 @query("elbow_curve")
 def elbow(spark, sf):
     return out(elbow_curve(_scaled_weeks(spark, sf), _MEASURES, ["fsa"], ks=range(1, 5), max_passes=10, tolerance=1e-4))

@@ -135,10 +135,12 @@ def _pass(data: DataFrame, current: Prototypes) -> tuple[list[tuple[tuple, tuple
 def kprototypes_fit(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int = 2,
     gamma: float | None = None, seed: int = 0, max_passes: int = 100, tolerance: float = 0.0,
+    start: Sequence[tuple[tuple, tuple]] | None = None,
 ) -> Prototypes:
     """Prototypes of k clusters, numbered by their first numeric value. Rows must hold no nulls.
 
-    Ends when a pass changes nothing, or lowers the cost by no more than `tolerance` of it.
+    Starts from `start`, or from rows far apart that a seeded hash leads to. Ends when a pass
+    changes nothing, or lowers the cost by no more than `tolerance` of it.
 
     The needed columns are written once to the shared folder; prototypes travel as literals, so
     the plan of a pass never grows.
@@ -150,12 +152,12 @@ def kprototypes_fit(
         ),
         "prototypes",
     )
-    return _fit_on(data, list(numeric), list(categorical), k, gamma, seed, max_passes, tolerance)
+    return _fit_on(data, list(numeric), list(categorical), k, gamma, seed, max_passes, tolerance, start)
 
 
-def _fit_on(data, numeric, categorical, k, gamma, seed, max_passes, tolerance) -> Prototypes:
+def _fit_on(data, numeric, categorical, k, gamma, seed, max_passes, tolerance, given=None) -> Prototypes:
     start = Prototypes(numeric, categorical, mixed_gamma(data, numeric) if gamma is None else gamma, [])
-    centers = _seeds(data, start, k, seed)
+    centers = list(given) if given else _seeds(data, start, k, seed)
     cost, passes, settled = math.inf, 0, False
     while passes < max_passes and not settled:
         moved, now = _pass(data, Prototypes(numeric, categorical, start.gamma, centers))
