@@ -10,6 +10,7 @@ from weekloom.operators import aggregates as agg
 from weekloom.operators import joins, sets
 from weekloom.operators.series import interpolate_linear
 from weekloom.operators.shares import cumulative_share_cut
+from weekloom.session import materialize
 
 WEEK_KEYS = "province, fsa, CAST(week_end AS VARCHAR) AS week_end"
 
@@ -224,5 +225,6 @@ def intersect_keys(spark, sf):
     WHEN 0 THEN 'First' WHEN 1 THEN 'Second' ELSE 'Third' END AS segment
   FROM (SELECT * RENAME (segment AS was) FROM lead_rows)""", v.POS + ",\n" + LEAD_ROWS)
 def overlap_resolve(spark, sf):
-    rows = lead_rows(spark, sf).select("fsa", "week_end", "qty", F.col("segment").alias("was"), "segment")
+    rows = materialize(
+        lead_rows(spark, sf).select("fsa", "week_end", "qty", F.col("segment").alias("was"), "segment"), "leading")
     return out(sets.overlap_resolve(rows, "segment", "fsa", ["First", "Second", "Third"]))

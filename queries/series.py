@@ -39,12 +39,18 @@ def denoise_series(spark, sf):
     return out(series.denoise_series(data, v.SERIES, ["week_end"], "qty", 0.2, one_row_per_date=True))
 
 
+def _runs(spark) -> int:
+    """More runs than there are series, also on small data, so that borders are crossed."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query("denoise_long_series", f"SELECT event_type, event_id, {r('smooth', 'value')} FROM denoised",
        denoise_sql("events", "event_type", "ts, event_id", "value", 0.5))
 def denoise_long_series(spark, sf):
     """A handful of series hold all rows, at any moment in time."""
+    runs = _runs(spark)
     data = v.table(spark, sf, "events").select("event_type", "ts", "event_id", "value")
-    smooth = series.denoise_series(data, ["event_type"], ["ts", "event_id"], "value", 0.5)
+    smooth = series.denoise_series(data, ["event_type"], ["ts", "event_id"], "value", 0.5, runs=runs)
     return out(smooth.select("event_type", "event_id", "value"))
 
 
@@ -60,7 +66,7 @@ def pct_change(spark, sf):
   FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def pct_change_long_series(spark, sf):
     data = v.table(spark, sf, "events").select("event_type", "ts", "event_id", "value")
-    changed = series.pct_change(data, ["event_type"], ["ts", "event_id"], ["value"])
+    changed = series.pct_change(data, ["event_type"], ["ts", "event_id"], ["value"], runs=_runs(spark))
     return out(changed.select("event_type", "event_id", "value"))
 
 

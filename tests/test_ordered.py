@@ -22,13 +22,14 @@ def test_exact_quantiles(frame, kind, direct):
     assert got["empty"] == [None] * 7
 
 
-def test_running_total_and_numbers(frame):
+@pytest.mark.parametrize("runs", [None, 7])
+def test_running_total_and_numbers(frame, runs):
     rng = np.random.default_rng(2)
     rows = [(int(v), i) for i, v in enumerate(rng.integers(0, 5, 500))]  # many equal values
     df = frame(rows, "v int, id int")
-    got = ordered.running_total(df, ["v", "id"], "v", "total").orderBy("v", "id").collect()
+    got = ordered.running_total(df, ["v", "id"], "v", "total", runs).orderBy("v", "id").collect()
     assert [r.total for r in got] == list(np.cumsum(sorted(v for v, _ in rows)))
-    numbers = ordered.numbered(df, ["v", "id"], "n").orderBy("v", "id").collect()
+    numbers = ordered.numbered(df, ["v", "id"], "n", runs).orderBy("v", "id").collect()
     assert [r.n for r in numbers] == list(range(1, 501))
 
 

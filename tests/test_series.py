@@ -34,7 +34,7 @@ def values(df):
 @pytest.mark.parametrize("bounded", [True, False])
 def test_denoise_hand_made(frame, bounded):
     df = series_frame(frame, {"a": [1.0, 1.005, 1.009, 2.0, 2.0], "z": [0.0, 0.0, 5.0]})
-    got = values(series.denoise_series(df, ["k"], ["d"], "v", 0.01, one_row_per_date=bounded))
+    got = values(series.denoise_series(df, ["k"], ["d"], "v", 0.01, one_row_per_date=bounded, runs=4))
     assert got == {"a": [1.0, 1.0, 1.0, 2.0, 2.0], "z": [0.0, 0.0, 5.0]}
 
 
@@ -44,14 +44,14 @@ def test_denoise_with_a_hot_series(frame, bounded, threshold):
     rng = np.random.default_rng(7)
     data = {k: [round(float(v), 2) for v in rng.uniform(1, 3, n)] for k, n in {"hot": 600, "b": 1, "c": 40}.items()}
     data["flat"] = [2.0] * 300  # one step across many runs
-    got = values(series.denoise_series(series_frame(frame, data), ["k"], ["d"], "v", threshold, bounded))
+    got = values(series.denoise_series(series_frame(frame, data), ["k"], ["d"], "v", threshold, bounded, runs=8))
     assert got == {k: denoise_by_definition(x, threshold) for k, x in data.items()}
 
 
 @pytest.mark.parametrize("bounded", [True, False])
 def test_denoise_null_is_its_own_step(frame, bounded):
     df = series_frame(frame, {"a": [1.0, None, 1.0, 1.0]})
-    assert values(series.denoise_series(df, ["k"], ["d"], "v", 0.5, bounded)) == {"a": [1.0, None, 1.0, 1.0]}
+    assert values(series.denoise_series(df, ["k"], ["d"], "v", 0.5, bounded, runs=3)) == {"a": [1.0, None, 1.0, 1.0]}
 
 
 @pytest.mark.parametrize("bounded", [True, False])
@@ -71,14 +71,14 @@ def test_long_series_is_cut_into_runs(frame):
 @pytest.mark.parametrize("bounded", [True, False])
 def test_pct_change(frame, bounded):
     df = series_frame(frame, {"a": [0.0, 0.0, 5.0, 5.0], "b": [2.0, 3.0]})
-    got = values(series.pct_change(df, ["k"], ["d"], ["v"], one_row_per_date=bounded))
+    got = values(series.pct_change(df, ["k"], ["d"], ["v"], one_row_per_date=bounded, runs=4))
     assert got == {"a": [None, None, None, 0.0], "b": [None, 0.5]}
 
 
 def test_pct_change_hot_series_matches_plain(frame):
     rng = np.random.default_rng(3)
     data = {"hot": rng.uniform(1, 2, 500).tolist(), "b": [1.0], "c": rng.uniform(1, 2, 30).tolist()}
-    got = values(series.pct_change(series_frame(frame, data), ["k"], ["d"], ["v"]))
+    got = values(series.pct_change(series_frame(frame, data), ["k"], ["d"], ["v"], runs=8))
     for k, x in data.items():
         assert got[k][0] is None
         assert got[k][1:] == [b / a - 1 for a, b in zip(x, x[1:])]

@@ -24,11 +24,13 @@ def cut_into_runs(df: DataFrame, order: Sequence[str | Column], runs: int | None
     """Add `_run`: consecutive numbers along `order`, each run holding a similar share of rows.
 
     Range partitioning samples the whole `order` tuple, so a single hot series is cut as well as
-    long as `order` ends in something that tells its rows apart. The result is a written table:
-    the borders come from a sample, and every later reader has to see the same ones.
+    long as `order` ends in something that tells its rows apart. There are as many runs as shuffle
+    partitions, less those that adaptive execution merges because they are small, or exactly `runs`.
+    The result is a written table: the borders come from a sample, and every later reader has to
+    see the same ones.
     """
-    n = runs or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[as_column(c) for c in order])
+    columns = [as_column(c) for c in order]
+    ranged = df.repartitionByRange(runs, *columns) if runs else df.repartitionByRange(*columns)
     return materialize(ranged.withColumn(RUN, F.spark_partition_id()), "runs")
 
 

@@ -38,6 +38,7 @@ def pct_change(
     order: Sequence[str],
     columns: Sequence[str],
     one_row_per_date: bool = False,
+    runs: int | None = None,
 ) -> DataFrame:
     """Replace each column by its relative change from the previous row of its series.
 
@@ -48,7 +49,7 @@ def pct_change(
         return df.withColumns(
             {c: F.try_divide(as_column(c), F.lag(as_column(c)).over(window)) - 1 for c in columns}
         )
-    cut = cut_into_runs(df, [*keys, *order])
+    cut = cut_into_runs(df, [*keys, *order], runs)
     inside = Window.partitionBy(*_columns(keys), RUN).orderBy(*_columns(order))
     values = F.struct(*[as_column(c).alias(str(i)) for i, c in enumerate(columns)])
     local = cut.withColumn("_lag", F.lag(values).over(inside))
@@ -85,6 +86,7 @@ def denoise_series(
     column: str,
     threshold: float,
     one_row_per_date: bool = False,
+    runs: int | None = None,
 ) -> DataFrame:
     """Flatten small moves: a value within `threshold` times itself of its raw predecessor takes
     the first value of the running step, rounded to 4 places; any other value starts a step."""
@@ -96,7 +98,7 @@ def denoise_series(
         flagged = df.withColumn("_start", start)
         return flagged.withColumn(column, F.last("_start", ignorenulls=True).over(_so_far(window))["v"]).drop("_start")
 
-    cut = cut_into_runs(df, [*keys, *order])
+    cut = cut_into_runs(df, [*keys, *order], runs)
     inside = Window.partitionBy(*_columns(keys), RUN).orderBy(*_columns(order))
     rounded = F.struct(round_4(column).alias("v"))
     # Steps that start inside the run; its first row is decided with the border table.
