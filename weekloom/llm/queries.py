@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import bpe, chat, contamination, exact, sharding
+from weekloom.llm import bpe, chat, contamination, exact, neardup, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,32 @@ def op2_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query(
+    "op3_odd_sketch_minhash",
+    """WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, w[p] || ' ' || coalesce(w[p + 1], '') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w)))) AS p FROM w WHERE len(w) > 0)
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), c AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL
+    ), l AS (
+        SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+    ), e AS (
+        SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+    ), r(doc_id, m) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id WHERE r.m < e.b
+    )
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept
+    FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+)
+def op3_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 _HIT_SQL = """WITH d AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
