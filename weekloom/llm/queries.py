@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import bpe, chat, contamination, exact, neardup, sharding
+from weekloom.llm import bpe, chat, contamination, exact, neardup, repeats, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +122,30 @@ def op6_salted_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op7_winnowed_seed_extend",
+    """WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), x AS (
+        SELECT doc_id, p, md5(array_to_string(w[p : p + 19], ' ')) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)
+    ), r AS (
+        SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM x) WHERE n > 1
+    ), q AS (
+        SELECT doc_id, list(DISTINCT p + k) AS gone FROM r, range(20) t(k) GROUP BY doc_id
+    ), e AS (
+        SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+    ), k AS (
+        SELECT e.doc_id, string_agg(word, ' ' ORDER BY p) AS kept
+        FROM e LEFT JOIN (SELECT doc_id, unnest(gone) AS p, true AS out FROM q) o USING (doc_id, p) WHERE out IS NULL GROUP BY e.doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN q USING (doc_id) LEFT JOIN k USING (doc_id)""",
+)
+def op7_winnowed_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 @query(
     "op8_snapshot_collapse",
     """WITH t AS (
