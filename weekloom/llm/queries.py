@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import bpe, chat, contamination, exact, neardup, repeats, sharding
+from weekloom.llm import bpe, chat, contamination, exact, language, neardup, quality, repeats, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(column: str = "doc_id") -> Column:
+    """Documents that no model learns from."""
+    return F.pmod(F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")), F.lit(4)) == 2
+
+
 @query("op1_vector_packing")
 def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sharding.pack_documents(table(spark, sf_dir, "documents"), SHARDS)
@@ -70,6 +75,13 @@ def op3_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+@query("op4_output_codes_language")
+def op4_output_codes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~held_out()))
+    return language.identify(docs, model).withColumn("held_out", held_out())
+
+
 _HIT_SQL = """WITH d AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
@@ -165,3 +177,14 @@ def op7_winnowed_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_conversations(table(spark, sf_dir, "conversations"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    labels = table(spark, sf_dir, "labels")
+    return quality.train(table(spark, sf_dir, "documents"), labels.filter(~held_out()))
+
+
+@query("op10_naive_bayes_support_vectors")
+def op10_naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int")).withColumn("held_out", held_out())
