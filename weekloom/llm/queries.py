@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import bpe, chat, contamination, exact, language, neardup, quality, repeats, sharding
+from weekloom.llm import bpe, chat, contamination, exact, html, language, neardup, quality, repeats, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -188,3 +188,9 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
 def op10_naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int")).withColumn("held_out", held_out())
+
+
+@query("op9_boosted_dom_trees")
+def op9_boosted_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
