@@ -26,7 +26,7 @@ from weekloom.llm.frames import only
 from weekloom.llm.words import pieces
 
 #: Pages whose texts the training pages are made of, about, and pages made.
-SAMPLE, MADE = 200, 600
+SAMPLE, MADE = 200, 900
 
 # Elements of HTML by how they are treated.
 BLOCKS = (
@@ -248,11 +248,17 @@ def node_table(pages: Pages) -> Nodes:
         begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
         place[level[order]] = np.arange(len(p)) - np.repeat(begin, np.diff(np.r_[begin, len(p)]))
     size, links, stops_, words_, blocks, tag_count = below
+    # What the page is like as a whole.
+    first = np.array(pages.first, np.int64)
+    root = np.repeat(first, np.diff(np.r_[first, n]))
+    signs = np.stack([group == 0, np.array(pages.about) > 0, around > 0]).astype(float)
+    signs = np.add.reduceat(signs, first, axis=1)[:, np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))]
     features = np.stack(
         [
             depth, siblings, siblings[up], place, np.log1p(base[0]), np.log1p(size), links / np.maximum(size, 1),
             size / np.maximum(tag_count, 1), stops_ / np.maximum(words_, 1), words_ / np.maximum(blocks, 1), np.log1p(blocks),
-            size / np.maximum(size[up], 1), links[up] / np.maximum(size[up], 1), np.log1p(size[up]), *mine, *above,
+            size / np.maximum(size[up], 1), links[up] / np.maximum(size[up], 1), np.log1p(size[up]),
+            size / np.maximum(size[root], 1), np.log1p(size[root]), *signs, *mine, *above,
         ]
     )
     return Nodes(features.T.astype(np.float32), parent, levels, base[0])
@@ -455,7 +461,7 @@ class _Layouts:
 
     def page(self) -> tuple[str, int]:
         """A page, and whether text right in its body is article."""
-        if self.chance(0.15):  # nothing but the article
+        if self.chance(0.2):  # nothing but the article
             bare = "".join(f"{self.text()}{self.pick('<br>', '<hr>', ' ')}" for _ in self.some(1, 4))
             inside = self.pick(bare, self.prose(1, 1, 6), self.article())
             return self.pick(inside, f"<html><body>{inside}</body></html>", f'<div data-y="1">{inside}</div>'), 1
