@@ -351,7 +351,7 @@ def test_passages(frame, monkeypatch, block):
     expected = contaminated_by_force(docs, ITEMS)
     assert {i: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for i, r in found.items()} == expected
     assert found[102]["longest"] == 16
-    wide = frame(docs, "doc_id bigint, text string").withColumn("spans", F.lit(1)).withColumn("TEXT", F.lit("x"))
+    wide = frame(docs, "doc_id bigint, text string").select("*", F.lit(1).alias("spans"), F.lit("x").alias("TEXT"))
     kept = contamination.drop_contaminated(wide, items)
     assert kept.columns == ["doc_id", "text", "spans", "TEXT"]
     assert {r["doc_id"] for r in kept.collect()} == {i for i, x in expected.items() if not x[3]}
@@ -410,7 +410,10 @@ def test_exact_odd_rows(none, odd):
     assert len(long) == 4 and {r["keep_id"] for r in long} == {1} and sum(r["kept"] for r in long) == 2
     empty = [r for r in rows if r["text_sha256"] == sha("")]
     assert len(empty) == 3 and {r["keep_id"] for r in empty} == {2}
-    assert exact.drop_exact_copies(odd).columns == ["doc_id", "text"]
+    wide = odd.select("*", F.lit(1).alias("DOC_ID"), F.lit(2).alias("text"))
+    kept = exact.drop_exact_copies(wide)
+    assert kept.columns == ["doc_id", "text", "DOC_ID", "text"]
+    assert sorted(str(r[0]) for r in kept.collect()) == ["1", "1", "2", "2", "3", "3"]
 
 
 # 7 repeated passages

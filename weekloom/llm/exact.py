@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.frames import lower_ascii, only
+from weekloom.llm.frames import having, lower_ascii, only
 from weekloom.session import materialize
 
 #: A digest is hot from this share of the rows on, so there are at most HOT_PARTS hot digests.
@@ -13,10 +13,6 @@ HOT_PARTS = 1000
 SALTS = 64
 
 
-def _digest(text):
-    return F.sha2(text, 256), F.xxhash64(text)
-
-
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Groups of equal texts: one row per document with `keep_id`, `group_size`, `kept` and `text_sha256`.
 
@@ -71,5 +67,5 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns. Of rows that repeat both id and text all stay."""
-    kept = exact_groups(docs, id_column, text_column).filter("kept").select(F.col(id_column).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_column].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = exact_groups(docs, id_column, text_column).filter("kept").select(id_column)
+    return having(docs, kept, id_column)

@@ -20,3 +20,11 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     so further columns may repeat a name or differ from one in case only."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"c{df.columns.index(c)}").alias(c) for c in columns])
+
+
+def having(docs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    """The rows of `docs` whose id is in the one column of `ids`, null among them, with all their columns."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    wanted = ids.toDF("kept_id").distinct()
+    same = plain[f"c{docs.columns.index(id_column)}"].eqNullSafe(wanted["kept_id"])
+    return plain.join(wanted, same, "left_semi").toDF(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm.components import connected_components
-from weekloom.llm.frames import only
+from weekloom.llm.frames import having, only
 from weekloom.llm.words import SPACED_LOWER, gram_hashes, mix, pieces, random_words, read_words
 from weekloom.session import materialize
 
@@ -317,8 +317,13 @@ def _confirm(shingle: int, similarity: tuple[int, int]):
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame,
+    shingle: int = 5,
+    similarity: tuple[int, int] = (80, 100),
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
     """The rows of `docs` whose class is named after them, with all their columns."""
-    classes = near_duplicates(docs, shingle, similarity, id_column, text_column)
-    kept = classes.filter("kept").select(F.col(id_column).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_column].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = near_duplicates(docs, shingle, similarity, id_column, text_column).filter("kept").select(id_column)
+    return having(docs, kept, id_column)
