@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ BANDS = SAMPLES // BAND
 #: Bits of an odd sketch.
 SKETCH = 256
 #: Members of a bucket that are compared in one block.
-BLOCK = 2048
+BLOCK = 1024
 #: Members that are confirmed against one hub in one place.
 HUB_PART = 256
 
@@ -147,8 +148,9 @@ def near_duplicates(
 
     Equal sets are collapsed before anything is paired. A band's bucket is compared with one member, its
     hub; after links have made components, what lies in the same bucket but in different components is
-    compared by sketches, block by block, without giving out pairs that sketches rule out. So a bucket of
-    copies costs a pair each, and no candidate is dropped.
+    compared, block by block, by sketches and then by the sets. So a bucket of copies costs a pair each, a
+    bucket of texts that are nearly similar enough costs their comparison in memory, and no candidate is
+    dropped.
     """
     signed = materialize(signatures(docs, shingle, id_column, text_column), "signatures")
     sketch = [f"s{i}" for i in range(SKETCH // 64)]
@@ -160,8 +162,8 @@ def near_duplicates(
         "nodes",
     )
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-    buckets = materialize(placed.join(shared.select("bucket", "hub"), "bucket"), "buckets")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = materialize(_with_hubs(placed.join(shared, "bucket")), "buckets")
 
     # Texts of documents that share a bucket at all; only they are needed again.
     involved = buckets.select("node").distinct()
@@ -174,8 +176,7 @@ def near_duplicates(
     links = materialize(_confirmed(_alike(stars, nodes, sketch, limit), texts, shingle, similarity), "links")
     components = materialize(connected_components(links), "components")
 
-    rest = _across(buckets, nodes, components, sketch, limit)
-    more = materialize(_confirmed(rest, texts, shingle, similarity), "links")
+    more = materialize(_across(buckets, texts, components, shingle, similarity, limit), "links")
     if not more.isEmpty():
         components = materialize(connected_components(links.union(more)), "components")
 
@@ -190,6 +191,18 @@ def near_duplicates(
     )
 
 
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """Members of buckets with the `hub` of each: the member that meets most others over all its buckets.
+
+    Copies that were each changed elsewhere share more bands with their source than with each other, so the
+    source is the hub of their buckets, and stars around hubs already link them all.
+    """
+    central = members.groupBy("node").agg(F.sum("size").alias("met"))
+    known = members.select("bucket", "node").join(central, "node")
+    hubs = known.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("met"), F.col("node"))).alias("hub"))
+    return members.select("bucket", "node").join(hubs, "bucket")
+
+
 def _odd(a: str, b: str, sketch: list[str]) -> Column:
     total = F.lit(0)
     for s in sketch:
@@ -204,11 +217,14 @@ def _alike(pairs: DataFrame, nodes: DataFrame, sketch: list[str], limit: int) ->
     return pairs.join(left, "a").join(right, "b").filter(_odd("x", "y", sketch) <= limit).select("a", "b")
 
 
-def _across(buckets: DataFrame, nodes: DataFrame, components: DataFrame, sketch: list[str], limit: int) -> DataFrame:
-    """Pairs within a bucket but in different components that are alike by their sketches.
+def _across(
+    buckets: DataFrame, texts: DataFrame, components: DataFrame, shingle: int, similarity: tuple[int, int], limit: int
+) -> DataFrame:
+    """Links within a bucket between members of different components.
 
     A bucket's largest component needs no comparison within itself. The members of the others are cut into
-    blocks; everyone in the bucket meets every block, which is streamed past it.
+    blocks; everyone in the bucket meets every block, which is streamed past it. Only links leave the task:
+    a family whose members are all nearly, but not quite, similar enough makes no table of pairs.
     """
     known = components.withColumnRenamed("component", "c")
     members = buckets.join(known, "node", "left").withColumn("c", F.coalesce("c", "node"))
@@ -219,66 +235,94 @@ def _across(buckets: DataFrame, nodes: DataFrame, components: DataFrame, sketch:
         F.max_by("c", F.struct("n", "c")).alias("main"), (F.sum("n") - F.max("n")).alias("minor")
     )
     main = main.withColumn("blocks", F.ceil(F.col("minor") / BLOCK).cast("int"))
-    rows = members.join(main, "bucket").join(nodes.select("node", *sketch), "node")
+    rows = members.join(main, "bucket").join(texts, members["node"] == texts["id"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", F.when(F.col("c") != F.col("main"), own).otherwise(F.lit(-1)))
     met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("first", F.col("own") == F.col("block"))
     ordered = met.repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("first"), "node")
     kind = ordered.schema["node"].dataType.simpleString()
-    columns = ["bucket", "block", "first", "own", "node", "c", "hub", *sketch]
-    pairs = ordered.select(*columns).mapInArrow(_compare_blocks(limit), f"a {kind}, b {kind}")
-    return pairs.distinct()
+    columns = ["bucket", "block", "first", "own", "node", "c", "hub", "text"]
+    links = ordered.select(*columns).mapInArrow(_compare_blocks(shingle, similarity, limit), f"a {kind}, b {kind}")
+    return links.distinct()
+
+
+@dataclass
+class _Members:
+    """Some members of a bucket: who they are, and their sets, sketches and bands."""
+
+    first: np.ndarray
+    own: np.ndarray
+    node: np.ndarray
+    c: np.ndarray
+    hub: np.ndarray
+    sketch: np.ndarray
+    bands: np.ndarray
+    sets: list[np.ndarray]
 
+    def pick(self, rows: np.ndarray) -> _Members:
+        arrays = (getattr(self, f)[rows] for f in ("first", "own", "node", "c", "hub", "sketch", "bands"))
+        return _Members(*arrays, [self.sets[i] for i in rows.tolist()])
 
-def _compare_blocks(limit: int):
+
+def _compare_blocks(shingle: int, similarity: tuple[int, int], limit: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, []
-        for batch in batches:
-            bucket = batch.column(0).to_numpy()
-            number = batch.column(1).to_numpy()
-            first, own, node, c, hub = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 7))
-            words = np.stack([batch.column(i).to_numpy() for i in range(7, 7 + SKETCH // 64)], axis=1).view(np.uint64)
+        for batch in pieces(batches, 7, 1 << 20):
+            bucket, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 7)]
+            sets = shingle_sets(batch.column(7), shingle)
+            samples = np.stack([min_hashes(s) for s in sets])
+            rows = _Members(*plain, odd_sketch(samples), band_hashes(samples), sets)
             cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1])) + 1
-            a_out, b_out = [], []
+            found: list[tuple] = []
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-                if j == i:
-                    continue
                 if key != (bucket[i], number[i]):
                     key, block = (bucket[i], number[i]), []
                 for k in range(i, j, 256):
-                    part = slice(k, min(j, k + 256))
-                    rows = (node[part], c[part], own[part], hub[part], words[part])
+                    part = rows.pick(np.arange(k, min(j, k + 256)))
                     for held in block:
-                        _pairs(held, rows, key[1], limit, a_out, b_out)
-                    if first[part].any():
-                        mine = tuple(x[first[part]] for x in rows)
-                        _pairs(mine, rows, key[1], limit, a_out, b_out)
+                        found += _links(held, part, *key, similarity, limit)
+                    if part.first.any():
+                        mine = part.pick(np.flatnonzero(part.first))
+                        found += _links(mine, part, *key, similarity, limit)
                         block.append(mine)
-            if a_out:
+            if found:
                 kind = batch.schema.field("node").type
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(a_out), kind), pa.array(np.concatenate(b_out), kind)], ["a", "b"]
-                )
+                a, b = (pa.array(list(side), kind) for side in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
     return run
 
 
-def _pairs(held: tuple, rows: tuple, block: int, limit: int, a_out: list, b_out: list) -> None:
-    """Pairs between held members of this block and further rows that lie in other components."""
-    node_a, c_a, _, hub, words_a = held
-    node_b, c_b, own_b, _, words_b = rows
-    odd = np.zeros((len(node_a), len(node_b)), np.int64)
-    for i in range(words_a.shape[1]):
-        odd += np.bitwise_count(words_a[:, i, None] ^ words_b[None, :, i])
-    good = (odd <= limit) & (c_a[:, None] != c_b[None, :])
-    # Hubs have been compared with all; a pair from two blocks is given out once, by the smaller node's.
-    good &= (node_a != hub)[:, None] & (node_b[None, :] != hub[0] if len(hub) else True)
-    good &= (own_b < 0)[None, :] | (node_a[:, None] < node_b[None, :])
+def _links(held: _Members, rows: _Members, bucket: int, block: int, similarity: tuple[int, int], limit: int) -> list[tuple]:
+    """Links between held members of this block and further rows that lie in other components."""
+    odd = np.zeros((len(held.node), len(rows.node)), np.int64)
+    for i in range(held.sketch.shape[1]):
+        odd += np.bitwise_count(held.sketch[:, i, None] ^ rows.sketch[None, :, i])
+    good = (odd <= limit) & (held.c[:, None] != rows.c[None, :])
+    # Hubs have been compared with all; two minor members meet in both their blocks, once is enough.
+    good &= (held.node != held.hub)[:, None] & (rows.node != rows.hub)[None, :]
+    good &= (rows.own < 0)[None, :] | (held.node[:, None] < rows.node[None, :])
     a, b = np.nonzero(good)
-    if len(a):
-        a_out.append(node_a[a])
-        b_out.append(node_b[b])
+    # Of the buckets that two members share, only the first counts.
+    band = (held.bands[0].view(np.int64) == bucket).argmax() if len(held.node) else 0
+    once = (held.bands[a] == rows.bands[b])[:, :band].any(axis=1)
+    out = []
+    for i, j in zip(a[~once].tolist(), b[~once].tolist(), strict=True):
+        if _similar(held.sets[i], rows.sets[j], similarity):
+            out.append((held.node[i], rows.node[j]))
+    return out
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
+    """Whether two sorted sets are similar enough, by counting what they have in common."""
+    least, whole = similarity
+    if min(len(a), len(b)) * whole < least * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate((a, b)))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return whole * common >= least * (len(a) + len(b) - common)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
@@ -308,9 +352,7 @@ def _confirm(shingle: int, similarity: tuple[int, int]):
                 if role[i] == 0:
                     hub = own
                     continue
-                both = np.sort(np.concatenate((hub, own)))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked[i] = similarity[1] * common >= similarity[0] * (len(hub) + len(own) - common)
+                linked[i] = _similar(hub, own, similarity)
             kept = batch.filter(pa.array(linked))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(3)], ["a", "b"])
 
