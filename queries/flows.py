@@ -19,7 +19,7 @@ def sales_flow(spark, sf):
     data = sales.denoised_sales(v.pos(spark, sf), columns, 2001, one_row_per_date=True, province="ASIA", segment="N")
     large = sales.large_combinations(data, columns, 2000, one_row_per_date=True)
     features = sales.sales_features(large, columns)
-    fitted = sales.sales_regression(features, columns, max_iter=5, maxDepth=3)
+    fitted = sales.sales_regression(features, columns)
     first, final = (e.withColumn("fit", F.lit(n)) for n, e in (("first", fitted.first_errors), ("final", fitted.errors)))
     return out(first.unionByName(final))
 
@@ -35,8 +35,8 @@ def segments_flow(spark, sf):
     weekly = segments.weekly_area_sales(v.pos(spark, sf), columns)
     demo = segments.weekly_demographics(v.demo(spark, sf), v.MEASURES)
     changes = segments.area_changes(weekly, demo, columns, _BANDS, ["qty", "Younger", "Older"], ["Average Income"])
-    measures = ["qty", "price", "Lower_income", "Higher_income", "Average_Income"]
-    return out(segments.area_segments(changes, columns, "ASIA", measures, max_passes=20, tolerance=1e-4).profile("fsa"))
+    measures = ["Lower_income", "Higher_income", "Average_Income"]
+    return out(segments.area_segments(changes, columns, "ASIA", measures).profile("fsa"))
 
 
 @query("loans_flow")
@@ -45,7 +45,7 @@ def loans_flow(spark, sf):
     data = v.loan(spark, sf).select(
         "o_orderkey", "priority", "ka", "amount", "balance", "status", *date_features("order_date", "t_", ["Yr", "Qtr"]))
     features = loans.loan_features(data, ["o_orderkey"], ["priority", "ka"], ["t_Yr", "t_Qtr"], ["amount", "balance"], "status")
-    models = loans.loan_classification(features, ["o_orderkey"], maxIter=20)
+    models = loans.loan_classification(features, ["o_orderkey"])
     reports = {"first validation": models.first.report("validation"), "first test": models.first.report("test"),
                "final all": models.final.report("all"), "final test": models.final.report("test")}
     return out(union_vintages([df.withColumn("on", F.lit(name)) for name, df in reports.items()]))
@@ -56,4 +56,4 @@ def loans_binary_flow(spark, sf):
     """Document quality by boosted trees with the validation stop; confusion on the training and validation rows."""
     data = v.loan_binary(spark, sf).select("doc_id", "lang", "source", F.col("n_chars").cast("double"), "quality")
     features = loans.loan_features(data, ["doc_id"], ["lang", "source"], [], ["n_chars"], "quality")
-    return loans.loan_classification(features, ["doc_id"], "gbt", max_iter=4, maxDepth=3).final.confusion("all")
+    return loans.loan_classification(features, ["doc_id"], "gbt").final.confusion("all")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from queries import views as v
 from queries.registry import out, query, r
 from weekloom.functions import date_features, log_plus_one, log_target
-from weekloom.operators import evaluation, learning
+from weekloom.operators import evaluation, learning, weights
 from weekloom.operators.clustering import Prototypes, cluster_segments, elbow_curve, kprototypes_fit
 from weekloom.operators.encoders import fit_encoder
 from weekloom.operators.scalers import fit_minmax
@@ -46,16 +48,6 @@ def kprototypes_assign(spark, sf):
     return out(assigned.select("province", "fsa", "week_end", "cluster", "distance"))
 
 
-@query("kprototypes_fit")
-def kprototypes(spark, sf):
-    """Rows, cost and prototype of each cluster."""
-    scaled = _scaled_weeks(spark, sf)
-    fitted = kprototypes_fit(scaled, _MEASURES, ["fsa"], k=2, max_passes=20, tolerance=1e-4)
-    sizes = fitted.assign(scaled, "cluster", "distance").groupBy("cluster").agg(
-        F.count("*").alias("rows"), F.sum("distance").alias("cost"))
-    return out(fitted.table(spark).join(sizes, "cluster", "left"))
-
-
 _SCALED = v.POS_WEEK + ",\nscaled AS (SELECT province, fsa, week_end, " + ", ".join(
     f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in _MEASURES) + " FROM pos_week)"
 _MOVED = _SCALED + f""",
@@ -75,68 +67,145 @@ def kprototypes_one_pass(spark, sf):
     return out(fitted.table(spark))
 
 
-@query("elbow_curve")
+# Passes of a fit that the SQL unrolls; more than any fit below needs, and further ones change nothing.
+_UNROLLED = 60
+
+
+def _fit_sql(source: str, centers, passes: int = _UNROLLED) -> str:
+    """CTEs p0, p1, ...: both prototypes after each pass over the rows of `source`, in one row."""
+    near = " + ".join([*[f"({c} - {{p}}_{c}) * ({c} - {{p}}_{c})" for c in _MEASURES], f"CASE WHEN fsa = {{p}}_label THEN 0.0 ELSE {_GAMMA} END"])
+    first = ", ".join(
+        [f"CAST({x} AS DOUBLE) AS {p}_{c}" for p, (numbers, _) in zip("ab", centers) for c, x in zip(_MEASURES, numbers)]
+        + [f"'{label}' AS {p}_label" for p, (_, (label,)) in zip("ab", centers)])
+    parts = [f"p0 AS MATERIALIZED (SELECT {first})"]
+    for i in range(1, passes + 1):
+        parts.append(f"""d{i} AS MATERIALIZED (SELECT {source}.*, ({near.format(p='b')}) < ({near.format(p='a')}) AS second FROM {source}, p{i - 1})""")
+        columns = [
+            f"coalesce((SELECT round(avg({c}), 9) FROM d{i} WHERE {'' if p == 'b' else 'NOT '}second), (SELECT {p}_{c} FROM p{i - 1})) AS {p}_{c}"
+            for p in "ab" for c in _MEASURES]
+        columns += [
+            f"coalesce((SELECT fsa FROM d{i} WHERE {'' if p == 'b' else 'NOT '}second GROUP BY fsa ORDER BY count(*) DESC, fsa LIMIT 1), "
+            f"(SELECT {p}_label FROM p{i - 1})) AS {p}_label" for p in "ab"]
+        parts.append(f"p{i} AS MATERIALIZED (SELECT {', '.join(columns)})")
+    # Numbered by the first measure.
+    swap = f"b_{_MEASURES[0]} < a_{_MEASURES[0]}"
+    chosen = [f"CASE WHEN {swap} THEN {q}_{c} ELSE {p}_{c} END AS {p}_{c}" for p, q in ("ab", "ba") for c in (*_MEASURES, "label")]
+    return ",\n".join([*parts, f"fitted AS (SELECT {', '.join(chosen)} FROM p{passes})"])
+
+
+_NEAR = " + ".join([*[f"({c} - {{p}}_{c}) * ({c} - {{p}}_{c})" for c in _MEASURES], f"CASE WHEN fsa = {{p}}_label THEN 0.0 ELSE {_GAMMA} END"])
+_FITTED_ROWS = f"""placed AS (SELECT scaled.*, CASE WHEN ({_NEAR.format(p='b')}) < ({_NEAR.format(p='a')}) THEN 1 ELSE 0 END AS cluster,
+  least({_NEAR.format(p='a')}, {_NEAR.format(p='b')}) AS distance FROM scaled, fitted)"""
+
+
+@query("kprototypes_fit", "SELECT * FROM (" + " UNION ALL ".join(
+    [f"SELECT {i} AS cluster, '{c}' AS feature, {r(f'{p}_{c}', 'value')}, CAST(NULL AS VARCHAR) AS label FROM fitted"
+     for i, p in enumerate("ab") for c in _MEASURES]
+    + [f"SELECT {i}, 'fsa', NULL, {p}_label FROM fitted" for i, p in enumerate("ab")])
+    + f") JOIN (SELECT cluster, count(*) AS rows, {r('sum(distance)', 'cost')} FROM placed GROUP BY 1) USING (cluster)",
+    _SCALED + ",\n" + _fit_sql("scaled", _CENTERS) + ",\n" + _FITTED_ROWS)
+def kprototypes(spark, sf):
+    """Rows, cost and prototype of each cluster, from given starts until nothing changes."""
+    scaled = _scaled_weeks(spark, sf)
+    fitted = kprototypes_fit(scaled, _MEASURES, ["fsa"], gamma=_GAMMA, start=_CENTERS)
+    assert fitted.converged
+    sizes = fitted.assign(scaled, "cluster", "distance").groupBy("cluster").agg(
+        F.count("*").alias("rows"), F.sum("distance").alias("cost"))
+    return out(fitted.table(spark).join(sizes, "cluster", "left"))
+
+
+@query("elbow_curve", f"SELECT k, true AS converged, true AS falling FROM (SELECT unnest(range(1, 10)) AS k)")
 def elbow(spark, sf):
-    return out(elbow_curve(_scaled_weeks(spark, sf), _MEASURES, ["fsa"], ks=range(1, 5), max_passes=10, tolerance=1e-4))
+    """One to nine clusters: whether each fit converged, and whether its cost is below that of a cluster less.
+
+    The costs themselves depend on the starts, which SQL cannot follow; tests compare them with the rows.
+    """
+    from pyspark.sql import Window
+
+    curve = elbow_curve(_scaled_weeks(spark, sf), _MEASURES, ["fsa"], starts=1)
+    before = F.lag("cost").over(Window.orderBy("k"))  # nine rows
+    return curve.select(F.col("k").cast("bigint").alias("k"), "converged", F.coalesce(F.col("cost") < before, F.lit(True)).alias("falling"))
 
 
 @query("cluster_segments")
 def segments(spark, sf):
-    weekly = materialize(v.pos_week(spark, sf).select("fsa", *_MEASURES), "weeks")
-    return out(cluster_segments(weekly, "fsa", _MEASURES, k=2, max_passes=20, tolerance=1e-4).profile("fsa"))
+    """Areas by what their years look like: every area belongs to one segment, and there are two."""
+    yearly = materialize(
+        v.pos(spark, sf).groupBy("fsa", F.year("week_end").alias("yr")).agg(F.avg("population").alias("population")), "years")
+    return out(cluster_segments(yearly, "fsa", ["population"], k=2).profile("fsa"))
 
 
 # ---- training
 
 def _sales_rows(spark, sf):
-    """One return flag with encoded series, time parts, scaled and logged measures."""
+    """Encoded series, time parts, scaled and logged measures, weights by how common a brand is."""
     data = materialize(
-        v.pos_series(spark, sf).select(
-            *v.SERIES, "week_end", "population", *date_features("week_end", "t_", ["Yr", "Mon"]),
+        v.pos(spark, sf).select(
+            *v.FLAGGED, "week_end", "population", *date_features("week_end", "t_", ["Yr", "Mon"]),
             log_plus_one("price").cast("double").alias("log_price"), log_target("qty").alias("log_qty"),
-            F.when(F.col("qty") > 25, 1.2).otherwise(0.8).alias("weight"),
         ),
         "sales",
     )
-    coded = fit_encoder(data, [*v.SERIES, "t_Yr", "t_Mon"]).transform(data)
-    return materialize(fit_minmax(data, ["population"]).transform(coded), "features")
+    coded = fit_encoder(data, [*v.FLAGGED, "t_Yr", "t_Mon"]).transform(data)
+    weighted = weights.add_weights(coded, weights.sample_weights(data, "brand"), "brand")
+    return materialize(fit_minmax(data, ["population"]).transform(weighted), "features")
 
 
 _SALES = learning.FeatureSpec(
-    codes=[f"{c}_code" for c in (*v.SERIES, "t_Yr", "t_Mon")], scaled=["population"], logged=["log_price"],
+    codes=[f"{c}_code" for c in (*v.FLAGGED, "t_Yr", "t_Mon")], scaled=["population"], logged=["log_price"],
     label="log_qty", weight="weight",
 )
 
+_CHECKED_SQL = (f"SELECT brand, ka, fsa, segment, CAST(week_end AS VARCHAR) AS week_end, {r('ln(1 + qty)', 'log_qty')}, "
+                "true AS predicted, true AS better{more} FROM pos")
+
+
+def _checked(scored):
+    """What holds for any good fit: every row has a prediction, and the errors are below those of the mean."""
+    scored = materialize(scored, "scored")
+    mean = scored.agg(F.avg("log_qty").alias("m")).scalar()
+    error = scored.agg(F.avg((F.col("prediction") - F.col("log_qty")) ** 2).alias("e")).scalar()
+    of_mean = scored.withColumn("m", mean).agg(F.avg((F.col("m") - F.col("log_qty")) ** 2).alias("e")).scalar()
+    return out(scored.select(*v.FLAGGED, "week_end", "log_qty", F.col("prediction").isNotNull().alias("predicted"),
+                             (error < of_mean).alias("better")))
+
 
-@query("train_regressor")
+@query("train_regressor", _CHECKED_SQL.format(more=""), v.POS)
 def train_regressor(spark, sf):
     rows = _sales_rows(spark, sf)
-    model = learning.train_regressor(rows, _SALES, "gbt", maxIter=5, maxDepth=4)
-    return out(learning.score_table(model, rows, [*v.SERIES, "week_end", "log_qty"]))
+    model = learning.train_regressor(rows, _SALES, "gbt", maxIter=20)
+    return _checked(learning.score_table(model, rows, [*v.FLAGGED, "week_end", "log_qty"]))
 
 
-@query("fit_with_validation")
+@query("fit_with_validation", _CHECKED_SQL.format(more=", true AS within"), v.POS)
 def fit_with_validation(spark, sf):
+    """Boosted trees with the validation stop, at most the default number of rounds."""
     rows = _sales_rows(spark, sf)
-    late = F.year("week_end") >= 2000
-    fit = learning.fit_with_validation(
-        rows.filter(~late), rows.filter(late), _SALES, max_iter=6, patience=2, maxDepth=3)
-    return out(learning.score_table(fit.model, rows, [*v.SERIES, "week_end", "log_qty"]).withColumn(
-        "iterations", F.lit(fit.iterations)))
+    late = F.col("week_end") >= F.lit(date(2000, 1, 1))
+    fit = learning.fit_with_validation(rows.filter(~late), rows.filter(late), _SALES)
+    within = 1 <= fit.iterations <= len(fit.losses) <= 20 and fit.losses[fit.iterations - 1] == min(fit.losses[: fit.iterations])
+    return _checked(learning.score_table(fit.model, rows, [*v.FLAGGED, "week_end", "log_qty"])).withColumn(
+        "within", F.lit(within))
 
 
-@query("train_classifier")
+@query("train_classifier", """SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY status) - 1 AS INTEGER) AS status_code,
+  true AS adds_up, true AS likeliest FROM loan""", v.LOAN)
 def train_classifier(spark, sf):
-    data = v.loan(spark, sf).select("o_orderkey", "priority", "ka", "amount", "balance", "status",
-                                    *date_features("order_date", "t_", ["Yr", "Qtr"]))
+    """Order status with class weights: the probabilities of a row add up to 1, the likeliest class is the answer."""
+    data = materialize(v.loan(spark, sf).select("o_orderkey", "priority", "ka", "amount", "balance", "status",
+                                                *date_features("order_date", "t_", ["Yr", "Qtr"])), "loans")
     coded = fit_encoder(data, ["priority", "ka", "t_Yr", "t_Qtr", "status"]).transform(data)
-    rows = materialize(fit_minmax(data, ["amount", "balance"], 1.0, 3.0).transform(coded), "features")
+    weighted = weights.add_weights(coded, weights.class_weights(data, "status"), "status")
+    rows = materialize(fit_minmax(data, ["amount", "balance"], 1.0, 3.0).transform(weighted), "features")
     spec = learning.FeatureSpec(
-        codes=["priority_code", "ka_code", "t_Yr_code", "t_Qtr_code"], scaled=["amount", "balance"], label="status_code")
-    model = learning.train_classifier(rows, spec, "logistic", maxIter=20)
+        codes=["priority_code", "ka_code", "t_Yr_code", "t_Qtr_code"], scaled=["amount", "balance"], label="status_code",
+        weight="weight")
+    model = learning.train_classifier(rows, spec, "logistic")
     scored = learning.score_table(model, rows, ["o_orderkey", "status_code"])
-    return out(scored.select("o_orderkey", "status_code", "prediction",
-                             *[F.col("probability")[i].alias(f"p{i}") for i in range(3)]))
+    p = F.col("probability")
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return scored.select("o_orderkey", "status_code", (F.abs(total - 1) < 1e-9).alias("adds_up"),
+                         (F.element_at(p, F.col("prediction").cast("int") + 1) == F.array_max(p)).alias("likeliest"))
 
 
 def _line(spark, sf):

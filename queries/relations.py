@@ -55,16 +55,17 @@ kept AS (SELECT * FROM (
   FROM pos WHERE (brand, ka, fsa) IN (SELECT (brand, ka, fsa) FROM kept)""", v.POS + ",\n" + SHARES)
 def join_right_semi(spark, sf):
     data = v.pos_rows(spark, sf, "brand", "ka", "fsa", "segment", "week_end", "qty", "price")
-    kept = cumulative_share_cut(data.filter(F.year("week_end") == 2000), v.SERIES, "price", "qty", 0.05)
-    return out(joins.keep_keys(data, kept, v.SERIES, rows="n"))
+    kept = cumulative_share_cut(v.pos(spark, sf, 2000), v.SERIES, "price", "qty", 0.05)
+    return out(joins.keep_keys(data, kept, v.SERIES))
 
 
 @query("lookup_join", f"""SELECT brand, ka, fsa, segment, CAST(week_end AS VARCHAR) AS week_end, {r('qty')}, {r('mean_price', None, 4)}
   FROM pos JOIN (SELECT brand, avg(price) AS mean_price FROM pos GROUP BY 1) USING (brand)""", v.POS)
 def lookup_join(spark, sf):
     data = v.pos_rows(spark, sf, "brand", "ka", "fsa", "segment", "week_end", "qty", "price")
-    table = data.groupBy("brand").agg(F.avg("price").alias("mean_price"), F.count("*").alias("n"))
-    return out(joins.attach(data, table, ["brand"], "n").drop("price"), mean_price=4)
+    table = data.groupBy("brand").agg(F.avg("price").alias("mean_price"))
+    joined = joins.join_left(data, table, ["brand"])
+    return out(joined.select("brand", "ka", "fsa", "segment", "week_end", "qty", "mean_price"), mean_price=4)
 
 
 @query("is_in", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN "
@@ -86,14 +87,14 @@ def group_sum_mean(spark, sf):
 @query("group_mean_sum", f"SELECT brand, ka, fsa, {r('avg(price)', 'price')}, {r('sum(qty)', 'qty')} FROM pos "
        "WHERE year(week_end) = 2000 GROUP BY 1, 2, 3", v.POS)
 def group_mean_sum(spark, sf):
-    year = v.pos(spark, sf).filter(F.year("week_end") == 2000)
+    year = v.pos(spark, sf, 2000)
     return out(agg.group_reduce(year, v.SERIES, sums=["qty"], means=["price"]))
 
 
 @query("grand_total_share", f"SELECT brand, ka, fsa, {r('sales', None, 5)}, {r('sales_share', None, 9)} FROM shares",
        v.POS + ",\n" + SHARES)
 def grand_total_share(spark, sf):
-    year = v.pos(spark, sf).filter(F.year("week_end") == 2000)
+    year = v.pos(spark, sf, 2000)
     sales = agg.combination_sales(year, v.SERIES, "price", "qty")
     return out(sales.select(*v.SERIES, "sales", "sales_share"), sales=5, sales_share=9)
 
@@ -144,31 +145,31 @@ def segment_profile(spark, sf):
     return out(agg.segment_profile(v.pos(spark, sf), "segment", "fsa", _PROFILE), **{f"{m}_mean": 4 for m in _PROFILE})
 
 
-# The segment that sold most in a week and area: a mixed result per area.
+# The return flag that sold most in each year of a series: some series never lead with the first one.
 LEAD_ROWS = """lead_rows AS (
-  SELECT * FROM (
-    SELECT province, fsa, week_end, CASE segment WHEN 'A' THEN 'First' WHEN 'N' THEN 'Second' ELSE 'Third' END AS segment,
-           sum(qty) AS qty, avg(price) AS price
-    FROM pos WHERE qty >= 50 GROUP BY 1, 2, 3, 4)
-  WHERE qty >= 80)"""
+  SELECT series, CAST(yr AS INTEGER) AS yr, qty, CASE segment WHEN 'A' THEN 'First' WHEN 'N' THEN 'Second' ELSE 'Third' END AS segment
+  FROM (
+    SELECT brand || '/' || ka || '/' || fsa AS series, year(week_end) AS yr, segment, sum(qty) AS qty,
+      row_number() OVER (PARTITION BY brand || '/' || ka || '/' || fsa, year(week_end) ORDER BY sum(qty) DESC, segment) AS place
+    FROM pos GROUP BY 1, 2, 3)
+  WHERE place = 1)"""
 
 
 def lead_rows(spark, sf):
-    names = F.when(F.col("segment") == "A", "First").when(F.col("segment") == "N", "Second").otherwise("Third")
-    return (
-        v.pos(spark, sf)
-        .filter("qty >= 50")
-        .groupBy("province", "fsa", "week_end", names.alias("segment"))
-        .agg(F.sum("qty").alias("qty"), F.avg("price").alias("price"))
-        .filter("qty >= 80")
-    )
-
-
-@query("segment_key_share", "SELECT segment, count(DISTINCT fsa) AS keys, "
-       + r("count(DISTINCT fsa) / (SELECT count(DISTINCT fsa) FROM lead_rows)", "key_share") + " FROM lead_rows GROUP BY 1",
+    series = F.concat_ws("/", *v.SERIES)
+    sold = v.pos(spark, sf).groupBy(series.alias("series"), F.year("week_end").alias("yr"), "segment").agg(
+        F.sum("qty").alias("qty"))
+    lead = sold.groupBy("series", "yr").agg(F.min_by(F.struct("segment", "qty"), F.struct(-F.col("qty"), "segment")).alias("top"))
+    flag = F.col("top.segment")
+    names = F.when(flag == "A", "First").when(flag == "N", "Second").otherwise("Third")
+    return lead.select("series", "yr", F.col("top.qty").alias("qty"), names.alias("segment"))
+
+
+@query("segment_key_share", "SELECT segment, count(DISTINCT series) AS keys, "
+       + r("count(DISTINCT series) / (SELECT count(DISTINCT series) FROM lead_rows)", "key_share") + " FROM lead_rows GROUP BY 1",
        v.POS + ",\n" + LEAD_ROWS)
 def segment_key_share(spark, sf):
-    return out(agg.segment_key_share(lead_rows(spark, sf), "segment", "fsa"))
+    return out(agg.segment_key_share(lead_rows(spark, sf), "segment", "series"))
 
 
 _CORR = ["qty", "price", "population"]
@@ -214,17 +215,17 @@ def tail(spark, sf):
 
 # ---- set operations
 
-@query("intersect_keys", "SELECT fsa FROM lead_rows WHERE segment = 'First' INTERSECT SELECT fsa FROM lead_rows WHERE segment = 'Second'",
+@query("intersect_keys", "SELECT series FROM lead_rows WHERE segment = 'First' INTERSECT SELECT series FROM lead_rows WHERE segment = 'Second'",
        v.POS + ",\n" + LEAD_ROWS)
 def intersect_keys(spark, sf):
-    return sets.intersect_keys(lead_rows(spark, sf), "segment", "fsa", "First", "Second")
+    return sets.intersect_keys(lead_rows(spark, sf), "segment", "series", "First", "Second")
 
 
-@query("overlap_resolve", f"""SELECT fsa, CAST(week_end AS VARCHAR) AS week_end, {r('qty')}, was,
-  CASE min(CASE was WHEN 'First' THEN 0 WHEN 'Second' THEN 1 ELSE 2 END) OVER (PARTITION BY fsa)
+@query("overlap_resolve", f"""SELECT series, yr, {r('qty')}, was,
+  CASE min(CASE was WHEN 'First' THEN 0 WHEN 'Second' THEN 1 ELSE 2 END) OVER (PARTITION BY series)
     WHEN 0 THEN 'First' WHEN 1 THEN 'Second' ELSE 'Third' END AS segment
   FROM (SELECT * RENAME (segment AS was) FROM lead_rows)""", v.POS + ",\n" + LEAD_ROWS)
 def overlap_resolve(spark, sf):
     rows = materialize(
-        lead_rows(spark, sf).select("fsa", "week_end", "qty", F.col("segment").alias("was"), "segment"), "leading")
-    return out(sets.overlap_resolve(rows, "segment", "fsa", ["First", "Second", "Third"]))
+        lead_rows(spark, sf).select("series", "yr", "qty", F.col("segment").alias("was"), "segment"), "leading")
+    return out(sets.overlap_resolve(rows, "segment", "series", ["First", "Second", "Third"]))

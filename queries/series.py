@@ -9,6 +9,7 @@ from queries.registry import out, query, r
 from queries.relations import SHARES
 from weekloom.functions import date_features
 from weekloom.operators import series
+from weekloom.operators.filters import in_year
 from weekloom.operators.joins import keep_keys
 from weekloom.operators.shares import cumulative_share_cut
 from weekloom.session import materialize
@@ -29,14 +30,14 @@ denoised AS (
   FROM stepped)"""
 
 
-_SERIES_SQL = "brand, ka, fsa"
+_SERIES_SQL = "brand, ka, fsa, segment"
 
 
-@query("denoise_series", f"SELECT brand, ka, fsa, CAST(week_end AS VARCHAR) AS week_end, {r('smooth', 'qty')} FROM denoised",
-       v.POS_SERIES + ",\n" + denoise_sql("pos_series", _SERIES_SQL, "week_end", "qty", 0.2))
+@query("denoise_series", f"SELECT brand, ka, fsa, segment, CAST(week_end AS VARCHAR) AS week_end, {r('smooth', 'qty')} FROM denoised",
+       v.POS + ",\n" + denoise_sql("pos", _SERIES_SQL, "week_end", "qty", 0.2))
 def denoise_series(spark, sf):
-    data = v.pos_series(spark, sf).select(*v.SERIES, "week_end", "qty")
-    return out(series.denoise_series(data, v.SERIES, ["week_end"], "qty", 0.2, one_row_per_date=True))
+    data = v.pos(spark, sf).select(*v.FLAGGED, "week_end", "qty")
+    return out(series.denoise_series(data, v.FLAGGED, ["week_end"], "qty", 0.2, one_row_per_date=True))
 
 
 def _runs(spark) -> int:
@@ -99,27 +100,33 @@ def resample_ffill(spark, sf):
 @query("cumulative_share_cut", f"SELECT brand, ka, fsa, {r('sales_share', None, 9)}, {r('cum_share', None, 9)} FROM kept",
        v.POS + ",\n" + SHARES)
 def cumulative_share(spark, sf):
-    year = v.pos(spark, sf).filter(F.year("week_end") == 2000)
-    kept = cumulative_share_cut(year, v.SERIES, "price", "qty", 0.05)
+    kept = cumulative_share_cut(v.pos(spark, sf, 2000), v.SERIES, "price", "qty", 0.05)
     return out(kept.select(*v.SERIES, "sales_share", "cum_share"), 9)
 
 
-# One return flag; combinations by their sales of 2000, prices denoised at 1 %.
+# Prices and quantities denoised at 1 %, then the combinations judged by their smoothed sales of 2000.
 _LARGE = (
-    v.POS_SERIES + ",\n" + SHARES.replace("FROM pos ", "FROM pos_series ") + ",\n"
-    + denoise_sql("pos_series", _SERIES_SQL, "week_end", "price", 0.01)
+    v.POS
+    + ",\n" + denoise_sql("pos", _SERIES_SQL, "week_end", "price", 0.01).replace("denoised AS", "by_price AS").replace("smooth", "smooth_price")
+    + ",\n" + denoise_sql("by_price", _SERIES_SQL, "week_end", "qty", 0.01)
+    .replace("lagged", "lagged2").replace("flagged", "flagged2").replace("stepped", "stepped2").replace("denoised AS", "by_both AS")
+    + """,
+denoised AS (SELECT * EXCLUDE (price, qty, smooth, smooth_price), smooth_price AS price, smooth AS qty FROM by_both)"""
+    + ",\n" + SHARES.replace("FROM pos ", "FROM denoised ")
 )
 
 
-@query("large_combination_prices", f"""SELECT brand, ka, province, fsa, CAST(week_end AS VARCHAR) AS week_end,
+@query("large_combination_prices", f"""SELECT brand, ka, province, fsa, segment, CAST(week_end AS VARCHAR) AS week_end,
   CAST(year(denoised.week_end) AS INTEGER) AS "Time_Yr", CAST(week(denoised.week_end) AS INTEGER) AS "Time_Week",
-  CAST(month(denoised.week_end) AS INTEGER) AS "Time_Mon", {r('smooth', 'price')}
+  CAST(month(denoised.week_end) AS INTEGER) AS "Time_Mon", {r('price')}
   FROM denoised WHERE (brand, ka, fsa) IN (SELECT (brand, ka, fsa) FROM kept)""", _LARGE)
 def large_combination_prices(spark, sf):
-    data = materialize(v.pos_series(spark, sf).select(*v.SERIES, "province", "week_end", "qty", "price"), "sales")
-    kept = cumulative_share_cut(data.filter(F.year("week_end") == 2000), v.SERIES, "price", "qty", 0.05)
-    large = keep_keys(data, kept, v.SERIES)
-    smooth = series.denoise_series(large, v.SERIES, ["week_end"], "price", 0.01, one_row_per_date=True)
+    data = v.pos(spark, sf).select(*v.FLAGGED, "province", "week_end", "qty", "price")
+    smooth = materialize(
+        series.denoise_series(data, v.FLAGGED, ["week_end"], ["price", "qty"], 0.01, one_row_per_date=True), "denoised")
+    judged = in_year(smooth, "week_end", 2000)
+    kept = cumulative_share_cut(judged, v.SERIES, "price", "qty", 0.05)
+    large = keep_keys(smooth, kept, v.SERIES)
     parts = date_features("week_end", "Time_", ["Yr", "Week", "Mon"])
-    return out(smooth.select("brand", "ka", "province", "fsa", "week_end", *parts, "price")).orderBy(
-        "brand", "ka", "fsa", "week_end")
+    return out(large.select("brand", "ka", "province", "fsa", "segment", "week_end", *parts, "price")).orderBy(
+        "brand", "ka", "fsa", "segment", "week_end")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,16 @@ from weekloom.operators.sets import union_vintages
 from weekloom.session import materialize
 
 SERIES = ["brand", "ka", "fsa"]
+# With the return flag, a week has one row.
+FLAGGED = [*SERIES, "segment"]
+
+
+def week_range(year: int) -> tuple[datetime, datetime]:
+    """The days, first one and one past the last, that belong to weeks whose Sunday lies in the year."""
+    first, last = datetime(year, 1, 1), datetime(year, 12, 31)
+    opens = first + timedelta(days=6 - first.weekday())
+    closes = last - timedelta(days=(last.weekday() + 1) % 7)
+    return opens - timedelta(days=6), closes + timedelta(days=1)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,17 +34,21 @@ def _half_up(c: Column, scale: int) -> Column:
     return F.floor(c * scale + 0.500001).cast("double") / scale
 
 
-def pos(spark: SparkSession, sf: str) -> DataFrame:
+def pos(spark: SparkSession, sf: str, year: int | None = None) -> DataFrame:
     """Weekly sales by region, nation, brand, market segment and return flag.
 
-    The names are grouping columns, so a filter on any of them reaches the scans and joins below.
+    The names are grouping columns, so a filter on any of them reaches the scans and joins below. With
+    `year`, the weeks that end in it: as two dates on the ship date, which the scan can prune by.
     """
+    lines = table(spark, sf, "lineitem")
+    if year is not None:
+        days = week_range(year)
+        lines = lines.filter((F.col("l_shipdate") >= F.lit(days[0])) & (F.col("l_shipdate") < F.lit(days[1])))
     area = table(spark, sf, "nation").join(
         table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     joined = (
-        table(spark, sf, "lineitem")
-        .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(area, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -70,14 +86,6 @@ POS = """pos AS (
   GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
-def pos_series(spark: SparkSession, sf: str) -> DataFrame:
-    """One return flag of `pos`: one row per series and week."""
-    return pos(spark, sf).filter(F.col("segment") == "N").drop("segment")
-
-
-POS_SERIES = POS + ",\npos_series AS (SELECT * EXCLUDE (segment) FROM pos WHERE segment = 'N')"
-
-
 def pos_week(spark: SparkSession, sf: str) -> DataFrame:
     """`pos` with one row per region, nation and week."""
     return (
@@ -100,9 +108,9 @@ pos_week AS (
 
 DEMO_YEARS = range(1995, 2002)
 
-# Bands: order priorities, and ranges of the order value (lowest included). Fixed values.
+# Bands: order priorities, and ranges of the order value (lowest included), open at both ends. Fixed values.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-PRICE_RANGES = [0, 100_000, 200_000, 300_000, 400_000, 10**12]
+PRICE_RANGES = ["-Infinity", 100_000, 200_000, 300_000, 400_000, "Infinity"]
 
 DEMO_NAMES = VintageNames(
     prefixes={y: f"D{y % 100:02d}_" for y in DEMO_YEARS},
@@ -124,7 +132,8 @@ def demo_vintages(spark: SparkSession, sf: str) -> dict[int, DataFrame]:
     price = F.col("o_totalprice")
     figures = {f"AGE{i}": F.count_if(F.col("o_orderpriority") == p).cast("double") for i, p in enumerate(PRIORITIES, 1)}
     for i, (low, high) in enumerate(zip(PRICE_RANGES, PRICE_RANGES[1:]), 1):
-        figures[f"INC{i}"] = F.round(F.sum(F.when((price >= low) & (price < high), price).otherwise(0.0)), 2)
+        inside = (price >= F.lit(low).cast("double")) & (price < F.lit(high).cast("double"))
+        figures[f"INC{i}"] = F.round(F.sum(F.when(inside, price).otherwise(0.0)), 2)
     figures["AVGBAL"] = _half_up(F.avg("c_acctbal"), 100)
     figures["AVGINC"] = _half_up(F.avg("o_totalprice"), 100)
     grouped = (
@@ -160,7 +169,7 @@ def _demo_sql() -> str:
     price = "o_totalprice"
     figures = {f"AGE{i}": f"CAST(count(*) FILTER (o_orderpriority = '{p}') AS DOUBLE)" for i, p in enumerate(PRIORITIES, 1)}
     for i, (low, high) in enumerate(zip(PRICE_RANGES, PRICE_RANGES[1:]), 1):
-        figures[f"INC{i}"] = f"round(sum(CASE WHEN {price} >= {low} AND {price} < {high} THEN {price} ELSE 0.0 END), 2)"
+        figures[f"INC{i}"] = f"round(sum(CASE WHEN {price} >= CAST('{low}' AS DOUBLE) AND {price} < CAST('{high}' AS DOUBLE) THEN {price} ELSE 0.0 END), 2)"
     figures["AVGBAL"] = "floor(avg(c_acctbal) * 100 + 0.500001) / 100"
     figures["AVGINC"] = "floor(avg(o_totalprice) * 100 + 0.500001) / 100"
     without = {s: y for y, s in MISSING.items()}

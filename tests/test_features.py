@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from weekloom.operators import encoders, joins, scalers, weights
+from weekloom.operators import encoders, scalers, weights
 from weekloom.operators.aggregates import value_counts
 
 
@@ -14,9 +14,7 @@ def test_encode_numbers_in_numeric_order(frame):
     assert [(r.week_code, r.x_code, r.s_code) for r in rows] == [(0, 0, 1), (1, 1, 0), (2, 0, None)]
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_unseen_labels_and_large_dictionaries(frame, monkeypatch, tmp_path, spark, limit):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+def test_unseen_labels(frame, tmp_path, spark):
     known = frame([(f"k{i:03d}",) for i in range(200)] + [("hot",)] * 300, "s string")
     fitted = encoders.fit_encoder(known, ["s"])
     fitted.save(str(tmp_path / "dictionary"))

@@ -52,6 +52,32 @@ def test_elbow_cost_falls(blobs):
     assert costs[1] < costs[0]
 
 
+def test_a_fit_that_was_stopped_reports_the_cost_of_its_prototypes(blobs):
+    for options in ({"max_passes": 1}, {"max_passes": 2}, {"tolerance": 0.5}):
+        fitted = clustering.kprototypes_fit(blobs, NUMBERS, ["k"], k=4, **options)
+        again = fitted.assign(blobs, "c", "d").agg(F.sum("d")).first()[0]
+        assert fitted.cost == pytest.approx(again, rel=1e-9)
+    settled = clustering.kprototypes_fit(blobs, NUMBERS, ["k"], k=4)
+    assert settled.converged and not clustering.kprototypes_fit(blobs, NUMBERS, ["k"], k=4, max_passes=1).converged
+
+
+def test_more_starts_are_never_worse(blobs):
+    costs = [clustering.kprototypes_fit(blobs, NUMBERS, ["k"], k=5, starts=n).cost for n in (1, 4)]
+    assert costs[1] <= costs[0]
+
+
+def test_a_scope_deletes_what_was_written(spark, blobs):
+    import glob
+
+    from weekloom.session import run_scope, shared_folder
+
+    before = set(glob.glob(shared_folder(spark) + "/*"))
+    with run_scope(spark):
+        clustering.kprototypes_fit(blobs, NUMBERS, ["k"], k=2)
+        assert set(glob.glob(shared_folder(spark) + "/*")) > before
+    assert set(glob.glob(shared_folder(spark) + "/*")) == before
+
+
 def test_gamma_is_half_the_mean_deviation(frame):
     df = frame([(0.0, 0.0), (2.0, 4.0)], "x double, y double")
     assert clustering.mixed_gamma(df, NUMBERS) == pytest.approx(0.5 * (1 + 2) / 2)

@@ -4,7 +4,7 @@ import pytest
 from weekloom.operators import joins, ordered, sets, shares
 
 
-@pytest.mark.parametrize("direct", [10, 1_000_000])
+@pytest.mark.parametrize("direct", [10, 4000])
 @pytest.mark.parametrize("kind", ["uniform", "ties", "constant", "two", "skewed"])
 def test_exact_quantiles(frame, kind, direct):
     rng = np.random.default_rng(1)
@@ -17,7 +17,7 @@ def test_exact_quantiles(frame, kind, direct):
     }[kind]
     probabilities = [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]
     df = frame([(float(v), None) for v in x], "x double, empty double")
-    got = ordered.exact_quantiles(df, ["x", "empty"], probabilities, direct_rows=direct)
+    got = ordered.exact_quantiles(df, ["x", "empty"], probabilities, exact=direct)
     assert got["x"] == pytest.approx(list(np.quantile(x, probabilities)), rel=1e-12)
     assert got["empty"] == [None] * 7
 
@@ -39,19 +39,31 @@ def test_cumulative_share_cut(frame):
     assert sorted(r.k for r in kept.collect()) == ["b", "c", "d"]
 
 
-@pytest.mark.parametrize("hot_share", [2, 1000])
-@pytest.mark.parametrize("broadcast", [0, 100_000])
-def test_attach_serves_hot_and_cold_keys(frame, monkeypatch, hot_share, broadcast):
-    monkeypatch.setattr(joins, "HOT_SHARE", hot_share)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
-    rows = [("hot", 1)] * 50 + [(f"k{i}", 1) for i in range(40)] + [("lost", 1), (None, 1)]
-    df = frame(rows, "k string, x int")
-    table = frame([("hot", "H", 50)] + [(f"k{i}", str(i), 1) for i in range(40)], "k string, v string, n bigint")
-    got = sorted(((r.k or ""), r.v) for r in joins.attach(df, table, ["k"], "n").collect() if r.v)
-    assert got == sorted([("hot", "H")] * 50 + [(f"k{i}", str(i)) for i in range(40)])
-    assert joins.attach(df, table, ["k"], "n").count() == len(rows)
-    assert joins.keep_keys(df, table, ["k"], rows="n").count() == 90
-    assert joins.keep_keys(df, table, ["k"]).count() == 90
+@pytest.mark.parametrize("hot", ["k1", "unknown", None])
+def test_lookups_split_a_hot_key(spark, frame, hot):
+    """A key that the table knows, one it doesn't and null: none leaves most rows to one task."""
+    from pyspark.sql import functions as F
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, value in settings.items():
+            spark.conf.set(k, value)
+        key = F.when(F.col("id") % 10 > 0, F.lit(hot)).otherwise(F.concat(F.lit("k"), F.col("id") % 7))
+        df = spark.range(0, 100_000, 1, 8).select(key.alias("k"), "id", F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+        table = frame([(f"k{i}", i) for i in range(7)], "k string, v int")
+        joined = joins.join_left(df, table, ["k"]).withColumn("task", F.spark_partition_id())
+        sizes = [r["n"] for r in joined.groupBy("task").agg(F.count("*").alias("n"), F.max("wide"), F.max("v")).collect()]
+        assert sum(sizes) == 100_000 and max(sizes) < 25_000
+        assert joins.keep_keys(df, table, ["k"]).count() == (100_000 if hot == "k1" else 10_000)
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
 
 
 def test_overlap_resolve(frame):

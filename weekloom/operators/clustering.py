@@ -7,9 +7,8 @@ whose result has at most k rows per categorical column.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,34 +22,46 @@ from weekloom.session import materialize
 
 @dataclass(frozen=True)
 class Prototypes:
+    """Centers of clusters. `cost` is that of these centers; `converged` says that another pass would not
+    move them."""
+
     numeric: list[str]
     categorical: list[str]
     gamma: float
     centers: list[tuple[tuple, tuple]]  # (numeric values, categorical values) per cluster
     cost: float | None = None
     iterations: int = 0
+    converged: bool = False
+
+    def nearest(self) -> Column:
+        """Distance and number of the nearest center, the lowest number on ties. The centers are one
+        literal, so neither the plan nor its compiled code changes with them."""
+        values = [
+            F.struct(
+                *[F.lit(float(v)).alias(f"n{i}") for i, v in enumerate(numbers)],
+                *[F.lit(v).cast("string").alias(f"l{i}") for i, v in enumerate(labels)],
+            )
+            for numbers, labels in self.centers
+        ]
 
-    def distances(self) -> list[Column]:
-        out = []
-        for numbers, labels in self.centers:
+        def distance(center: Column, number: Column) -> Column:
             d = F.lit(0.0)
-            for c, v in zip(self.numeric, numbers):
-                gap = as_column(c) - F.lit(v)
+            for i, c in enumerate(self.numeric):
+                gap = as_column(c) - center[f"n{i}"]
                 d = d + gap * gap
-            for c, v in zip(self.categorical, labels):
-                same = as_column(c).eqNullSafe(F.lit(v))
+            for i, c in enumerate(self.categorical):
+                same = as_column(c).cast("string").eqNullSafe(center[f"l{i}"])
                 d = d + F.when(same, 0.0).otherwise(self.gamma)
-            out.append(d)
-        return out
+            return F.struct(d.alias("distance"), number.alias("cluster"))
+
+        return F.array_min(F.transform(F.array(*values), distance))
 
     def assign(self, df: DataFrame, cluster: str = "cluster", distance: str | None = None) -> DataFrame:
-        """Nearest prototype of each row, the lowest number on ties. A row-local expression."""
-        packed = df.withColumn("_d", F.array(*self.distances()))
-        nearest = F.array_min("_d")
-        out = packed.withColumn(cluster, (F.array_position(F.col("_d"), nearest) - 1).cast("int"))
+        """Nearest prototype of each row. A row-local expression."""
+        near = df.withColumn("_near", self.nearest()).withColumn(cluster, F.col("_near.cluster"))
         if distance:
-            out = out.withColumn(distance, nearest)
-        return out.drop("_d")
+            near = near.withColumn(distance, F.col("_near.distance"))
+        return near.drop("_near")
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [
@@ -73,116 +84,172 @@ def mixed_gamma(df: DataFrame, numeric: Sequence[str]) -> float:
     return 0.5 * sum(v or 0.0 for v in row) / len(numeric)
 
 
-def _seeds(data: DataFrame, start: Prototypes, k: int, seed: int) -> list[tuple[tuple, tuple]]:
+def _center(values, n: int) -> tuple[tuple, tuple]:
+    return tuple(float(v) for v in values[:n]), tuple(values[n:])
+
+
+def _far_seeds(data: DataFrame, start: Prototypes, k: int, seed: int) -> list[tuple[tuple, tuple]]:
     """The row with the least seeded hash, then again and again the row farthest from all seeds."""
     columns = [as_column(c) for c in [*start.numeric, *start.categorical]]
     row = F.struct(*columns)
     order = F.xxhash64(F.lit(seed), *columns)
     n = len(start.numeric)
-
-    def center(values) -> tuple[tuple, tuple]:
-        return tuple(float(v) for v in values[:n]), tuple(values[n:])
-
-    seeds = [center(data.agg(F.min_by(row, F.struct(order, row)).alias("r")).first()["r"])]
+    seeds = [_center(data.agg(F.min_by(row, F.struct(order, row)).alias("r")).first()["r"], n)]
     while len(seeds) < k:
-        far = Prototypes(start.numeric, start.categorical, start.gamma, seeds).distances()
-        nearest = F.array_min(F.array(*far))
-        seeds.append(center(data.agg(F.max_by(row, F.struct(nearest, order, row)).alias("r")).first()["r"]))
+        far = replace(start, centers=seeds).nearest()["distance"]
+        seeds.append(_center(data.agg(F.max_by(row, F.struct(far, order, row)).alias("r")).first()["r"], n))
     return seeds
 
 
-def _pass(data: DataFrame, current: Prototypes) -> tuple[list[tuple[tuple, tuple]], float]:
-    """Assign every row and compute the next prototypes: means, and the most frequent label
-    (lowest on ties). Labels are counted per cluster first, so a hot label is combined early."""
-    numeric, categorical = current.numeric, current.categorical
+def _random_seeds(data: DataFrame, start: Prototypes, k: int, seed: int) -> list[tuple[tuple, tuple]]:
+    """The k different rows with the least seeded hashes."""
+    columns = [as_column(c) for c in [*start.numeric, *start.categorical]]
+    rows = data.select(*columns).distinct().orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(k).collect()
+    return [_center(rows[i % len(rows)], len(start.numeric)) for i in range(k)]
+
+
+#: Centers whose distances are worked out in one pass, over all runs that share it.
+_PASS_CENTERS = 64
+
+
+def _passes(data: DataFrame, runs: list[Prototypes]) -> list[tuple[list[tuple[tuple, tuple]], float]]:
+    """For each run, assign every row and compute the next prototypes (means, and the most frequent label,
+    lowest on ties) and the cost of the present ones. Runs share a pass over the data."""
+    out, part = [], []
+    for run in runs:
+        if part and sum(len(r.centers) for r in (*part, run)) > _PASS_CENTERS:
+            out, part = out + _pass(data, part), []
+        part.append(run)
+    return out + _pass(data, part)
+
+
+def _pass(data: DataFrame, runs: list[Prototypes]) -> list[tuple[list[tuple[tuple, tuple]], float]]:
+    numeric, categorical = runs[0].numeric, runs[0].categorical
     labels = [
         F.struct(F.lit(j).alias("j"), as_column(c).cast("string").alias("label"))
         for j, c in enumerate(categorical)
     ] or [F.struct(F.lit(0).alias("j"), F.lit(None).cast("string").alias("label"))]
-    assigned = current.assign(data, "_cluster", "_distance").select(
-        "_cluster", "_distance", *[as_column(c) for c in numeric], F.inline(F.array(*labels))
+    # Labels are counted per cluster first, so a hot label is combined early.
+    near = F.array(*[run.nearest() for run in runs])
+    assigned = data.select("*", F.posexplode(near).alias("_run", "_near")).select(
+        "_run",
+        F.col("_near.cluster").alias("_cluster"),
+        F.col("_near.distance").alias("_distance"),
+        *[as_column(c) for c in numeric],
+        F.inline(F.array(*labels)),
     )
     once = F.col("j") == 0
-    counted = assigned.groupBy("_cluster", "j", "label").agg(
+    counted = assigned.groupBy("_run", "_cluster", "j", "label").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(once, F.col("_distance"))).alias("cost"),
         *[F.sum(F.when(once, as_column(c))).alias(f"s{i}") for i, c in enumerate(numeric)],
     )
     rows = (
-        counted.groupBy("_cluster", "j")
+        counted.groupBy("_run", "_cluster", "j")
         .agg(
             F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"),
             F.sum("n").alias("n"),
             F.sum("cost").alias("cost"),
             *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(numeric))],
         )
-        .collect()  # k rows per categorical column
+        .collect()  # k rows per run and categorical column
+    )
+    found = {(r["_run"], r["_cluster"], r["j"]): r for r in rows}
+    out = []
+    for number, run in enumerate(runs):
+        centers = []
+        for cluster, old in enumerate(run.centers):
+            r = found.get((number, cluster, 0))
+            if r is None:  # nobody chose it: it stays where it is
+                centers.append(old)
+                continue
+            # Rounded, so that the order in which partitions are summed does not show.
+            means = tuple(round(r[f"s{i}"] / r["n"], 9) for i in range(len(numeric)))
+            modes = tuple(found[number, cluster, j]["label"] for j in range(len(categorical)))
+            centers.append((means, modes))
+        out.append((centers, sum(r["cost"] for r in rows if r["_run"] == number and r["j"] == 0)))
+    return out
+
+
+def _fit_all(data: DataFrame, runs: list[Prototypes], max_passes: int, tolerance: float) -> list[Prototypes]:
+    """Move the centers of all runs until each has settled, then find the cost of those that were stopped."""
+    open_ = list(range(len(runs)))
+    for _ in range(max_passes):
+        moved = _passes(data, [runs[i] for i in open_])
+        going = []
+        for i, (centers, cost) in zip(open_, moved, strict=True):
+            run = runs[i]
+            converged = centers == run.centers
+            slow = run.cost is not None and run.cost - cost <= tolerance * cost and tolerance > 0
+            runs[i] = replace(run, centers=centers, cost=cost, iterations=run.iterations + 1, converged=converged)
+            if not converged and not slow:
+                going.append(i)
+        open_ = going
+        if not open_:
+            break
+    stopped = [i for i, run in enumerate(runs) if not run.converged]
+    if stopped:
+        for i, (_, cost) in zip(stopped, _passes(data, [runs[i] for i in stopped]), strict=True):
+            runs[i] = replace(runs[i], cost=cost)
+    return [replace(run, centers=sorted(run.centers, key=lambda c: (c[0], c[1]))) for run in runs]
+
+
+def _starts(
+    data: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int, gamma: float, seed: int, starts: int
+) -> list[Prototypes]:
+    """One start from rows far apart, the others from rows picked by seeded hashes."""
+    bare = Prototypes(list(numeric), list(categorical), gamma, [])
+    centers = [_far_seeds(data, bare, k, seed)] + [_random_seeds(data, bare, k, seed + i) for i in range(1, starts)]
+    return [replace(bare, centers=c) for c in centers]
+
+
+def _best(runs: Sequence[Prototypes]) -> Prototypes:
+    return min(runs, key=lambda run: (run.cost, run.centers))
+
+
+def _measures(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """The needed columns, written once to the shared folder."""
+    return materialize(
+        df.select(
+            *[as_column(c).cast("double").alias(c) for c in numeric],
+            *[as_column(c).cast("string").alias(c) for c in categorical],
+        ),
+        "prototypes",
     )
-    found = {(r["_cluster"], r["j"]): r for r in rows}
-    centers = []
-    for cluster, old in enumerate(current.centers):
-        r = found.get((cluster, 0))
-        if r is None:  # nobody chose it: it stays where it is
-            centers.append(old)
-            continue
-        # Rounded, so that the order in which partitions are summed does not show.
-        means = tuple(round(r[f"s{i}"] / r["n"], 9) for i in range(len(numeric)))
-        modes = tuple(found[cluster, j]["label"] for j in range(len(categorical)))
-        centers.append((means, modes))
-    return centers, sum(r["cost"] for r in rows if r["j"] == 0)
 
 
 def kprototypes_fit(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int = 2,
     gamma: float | None = None, seed: int = 0, max_passes: int = 100, tolerance: float = 0.0,
-    start: Sequence[tuple[tuple, tuple]] | None = None,
+    start: Sequence[tuple[tuple, tuple]] | None = None, starts: int = 3,
 ) -> Prototypes:
     """Prototypes of k clusters, numbered by their first numeric value. Rows must hold no nulls.
 
-    Starts from `start`, or from rows far apart that a seeded hash leads to. Ends when a pass
-    changes nothing, or lowers the cost by no more than `tolerance` of it.
-
-    The needed columns are written once to the shared folder; prototypes travel as literals, so
-    the plan of a pass never grows.
+    Starts from `start`, or from `starts` sets of rows, one of them far apart, and keeps the cheapest
+    outcome; the runs share their passes over the data. A run ends when a pass changes nothing, or lowers
+    the cost by no more than `tolerance` of it; `converged` says which.
     """
-    data = materialize(
-        df.select(
-            *[as_column(c).cast("double").alias(c) for c in numeric],
-            *[as_column(c).cast("string").alias(c) for c in categorical],
-        ),
-        "prototypes",
-    )
-    return _fit_on(data, list(numeric), list(categorical), k, gamma, seed, max_passes, tolerance, start)
-
-
-def _fit_on(data, numeric, categorical, k, gamma, seed, max_passes, tolerance, given=None) -> Prototypes:
-    start = Prototypes(numeric, categorical, mixed_gamma(data, numeric) if gamma is None else gamma, [])
-    centers = list(given) if given else _seeds(data, start, k, seed)
-    cost, passes, settled = math.inf, 0, False
-    while passes < max_passes and not settled:
-        moved, now = _pass(data, Prototypes(numeric, categorical, start.gamma, centers))
-        settled = moved == centers or (passes > 0 and cost - now <= tolerance * now)
-        centers, cost, passes = moved, now, passes + 1
-    ordered = sorted(centers, key=lambda c: (c[0], c[1]))
-    return Prototypes(numeric, categorical, start.gamma, ordered, cost, passes)
+    data = _measures(df, numeric, categorical)
+    gamma = mixed_gamma(data, numeric) if gamma is None else gamma
+    if start:
+        runs = [Prototypes(list(numeric), list(categorical), gamma, list(start))]
+    else:
+        runs = _starts(data, numeric, categorical, k, gamma, seed, starts)
+    return _best(_fit_all(data, runs, max_passes, tolerance))
 
 
 def elbow_curve(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ks: Sequence[int] = range(1, 10),
-    seed: int = 0, max_passes: int = 100, tolerance: float = 0.0,
+    seed: int = 0, max_passes: int = 100, tolerance: float = 0.0, starts: int = 3,
 ) -> DataFrame:
-    """Cost for each number of clusters; the input is written once for all of them."""
-    data = materialize(
-        df.select(
-            *[as_column(c).cast("double").alias(c) for c in numeric],
-            *[as_column(c).cast("string").alias(c) for c in categorical],
-        ),
-        "elbow",
-    )
+    """Cost for each number of clusters, and whether its fit converged; all numbers share their passes."""
+    data = _measures(df, numeric, categorical)
     gamma = mixed_gamma(data, numeric)
-    columns = list(numeric), list(categorical)
-    costs = [(k, _fit_on(data, *columns, k, gamma, seed, max_passes, tolerance).cost) for k in ks]
-    return df.sparkSession.createDataFrame(costs, "k int, cost double")
+    runs = [run for k in ks for run in _starts(data, numeric, categorical, k, gamma, seed, starts)]
+    fitted = _fit_all(data, runs, max_passes, tolerance)
+    best = [_best([run for run in fitted if len(run.centers) == k]) for k in ks]
+    rows = [(k, float(run.cost), run.converged) for k, run in zip(ks, best, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "k int, cost double, converged boolean")
 
 
 @dataclass(frozen=True)
@@ -204,13 +271,15 @@ SEGMENT_NAMES: Mapping[int, str] = {0: "First", 1: "Second", 2: "Third", 3: "Fou
 
 def cluster_segments(
     df: DataFrame, key: str, numeric: Sequence[str], k: int = 2, seed: int = 0, max_passes: int = 100,
-    tolerance: float = 0.0,
+    tolerance: float = 0.0, start: Sequence[tuple[tuple, tuple]] | None = None,
 ) -> Segments:
     """Scale to 0..1, cluster on the measures and the key, name the clusters, give each key to one
     segment, and scale back."""
     scaler = fit_minmax(df, numeric, 0.0, 1.0)
     scaled = scaler.transform(df)
-    prototypes = kprototypes_fit(scaled, numeric, [key], k, seed=seed, max_passes=max_passes, tolerance=tolerance)
+    prototypes = kprototypes_fit(
+        scaled, numeric, [key], k, seed=seed, max_passes=max_passes, tolerance=tolerance, start=start
+    )
     names = {i: SEGMENT_NAMES.get(i, f"Segment {i + 1}") for i in range(k)}
     named = prototypes.assign(scaled).withColumn("segment", label_name("cluster", names))
     resolved = overlap_resolve(named, "segment", key, list(names.values()))

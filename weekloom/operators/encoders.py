@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekloom.functions import as_column, clamp
-from weekloom.operators import joins
 from weekloom.operators.aggregates import cardinality
+from weekloom.operators.joins import join_left
 from weekloom.operators.ordered import numbered
 from weekloom.session import materialize
 
@@ -69,14 +69,9 @@ class Encoder:
         for c in columns or list(self.entries):
             key = f"_key_{c}"
             words = self.table.filter(F.col("feature") == c).select(
-                F.col("label").alias(key), F.col("code").alias(c + suffix), "n"
+                F.col("label").alias(key), F.col("code").alias(c + suffix)
             )
-            keyed = df.withColumn(key, as_column(c).cast("string"))
-            if self.entries.get(c, 0) <= joins.BROADCAST_ROWS:
-                joined = keyed.join(F.broadcast(words.drop("n")), key, "left")
-            else:
-                joined = joins.attach(keyed, words, [key], "n")
-            df = joined.drop(key)
+            df = join_left(df.withColumn(key, as_column(c).cast("string")), words, [key]).drop(key)
             if reserve:
                 df = df.withColumn(c + suffix, F.coalesce(as_column(c + suffix), F.lit(self.entries.get(c, 0))))
         return df

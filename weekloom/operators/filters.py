@@ -27,6 +27,11 @@ def before_year(df: DataFrame, column: str, year: int) -> DataFrame:
     return df.filter(as_column(column) < year)
 
 
+def in_year(df: DataFrame, column: str, year: int) -> DataFrame:
+    """Rows of a date column that lie in the year, by two dates, so that the comparison reaches the scan."""
+    return df.filter((as_column(column) >= F.lit(date(year, 1, 1))) & (as_column(column) < F.lit(date(year + 1, 1, 1))))
+
+
 def filter_level(df: DataFrame, column: str, level) -> DataFrame:
     return df.filter(as_column(column) == F.lit(level))
 

@@ -1,20 +1,15 @@
-"""Joins, and look-ups that stay balanced when one key holds much of the data."""
+"""Joins and look-ups.
+
+None carries a hint. The planner broadcasts a side when its measured bytes are below the session's
+threshold; otherwise both sides are shuffled, and adaptive execution splits the partitions that hot keys,
+new ones and null ones included, make too large.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from weekloom.functions import as_column
-from weekloom.session import materialize
-
-# Look-up tables are broadcast up to this many rows.
-BROADCAST_ROWS = 100_000
-
-# A key with at least one in HOT_SHARE of all rows is hot; there can be no more than HOT_SHARE of them.
-HOT_SHARE = 1000
 
 
 def join_left(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -31,49 +26,7 @@ def join_left_diffkeys(left: DataFrame, right: DataFrame, keys: Mapping[str, str
     return left.join(right, condition, "left")
 
 
-def attach(df: DataFrame, table: DataFrame, on: Sequence[str], rows: str) -> DataFrame:
-    """Left-join a table that has one row per key, where `rows` says how many rows of `df` a key has.
-
-    The table is written and counted first; a small one is broadcast whole. Of a larger one the hot
-    keys, at most HOT_SHARE of them by their definition, are broadcast, so their rows are not moved.
-    The rest is a plain join in which no key has more than one in HOT_SHARE of the rows; rows
-    already served are spread over it by a hash of their content.
-    """
-    on = list(on)
-    table = materialize(table, "lookup")
-    if table.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(table.drop(rows)), on, "left").select(
-            *[as_column(c) for c in df.columns], *[as_column(c) for c in table.columns if c not in on and c != rows]
-        )
-    values = [c for c in table.columns if c not in on and c != rows]
-    total = table.agg(F.sum(rows).alias("_all")).scalar()
-    marked = table.withColumn("_hot", F.col(rows) * HOT_SHARE >= total)
-    packed = F.struct(*[as_column(c) for c in values])
-    hot = marked.filter("_hot").select(*on, packed.alias("_near"))
-    cold = marked.filter("not _hot").select(*on, F.lit(0).alias("_spread"), packed.alias("_far"))
-
-    spread = F.when(F.col("_near").isNull(), 0).otherwise(
-        1 + F.pmod(F.xxhash64(*[as_column(c) for c in df.columns]), F.lit(4096))
-    )
-    return (
-        df.join(F.broadcast(hot), on, "left")
-        .withColumn("_spread", spread.cast("int"))
-        .join(cold, [*on, "_spread"], "left")
-        .select(
-            *[as_column(c) for c in df.columns],
-            *[F.coalesce(F.col("_near")[c], F.col("_far")[c]).alias(c) for c in values],
-        )
-    )
-
-
-def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], rows: str | None = None) -> DataFrame:
-    """Rows whose key occurs in `keys`.
-
-    A left semi join. With `rows`, the number of rows of `df` per key, hot keys are served apart
-    as in `attach`.
-    """
+def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows whose key occurs in `keys`: a left semi join."""
     on = list(on)
-    if rows is None:
-        return df.join(keys.select(*on), on, "left_semi")
-    table = keys.select(*on, rows, F.lit(True).alias("_kept"))
-    return attach(df, table, on, rows).filter("_kept").drop("_kept")
+    return df.join(keys.select(*on), on, "left_semi")

@@ -20,16 +20,25 @@ from weekloom.session import materialize
 RUN = "_run"
 
 
+#: Rows of a run, about. With little data there are as many runs as shuffle partitions at most.
+RUN_ROWS = 4_000_000
+
+
 def cut_into_runs(df: DataFrame, order: Sequence[str | Column], runs: int | None = None) -> DataFrame:
     """Add `_run`: consecutive numbers along `order`, each run holding a similar share of rows.
 
     Range partitioning samples the whole `order` tuple, so a single hot series is cut as well as
-    long as `order` ends in something that tells its rows apart. There are as many runs as shuffle
-    partitions, less those that adaptive execution merges because they are small, or exactly `runs`.
-    The result is a written table: the borders come from a sample, and every later reader has to
-    see the same ones.
+    long as `order` ends in something that tells its rows apart. The rows are written first, so that
+    they are sampled and counted without being made again; there are as many runs as their number asks
+    for, less those that adaptive execution merges because they are small, or exactly `runs`. The result
+    is a written table: the borders come from a sample, and every later reader has to see the same ones.
     """
     columns = [as_column(c) for c in order]
+    if runs is None:
+        df = materialize(df, "unsorted")
+        least = -(-df.count() // RUN_ROWS)
+        shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        runs = least if least > shuffled else None
     ranged = df.repartitionByRange(runs, *columns) if runs else df.repartitionByRange(*columns)
     return materialize(ranged.withColumn(RUN, F.spark_partition_id()), "runs")
 
@@ -66,7 +75,10 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str, runs: int
 
 @dataclass
 class _Bracket:
-    """An open interval (low, high) around the value of a rank; its ends are counted apart."""
+    """An open interval (low, high) around the value of a rank; its ends are counted apart.
+
+    `inside` is the number of rows in it once it has been counted and is small enough to be exact about.
+    """
 
     column: str
     rank: int
@@ -74,29 +86,28 @@ class _Bracket:
     greatest: float
     low: float
     high: float
-    few: bool
+    inside: int | None = None
     value: float | None = None
 
     @property
     def interval(self) -> tuple:
-        return self.column, self.low, self.high, self.few
+        return self.column, self.low, self.high, self.inside
 
 
-GRID = 1000
+#: Steps of the grid that narrows a bracket, and the accuracy of its sketch. A sketch of this accuracy keeps
+#: up to EXACT values one by one.
+GRID, ACCURACY, EXACT = 1000, 10_000, 4000
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    direct_rows: int = 1_000_000,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], exact: int = EXACT
 ) -> dict[str, list[float]]:
     """Exact quantiles with linear interpolation, for every column in the same few passes.
 
-    `percentile` keeps every distinct value of a column in one task. Here each pass counts the
-    rows around a bracket and narrows it with an approximate grid of the rows inside; only when
-    at most `direct_rows` rows are left inside are they put in order. The driver sees counts,
-    grids and bracket ends only.
+    `percentile` keeps every distinct value of a column in one task. Here each pass counts the rows
+    around a bracket and narrows it with an approximate grid of the rows inside, until few enough are left
+    for the sketch to hold them all. No pass holds more than a sketch per bracket, whatever the data; the
+    driver sees counts, grids and bracket ends only.
     """
     values = df.select(*[as_column(c).cast("double").alias(c) for c in columns])
     # Only these columns are read again, so only they are written.
@@ -125,10 +136,10 @@ def exact_quantiles(
             positions[c, p] = position
             for rank in (math.floor(position), math.ceil(position)):
                 ends = (first[f"a{i}"], first[f"b{i}"])
-                brackets[c, rank] = _Bracket(c, rank, *ends, *ends, few=first[f"n{i}"] <= direct_rows)
+                brackets[c, rank] = _Bracket(c, rank, *ends, *ends)
 
     while open_ := [b for b in brackets.values() if b.value is None]:
-        _narrow(values, open_, direct_rows)
+        _narrow(values, open_, exact)
 
     def at(c: str, p: float) -> float | None:
         if (c, p) not in positions:
@@ -141,50 +152,45 @@ def exact_quantiles(
     return {c: [at(c, p) for p in probabilities] for c in columns}
 
 
-def _narrow(values: DataFrame, brackets: list[_Bracket], direct_rows: int) -> None:
+def _narrow(values: DataFrame, brackets: list[_Bracket], exact: int) -> None:
     """One pass over the data: settle or tighten every open bracket."""
     grid = [g / GRID for g in range(GRID + 1)]
-    ranks: dict[tuple, list[int]] = {}
-    for b in brackets:
-        ranks.setdefault(b.interval, []).append(b.rank)
     aggregates = []
-    for i, ((column, low, high, few), wanted) in enumerate(ranks.items()):
+    shared = {b.interval: i for i, b in enumerate(brackets)}
+    for (column, low, high, known), i in shared.items():
         x = as_column(column)
         inside = F.when((x > low) & (x < high), x)
-        below, at_low = F.count_if(x < low), F.count_if(x == low)
-        if few:
-            in_order = F.sort_array(F.collect_list(inside))
-            look = F.array(*[F.get(in_order, (F.lit(k) - below - at_low).cast("int")) for k in wanted])
-        else:
-            look = F.percentile_approx(inside, grid, 10 * GRID)
+        # With few rows the sketch is asked for every one of them, by the middle of its rank.
+        points = [(k + 0.5) / known for k in range(known)] if known else grid
         aggregates += [
-            below.alias(f"below{i}"),
-            at_low.alias(f"low{i}"),
+            F.count_if(x < low).alias(f"below{i}"),
+            F.count_if(x == low).alias(f"low{i}"),
             F.count(inside).alias(f"inside{i}"),
             F.count_if(x == high).alias(f"high{i}"),
-            look.alias(f"look{i}"),
+            F.percentile_approx(inside, points, ACCURACY).alias(f"look{i}"),
         ]
     row = values.agg(*aggregates).first()
-    index = {interval: i for i, interval in enumerate(ranks)}
 
     for b in brackets:
-        i, wanted = index[b.interval], ranks[b.interval]
-        below, at_low, inside, at_high, look = (row[f"{k}{i}"] for k in ("below", "low", "inside", "high", "look"))
+        below, at_low, inside, at_high, look = (
+            row[f"{k}{shared[b.interval]}"] for k in ("below", "low", "inside", "high", "look")
+        )
         rank = b.rank - below - at_low
         if b.rank < below:  # the grid was off: look on the other side of the border
-            b.low, b.high, b.few = b.least, b.low, False
+            b.low, b.high, b.inside = b.least, b.low, None
         elif rank < 0:
             b.value = b.low
-        elif rank < inside and b.few:
-            b.value = look[wanted.index(b.rank)]
+        elif rank < inside and b.inside:
+            b.value = look[rank]
+        elif rank < inside and inside <= exact:
+            b.inside = inside
         elif rank < inside:
             # Two grid steps of slack on either side cover the error of the approximate grid.
             left = math.floor(rank / inside * GRID) - 2
             right = math.ceil((rank + 1) / inside * GRID) + 2
             b.low = look[left] if left >= 0 else b.low
             b.high = look[right] if right <= GRID else b.high
-            b.few = inside * (right - left + 4) / GRID <= direct_rows
-        elif rank < inside + at_high or b.high == b.low:
+        elif rank < inside + at_high and b.high > b.low:
             b.value = b.high
         else:
-            b.low, b.high, b.few = b.high, b.greatest, False
+            b.low, b.high, b.inside = b.high, b.greatest, None

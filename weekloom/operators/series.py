@@ -3,8 +3,8 @@
 `one_row_per_date` is the caller's word that keys plus order columns identify a row and the order
 is by calendar date, as after grouping by key and week. A series then has no more rows than the
 calendar has dates, and a plain window per series is safe whatever the data size. Without it a
-series may hold any share of the data, so it is cut into runs along its order, worked on run by
-run, and the values that cross a border are passed on in a table with one row per series and run.
+series may hold any share of the data, so all rows are cut into runs along keys and order and worked on
+run by run. A run follows on from the one before, so what crosses a border is one row per run.
 """
 
 from __future__ import annotations
@@ -50,88 +50,105 @@ def pct_change(
             {c: F.try_divide(as_column(c), F.lag(as_column(c)).over(window)) - 1 for c in columns}
         )
     cut = cut_into_runs(df, [*keys, *order], runs)
-    inside = Window.partitionBy(*_columns(keys), RUN).orderBy(*_columns(order))
+    inside = _along_run(keys, order)
     values = F.struct(*[as_column(c).alias(str(i)) for i, c in enumerate(columns)])
-    local = cut.withColumn("_lag", F.lag(values).over(inside))
-    # One row per series and run; a series has at most one row here per range partition.
-    along = Window.partitionBy(*_columns(keys)).orderBy(RUN)
-    border = (
-        cut.groupBy(*_columns(keys), RUN)
-        .agg(F.max_by(values, F.struct(*_columns(order))).alias("_last"))
-        .withColumn("_before", F.lag("_last").over(along))
-        .drop("_last")
-    )
-    previous = F.coalesce("_lag", "_before")
+    row = F.struct(_key(keys).alias("k"), values.alias("v"))
+    # One row per run: the last one of the run before, which only the first row of a run can follow.
+    ends = cut.groupBy(RUN).agg(F.max_by(row, F.struct(*_columns([*keys, *order]))).alias("_end"))
+    border = ends.select(RUN, F.lag("_end").over(Window.orderBy(RUN)).alias("_border"))
+    previous = F.coalesce("_lag", "_border")
+    followed = previous["k"].eqNullSafe(_key(keys))
     return (
-        _with_border(local, border, keys)
-        .withColumns({c: F.try_divide(as_column(c), previous[str(i)]) - 1 for i, c in enumerate(columns)})
-        .drop("_lag", "_before", RUN)
+        cut.withColumn("_lag", F.lag(row).over(inside))
+        .join(F.broadcast(border), RUN)
+        .withColumn("_before", F.when(followed, previous["v"]))
+        .withColumns({c: F.try_divide(as_column(c), F.col("_before")[str(i)]) - 1 for i, c in enumerate(columns)})
+        .drop("_lag", "_border", "_before", RUN)
     )
 
 
-def _with_border(local: DataFrame, border: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join the per-run table to the rows; null keys match each other."""
-    on = [*keys, RUN]
-    other = border.withColumnsRenamed({c: f"_b{i}" for i, c in enumerate(on)})
-    condition = F.lit(True)
-    for i, c in enumerate(on):
-        condition = condition & as_column(c).eqNullSafe(F.col(f"_b{i}"))
-    return local.join(other, condition).drop(*[f"_b{i}" for i in range(len(on))])
+def _key(keys: Sequence[str]) -> Column:
+    return F.struct(*_columns(keys))
+
+
+def _along_run(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """All rows of a run, series by series. Runs are of similar size, however long a series is."""
+    return Window.partitionBy(RUN).orderBy(*_columns([*keys, *order]))
 
 
 def denoise_series(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    column: str,
+    column: str | Sequence[str],
     threshold: float,
     one_row_per_date: bool = False,
     runs: int | None = None,
 ) -> DataFrame:
     """Flatten small moves: a value within `threshold` times itself of its raw predecessor takes
-    the first value of the running step, rounded to 4 places; any other value starts a step."""
-    x = as_column(column)
+    the first value of the running step, rounded to 4 places; any other value starts a step.
+
+    Several columns are flattened each by itself, in the same pass over the rows.
+    """
+    columns = [column] if isinstance(column, str) else list(column)
     if one_row_per_date:
         window = Window.partitionBy(*_columns(keys)).orderBy(*_columns(order))
         # The struct keeps a null value a step of its own.
-        start = F.when(~_in_step(x, F.lag(x).over(window), threshold), F.struct(round_4(column).alias("v")))
-        flagged = df.withColumn("_start", start)
-        return flagged.withColumn(column, F.last("_start", ignorenulls=True).over(_so_far(window))["v"]).drop("_start")
+        starts = {
+            f"_start{i}": F.when(
+                ~_in_step(as_column(c), F.lag(as_column(c)).over(window), threshold), F.struct(round_4(c).alias("v"))
+            )
+            for i, c in enumerate(columns)
+        }
+        flat = {
+            c: F.last(f"_start{i}", ignorenulls=True).over(_so_far(window))["v"] for i, c in enumerate(columns)
+        }
+        return df.withColumns(starts).withColumns(flat).drop(*starts)
 
     cut = cut_into_runs(df, [*keys, *order], runs)
-    inside = Window.partitionBy(*_columns(keys), RUN).orderBy(*_columns(order))
-    rounded = F.struct(round_4(column).alias("v"))
+    inside = _along_run(keys, order)
+    position = F.struct(*_columns([*keys, *order]))
+    row = F.struct(_key(keys).alias("k"), *[as_column(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    local = cut.withColumn("_row", F.row_number().over(inside)).withColumn("_lag", F.lag(row).over(inside))
     # Steps that start inside the run; its first row is decided with the border table.
-    local = cut.withColumn("_row", F.row_number().over(inside)).withColumn(
-        "_start", F.when((F.col("_row") > 1) & ~_in_step(x, F.lag(x).over(inside), threshold), rounded)
-    )
-    position = F.struct(*_columns(order))
-    ends = local.groupBy(*_columns(keys), RUN).agg(
-        F.min_by(F.struct(x.alias("v")), position).alias("_first"),
-        F.max_by(F.struct(x.alias("v")), position).alias("_last"),
-        F.max_by("_start", F.when(F.col("_start").isNotNull(), position)).alias("_latest"),
+    local = local.withColumns(
+        {
+            f"_start{i}": F.when(
+                (F.col("_row") > 1)
+                & ~(F.col("_lag.k").eqNullSafe(_key(keys)) & _in_step(as_column(c), F.col(f"_lag.x{i}"), threshold)),
+                F.struct(round_4(c).alias("v")),
+            )
+            for i, c in enumerate(columns)
+        }
     )
-    # One row per series and run; a series has at most one row here per range partition.
-    along = Window.partitionBy(*_columns(keys)).orderBy(RUN)
-    opens = ~_in_step(F.col("_first.v"), F.lag("_last").over(along)["v"], threshold)
-    own = F.when(opens, F.struct(F.round(F.col("_first.v"), 4).alias("v")))
-    border = (
-        ends.withColumn("_own", own)
-        .withColumn("_close", F.coalesce("_latest", "_own"))
-        .withColumn(
-            "_carry",
-            F.coalesce(
-                "_own",
-                F.last("_close", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)),
-            ),
-        )
-        .select(*keys, RUN, "_carry")
+    ends = local.groupBy(RUN).agg(
+        F.min_by(row, position).alias("_first"),
+        F.max_by(row, position).alias("_last"),
+        *[
+            F.max_by(f"_start{i}", F.when(F.col(f"_start{i}").isNotNull(), position)).alias(f"_latest{i}")
+            for i in range(len(columns))
+        ],
     )
+    # One row per run, so never more rows than range partitions. What a run's first rows carry on is the
+    # step open at the end of the run before, or the step that the first row itself starts.
+    along = Window.orderBy(RUN)
+    border = ends.withColumn("_end", F.lag("_last").over(along))
+    for i in range(len(columns)):
+        goes_on = F.col("_end.k").eqNullSafe(F.col("_first.k")) & F.col("_end").isNotNull()
+        goes_on &= _in_step(F.col(f"_first.x{i}"), F.col(f"_end.x{i}"), threshold)
+        border = border.withColumn(f"_own{i}", F.when(~goes_on, F.struct(F.round(F.col(f"_first.x{i}"), 4).alias("v"))))
+        close = F.last(F.coalesce(f"_latest{i}", f"_own{i}"), ignorenulls=True)
+        earlier = close.over(along.rowsBetween(Window.unboundedPreceding, -1))
+        border = border.withColumn(f"_carry{i}", F.coalesce(f"_own{i}", earlier))
+    carries = [f"_carry{i}" for i in range(len(columns))]
+    flat = {
+        c: F.coalesce(F.last(f"_start{i}", ignorenulls=True).over(_so_far(inside)), F.col(f"_carry{i}"))["v"]
+        for i, c in enumerate(columns)
+    }
     return (
-        local.withColumn("_start", F.last("_start", ignorenulls=True).over(_so_far(inside)))
-        .transform(lambda rows: _with_border(rows, border, keys))
-        .withColumn(column, F.coalesce("_start", "_carry")["v"])
-        .drop("_row", "_start", "_carry", RUN)
+        local.join(F.broadcast(border.select(RUN, *carries)), RUN)
+        .withColumns(flat)
+        .drop("_row", "_lag", RUN, *carries, *[f"_start{i}" for i in range(len(columns))])
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions import as_column, ordinal
-from weekloom.operators.joins import attach
+from weekloom.operators.joins import join_left
 
 
 def union_vintages(frames: Sequence[DataFrame]) -> DataFrame:
@@ -29,9 +29,9 @@ def intersect_keys(df: DataFrame, segment: str, key: str, first, second) -> Data
 def overlap_resolve(df: DataFrame, segment: str, key: str, priority: Sequence[str]) -> DataFrame:
     """A key found in several segments belongs, with all its rows, to the first of them in `priority`."""
     rank = ordinal(segment, priority)
-    best = df.groupBy(as_column(key)).agg(F.min(rank).alias("_rank"), F.count(F.lit(1)).alias("_rows"))
+    best = df.groupBy(as_column(key)).agg(F.min(rank).alias("_rank"))
     labels = F.array(*[F.lit(p) for p in priority])
-    resolved = attach(df, best, [key], "_rows").withColumn(
+    resolved = join_left(df, best, [key]).select(*[as_column(c) for c in df.columns], "_rank").withColumn(
         segment, F.coalesce(F.try_element_at(labels, F.col("_rank") + 1), as_column(segment))
     )
     return resolved.drop("_rank")

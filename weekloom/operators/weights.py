@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions import as_column
 from weekloom.operators.aggregates import value_counts
-from weekloom.operators.joins import attach
+from weekloom.operators.joins import join_left
 from weekloom.operators.ordered import exact_quantiles, numbered
 from weekloom.session import materialize
 
@@ -38,8 +38,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def add_weights(df: DataFrame, weights: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Give each row the weight of its label. `weights` keeps the label's row count `n`."""
-    return attach(df, weights.select(label, "n", F.col("weight").alias(name)), [label], "n")
+    """Give each row the weight of its label."""
+    looked_up = join_left(df, weights.select(label, F.col("weight").alias(name)), [label])
+    return looked_up.select(*[as_column(c) for c in df.columns], name)
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int = 4) -> list[float]:

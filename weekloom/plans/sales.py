@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weekloom.functions import as_column, date_features, log_plus_one, log_target, parse_percent, truncate_int
 from weekloom.operators.encoders import Encoder, fit_encoder
 from weekloom.operators.evaluation import percent_error_stats
-from weekloom.operators.filters import before_year, select_slice
+from weekloom.operators.filters import before_year, in_year, select_slice
 from weekloom.operators.joins import keep_keys
 from weekloom.operators.learning import FeatureSpec, fit_with_validation, score_table
 from weekloom.operators.scalers import Scaler, fit_minmax
@@ -52,9 +52,7 @@ def denoised_sales(
         as_column(c.price),
         truncate_int(c.quantity).alias(c.quantity),
     )
-    for name in (c.price, c.quantity):
-        data = denoise_series(data, c.categorical, [c.week], name, threshold, one_row_per_date)
-    return data
+    return denoise_series(data, c.categorical, [c.week], [c.price, c.quantity], threshold, one_row_per_date)
 
 
 def large_combinations(
@@ -63,10 +61,9 @@ def large_combinations(
     """Rows of the combinations that are left after the smallest ones of one year are dropped."""
     c = columns
     data = materialize(data, "denoised")
-    judged = data.filter(F.year(as_column(c.week)) == share_year)
+    judged = in_year(data, c.week, share_year)
     kept = cumulative_share_cut(judged, c.categorical, c.price, c.quantity, threshold)
-    # With a row per date no series is long; otherwise the hot ones are served apart.
-    return keep_keys(data, kept, c.categorical, rows=None if one_row_per_date else "n")
+    return keep_keys(data, kept, c.categorical)
 
 
 @dataclass(frozen=True)
@@ -78,14 +75,16 @@ class SalesFeatures:
 
 
 def sales_features(
-    data: DataFrame, columns: SalesColumns, weight_by: str = "brand", fit_on: str = "train", seed: int = 75
+    data: DataFrame, columns: SalesColumns, weight_by: str = "brand", fit_on: str = "train", seed: int = 75,
+    duplicates: str = "raise",
 ) -> SalesFeatures:
     """Split by quartiles of the log target, then encode, scale, log and weight. Parameters come
-    from the training rows, or from all rows with `fit_on="all"`."""
+    from the training rows, or from all rows with `fit_on="all"`. Quartiles that coincide are an error,
+    or with `duplicates="drop"` fewer strata."""
     c = columns
     label = "log_quantity"
     data = materialize(data, "large")
-    binned = quantile_bins(data.withColumn(label, log_target(c.quantity)), label, 4, "stratum", duplicates="drop")
+    binned = quantile_bins(data.withColumn(label, log_target(c.quantity)), label, 4, "stratum", duplicates=duplicates)
     split = materialize(
         stratified_split(binned, c.key, "stratum", test=0.05, validation=0.15, seed=seed), "sales"
     )
