@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from queries import views as v
-from queries.registry import out, query
-from weekloom.functions import date_features
+from queries.registry import out, query, r
+from weekloom.functions import date_features, log_target
+from weekloom.operators.encoders import fit_encoder
+from weekloom.operators.learning import FeatureSpec, score_table, train_regressor
+from weekloom.operators.scalers import fit_minmax
 from weekloom.operators.sets import union_vintages
 from weekloom.plans import loans, sales, segments
+from weekloom.session import materialize, scratch_path
+from weekloom.sources.models import load_model, save_model
 
 
 @query("sales_flow")
@@ -57,3 +64,42 @@ def loans_binary_flow(spark, sf):
     data = v.loan_binary(spark, sf).select("doc_id", "lang", "source", F.col("n_chars").cast("double"), "quality")
     features = loans.loan_features(data, ["doc_id"], ["lang", "source"], [], ["n_chars"], "quality")
     return loans.loan_classification(features, ["doc_id"], "gbt").final.confusion("all")
+
+
+_EARLY = "week_end < DATE '2000-01-01'"
+_CODED = ["brand", "ka", "fsa", "Time_Yr", "Time_Mon"]
+
+
+def _code_sql(c: str) -> str:
+    """The place of a label among the early ones, or the place after the last."""
+    return (f"coalesce((SELECT n FROM (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS n FROM "
+            f"(SELECT DISTINCT {c} FROM early)) WHERE x = late.{c}), (SELECT count(DISTINCT {c}) FROM early)) AS {c}_code")
+
+
+@query("sales_new_rows", f"""SELECT brand, ka, fsa, segment, CAST(week_end AS VARCHAR) AS week_end, {', '.join(_code_sql(c) for c in _CODED)},
+  {r('(population - (SELECT min(population) FROM early)) / (SELECT max(population) - min(population) FROM early) + 1', 'population')},
+  {r('CAST(CAST(ln(1 + price) AS FLOAT) AS DOUBLE)', 'log_price', 4)}, true AS predicted FROM late""",
+    v.POS + f""",
+parts AS (SELECT *, CAST(year(week_end) AS INTEGER) AS "Time_Yr", CAST(month(week_end) AS INTEGER) AS "Time_Mon" FROM pos),
+early AS (SELECT * FROM parts WHERE {_EARLY}),
+late AS (SELECT * FROM parts WHERE NOT {_EARLY})""")
+def sales_new_rows(spark, sf):
+    """Fit on the weeks before 2000, save parameters and model, load them, and score the weeks since."""
+    columns = sales.SalesColumns(time=("Time_Yr", "Time_Mon"))
+    border = F.lit(date(2000, 1, 1))
+    parts = date_features("week_end", "Time_", ["Yr", "Mon"])
+    rows = materialize(
+        v.pos(spark, sf).select(*columns.key, "segment", "population", "price", log_target("qty").alias("log_quantity"), *parts), "sales")
+    early, late = rows.filter(F.col("week_end") < border), rows.filter(F.col("week_end") >= border)
+    encoder = fit_encoder(early, [*columns.categorical, *columns.time])
+    scaler = fit_minmax(early, ["population"], 1.0, 2.0)
+    spec = FeatureSpec([f"{c}_code" for c in _CODED], ["population"], ["log_price"], "log_quantity")
+    folder = scratch_path(spark, "fitted")
+    fitted = sales.SalesFeatures(sales.NewSales(encoder, scaler).features(early, columns), spec, encoder, scaler)
+    fitted.save(folder)
+    save_model(train_regressor(fitted.rows, spec, "linear"), f"{folder}/model")
+    loaded = sales.NewSales.load(spark, folder)
+    features = loaded.features(late, columns)
+    scored = score_table(load_model(f"{folder}/model"), features,
+                         [*columns.key, "segment", *[f"{c}_code" for c in _CODED], "population", "log_price"])
+    return out(scored.withColumn("predicted", F.col("prediction").isNotNull()).drop("prediction"), log_price=4)

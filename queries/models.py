@@ -71,31 +71,33 @@ def kprototypes_one_pass(spark, sf):
 _UNROLLED = 60
 
 
-def _fit_sql(source: str, centers, passes: int = _UNROLLED) -> str:
+def _fit_sql(source: str, centers, passes: int = _UNROLLED, measures=_MEASURES) -> str:
     """CTEs p0, p1, ...: both prototypes after each pass over the rows of `source`, in one row."""
-    near = " + ".join([*[f"({c} - {{p}}_{c}) * ({c} - {{p}}_{c})" for c in _MEASURES], f"CASE WHEN fsa = {{p}}_label THEN 0.0 ELSE {_GAMMA} END"])
+    near = " + ".join([*[f"({c} - {{p}}_{c}) * ({c} - {{p}}_{c})" for c in measures], f"CASE WHEN fsa = {{p}}_label THEN 0.0 ELSE {_GAMMA} END"])
     first = ", ".join(
-        [f"CAST({x} AS DOUBLE) AS {p}_{c}" for p, (numbers, _) in zip("ab", centers) for c, x in zip(_MEASURES, numbers)]
+        [f"CAST({x} AS DOUBLE) AS {p}_{c}" for p, (numbers, _) in zip("ab", centers) for c, x in zip(measures, numbers)]
         + [f"'{label}' AS {p}_label" for p, (_, (label,)) in zip("ab", centers)])
     parts = [f"p0 AS MATERIALIZED (SELECT {first})"]
     for i in range(1, passes + 1):
         parts.append(f"""d{i} AS MATERIALIZED (SELECT {source}.*, ({near.format(p='b')}) < ({near.format(p='a')}) AS second FROM {source}, p{i - 1})""")
         columns = [
             f"coalesce((SELECT round(avg({c}), 9) FROM d{i} WHERE {'' if p == 'b' else 'NOT '}second), (SELECT {p}_{c} FROM p{i - 1})) AS {p}_{c}"
-            for p in "ab" for c in _MEASURES]
+            for p in "ab" for c in measures]
         columns += [
             f"coalesce((SELECT fsa FROM d{i} WHERE {'' if p == 'b' else 'NOT '}second GROUP BY fsa ORDER BY count(*) DESC, fsa LIMIT 1), "
             f"(SELECT {p}_label FROM p{i - 1})) AS {p}_label" for p in "ab"]
         parts.append(f"p{i} AS MATERIALIZED (SELECT {', '.join(columns)})")
     # Numbered by the first measure.
-    swap = f"b_{_MEASURES[0]} < a_{_MEASURES[0]}"
-    chosen = [f"CASE WHEN {swap} THEN {q}_{c} ELSE {p}_{c} END AS {p}_{c}" for p, q in ("ab", "ba") for c in (*_MEASURES, "label")]
+    swap = f"b_{measures[0]} < a_{measures[0]}"
+    chosen = [f"CASE WHEN {swap} THEN {q}_{c} ELSE {p}_{c} END AS {p}_{c}" for p, q in ("ab", "ba") for c in (*measures, "label")]
     return ",\n".join([*parts, f"fitted AS (SELECT {', '.join(chosen)} FROM p{passes})"])
 
 
-_NEAR = " + ".join([*[f"({c} - {{p}}_{c}) * ({c} - {{p}}_{c})" for c in _MEASURES], f"CASE WHEN fsa = {{p}}_label THEN 0.0 ELSE {_GAMMA} END"])
-_FITTED_ROWS = f"""placed AS (SELECT scaled.*, CASE WHEN ({_NEAR.format(p='b')}) < ({_NEAR.format(p='a')}) THEN 1 ELSE 0 END AS cluster,
-  least({_NEAR.format(p='a')}, {_NEAR.format(p='b')}) AS distance FROM scaled, fitted)"""
+def _fitted_rows(measures) -> str:
+    """The rows of `scaled` with their cluster and distance."""
+    a, b = (" + ".join([*[f"({c} - {p}_{c}) * ({c} - {p}_{c})" for c in measures], f"CASE WHEN fsa = {p}_label THEN 0.0 ELSE {_GAMMA} END"])
+            for p in "ab")
+    return f"placed AS (SELECT scaled.*, CASE WHEN ({b}) < ({a}) THEN 1 ELSE 0 END AS cluster, least({a}, {b}) AS distance FROM scaled, fitted)"
 
 
 @query("kprototypes_fit", "SELECT * FROM (" + " UNION ALL ".join(
@@ -103,7 +105,7 @@ _FITTED_ROWS = f"""placed AS (SELECT scaled.*, CASE WHEN ({_NEAR.format(p='b')})
      for i, p in enumerate("ab") for c in _MEASURES]
     + [f"SELECT {i}, 'fsa', NULL, {p}_label FROM fitted" for i, p in enumerate("ab")])
     + f") JOIN (SELECT cluster, count(*) AS rows, {r('sum(distance)', 'cost')} FROM placed GROUP BY 1) USING (cluster)",
-    _SCALED + ",\n" + _fit_sql("scaled", _CENTERS) + ",\n" + _FITTED_ROWS)
+    _SCALED + ",\n" + _fit_sql("scaled", _CENTERS) + ",\n" + _fitted_rows(_MEASURES))
 def kprototypes(spark, sf):
     """Rows, cost and prototype of each cluster, from given starts until nothing changes."""
     scaled = _scaled_weeks(spark, sf)
@@ -127,12 +129,28 @@ def elbow(spark, sf):
     return curve.select(F.col("k").cast("bigint").alias("k"), "converged", F.coalesce(F.col("cost") < before, F.lit(True)).alias("falling"))
 
 
-@query("cluster_segments")
+# Two kinds of areas to start from, by their scaled population: fixed values.
+_AREA_STARTS = [((0.3,), ("NATION_1",)), ((0.7,), ("NATION_7",))]
+_AREA_YEARS = v.POS + """,
+yearly AS (SELECT fsa, year(week_end) AS yr, floor(avg(population) * 100 + 0.500001) / 100 AS population FROM pos GROUP BY 1, 2),
+scaled AS (SELECT fsa, yr, population AS raw, (population - min(population) OVER ()) / (max(population) OVER () - min(population) OVER ()) AS population
+  FROM yearly)"""
+
+
+@query("cluster_segments", f"""SELECT segment, count(*) AS total_count, min(fsa) FILTER (place = 1) AS fsa,
+  {r('avg(raw)', 'population_mean', 4)}, {r('min(raw)', 'population_min', 4)}, {r('max(raw)', 'population_max', 4)}
+  FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY n DESC, fsa) AS place FROM (
+    SELECT *, count(*) OVER (PARTITION BY segment, fsa) AS n FROM (
+      SELECT fsa, raw, CASE WHEN min(cluster) OVER (PARTITION BY fsa) = 0 THEN 'First' ELSE 'Second' END AS segment FROM placed)))
+  GROUP BY 1""", _AREA_YEARS + ",\n" + _fit_sql("scaled", _AREA_STARTS, measures=["population"]) + ",\n" + _fitted_rows(["population"]))
 def segments(spark, sf):
     """Areas by what their years look like: every area belongs to one segment, and there are two."""
     yearly = materialize(
-        v.pos(spark, sf).groupBy("fsa", F.year("week_end").alias("yr")).agg(F.avg("population").alias("population")), "years")
-    return out(cluster_segments(yearly, "fsa", ["population"], k=2).profile("fsa"))
+        v.pos(spark, sf).groupBy("fsa", F.year("week_end").alias("yr")).agg(
+            v.half_up(F.avg("population"), 100).alias("population")), "years")
+    found = cluster_segments(yearly, "fsa", ["population"], k=2, start=_AREA_STARTS, gamma=_GAMMA)
+    assert found.prototypes.converged
+    return out(found.profile("fsa"), 4)
 
 
 # ---- training

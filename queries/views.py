@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _half_up(c: Column, scale: int) -> Column:
+def half_up(c: Column, scale: int) -> Column:
     """Rounding by floor, with halves lifted a little so that the order of a sum cannot tip them."""
     return F.floor(c * scale + 0.500001).cast("double") / scale
 
@@ -62,9 +62,9 @@ def pos(spark: SparkSession, sf: str, year: int | None = None) -> DataFrame:
         week_ending("l_shipdate").alias("week_end"),
     ).agg(
         F.sum("l_quantity").alias("qty"),
-        _half_up(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 100).alias("price"),
-        F.concat(_half_up(F.avg("l_tax") * 100, 10).cast("string"), F.lit("%")).alias("inflation_text"),
-        _half_up(F.avg("c_acctbal"), 100).alias("population"),
+        half_up(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 100).alias("price"),
+        F.concat(half_up(F.avg("l_tax") * 100, 10).cast("string"), F.lit("%")).alias("inflation_text"),
+        half_up(F.avg("c_acctbal"), 100).alias("population"),
     )
 
 
@@ -93,8 +93,8 @@ def pos_week(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("province", "fsa", "week_end")
         .agg(
             F.sum("qty").alias("qty"),
-            _half_up(F.avg("price"), 100).alias("price"),
-            _half_up(F.avg("population"), 100).alias("population"),
+            half_up(F.avg("price"), 100).alias("price"),
+            half_up(F.avg("population"), 100).alias("population"),
         )
     )
 
@@ -134,8 +134,8 @@ def demo_vintages(spark: SparkSession, sf: str) -> dict[int, DataFrame]:
     for i, (low, high) in enumerate(zip(PRICE_RANGES, PRICE_RANGES[1:]), 1):
         inside = (price >= F.lit(low).cast("double")) & (price < F.lit(high).cast("double"))
         figures[f"INC{i}"] = F.round(F.sum(F.when(inside, price).otherwise(0.0)), 2)
-    figures["AVGBAL"] = _half_up(F.avg("c_acctbal"), 100)
-    figures["AVGINC"] = _half_up(F.avg("o_totalprice"), 100)
+    figures["AVGBAL"] = half_up(F.avg("c_acctbal"), 100)
+    figures["AVGINC"] = half_up(F.avg("o_totalprice"), 100)
     grouped = (
         table(spark, sf, "orders")
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -257,7 +257,7 @@ def loan_binary(spark: SparkSession, sf: str) -> DataFrame:
     joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     score = F.col("n_chars") / (F.col("n_chars") + 1000)
     return joined.select(
-        "doc_id", "lang", "source", "n_chars", "quality", _half_up(score, 100).alias("score")
+        "doc_id", "lang", "source", "n_chars", "quality", half_up(score, 100).alias("score")
     ).withColumn("guess", F.rint("score").cast("int"))
 
 

@@ -130,3 +130,45 @@ def test_quotas_sum_up():
     quota = weights.split_quotas({"a": 1, "b": 1, "c": 998}, 0.05, 0.2)
     assert sum(t for t, _ in quota.values()) == 50
     assert sum(v for _, v in quota.values()) == 190
+
+
+def test_split_does_not_depend_on_the_cells(frame, monkeypatch):
+    df = frame([(i, "a" if i % 3 else "b") for i in range(2000)], "id int, c string")
+    whole = {r.id: r.part for r in weights.stratified_split(df, ["id"], "c").collect()}
+    monkeypatch.setattr(weights, "CELL_ROWS", 1)
+    monkeypatch.setattr(weights, "_DIGITS", 1)
+    assert {r.id: r.part for r in weights.stratified_split(df, ["id"], "c").collect()} == whole
+
+
+def test_split_says_what_it_cannot_do(frame, monkeypatch):
+    with pytest.raises(ValueError, match="too few"):
+        weights.stratified_split(frame([(1, "a")], "id int, c string"), ["id"], "c")
+    monkeypatch.setattr(weights, "MOST_STRATA", 5)
+    with pytest.raises(ValueError, match="more than 5"):
+        weights.stratified_split(frame([(i, str(i)) for i in range(50)], "id int, c string"), ["id"], "c")
+
+
+def test_loans_score_new_rows_with_saved_parameters(spark, frame, tmp_path):
+    from weekloom.plans import loans
+
+    rows = frame([(i, "x" if i % 2 else "y", float(i % 7), "n" if i % 3 else "p") for i in range(300)], "id int, k string, v double, t string")
+    fitted = loans.loan_features(rows, ["id"], ["k"], [], ["v"], "t")
+    fitted.save(str(tmp_path / "loans"))
+    models = loans.loan_classification(fitted, ["id"])
+    new = frame([(1000, "x", 3.0), (1001, "z", 6.0)], "id int, k string, v double")
+    loaded = loans.NewLoans.load(spark, str(tmp_path / "loans"))
+    scored = {r.id: r for r in loaded.score(new, ["k"], models.final.model, ["id", "k_code", "v"]).collect()}
+    assert (scored[1000].k_code, scored[1000].v) == (0, 2.0) and (scored[1001].k_code, scored[1001].v) == (2, 3.0)
+    assert all(abs(sum(r.probability) - 1) < 1e-9 for r in scored.values())
+
+
+def test_loans_need_every_class_in_training(frame):
+    from weekloom.plans import loans
+
+    rows = frame([(i, "x", 1.0, "rare" if i == 0 else "often") for i in range(40)], "id int, k string, v double, t string")
+    try:
+        parts = {r.id: r.part for r in weights.stratified_split(rows, ["id"], "t", test=0.05, validation=0.2).collect()}
+        loans.loan_features(rows, ["id"], ["k"], [], ["v"], "t")
+        assert parts[0] == "train"
+    except ValueError as error:
+        assert "rare" in str(error) and parts[0] != "train"

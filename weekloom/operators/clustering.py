@@ -271,14 +271,14 @@ SEGMENT_NAMES: Mapping[int, str] = {0: "First", 1: "Second", 2: "Third", 3: "Fou
 
 def cluster_segments(
     df: DataFrame, key: str, numeric: Sequence[str], k: int = 2, seed: int = 0, max_passes: int = 100,
-    tolerance: float = 0.0, start: Sequence[tuple[tuple, tuple]] | None = None,
+    tolerance: float = 0.0, start: Sequence[tuple[tuple, tuple]] | None = None, gamma: float | None = None,
 ) -> Segments:
     """Scale to 0..1, cluster on the measures and the key, name the clusters, give each key to one
     segment, and scale back."""
     scaler = fit_minmax(df, numeric, 0.0, 1.0)
     scaled = scaler.transform(df)
     prototypes = kprototypes_fit(
-        scaled, numeric, [key], k, seed=seed, max_passes=max_passes, tolerance=tolerance, start=start
+        scaled, numeric, [key], k, gamma, seed, max_passes, tolerance, start
     )
     names = {i: SEGMENT_NAMES.get(i, f"Segment {i + 1}") for i in range(k)}
     named = prototypes.assign(scaled).withColumn("segment", label_name("cluster", names))

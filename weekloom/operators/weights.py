@@ -92,10 +92,39 @@ def split_quotas(counts: dict, test: float, validation: float) -> dict:
     total = sum(counts.values())
     rest = _allocate(counts, total - math.ceil(test * total))
     n_rest = sum(rest.values())
+    if not n_rest:
+        raise ValueError(f"{total} rows are too few to split: none is left beside the test rows")
     train = _allocate(rest, n_rest - math.ceil(validation * n_rest))
     return {s: (counts[s] - rest[s], rest[s] - train[s]) for s in counts}
 
 
+#: Rows that share a hash prefix and are put in order in one place, at most.
+CELL_ROWS = 100_000
+#: Strata are classes or bins; the driver holds a row for each.
+MOST_STRATA = 10_000
+_DIGITS = 4
+
+
+def _in_cells(strata: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows of the cells that quotas end in, once per quota."""
+    same = F.expr("s._stratum <=> e._stratum and startswith(s._hash, e._prefix)")
+    return strata.alias("s").join(F.broadcast(ends.alias("e")), same).select(
+        "s._stratum", "s._hash", "e._cut", "e._prefix", "e._nth"
+    )
+
+
+def _narrowed(strata: DataFrame, ends: DataFrame) -> list[tuple]:
+    """The cells that quotas end in, by prefixes a few digits longer: one count over the rows of the old ones."""
+    longer = F.expr(f"substring(_hash, 1, length(_prefix) + {_DIGITS})")
+    cells = _in_cells(strata, ends).groupBy("_stratum", "_cut", "_nth", longer.alias("_prefix")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    along = Window.partitionBy("_stratum", "_cut").orderBy("_prefix")  # at most 65,536 prefixes
+    reached = cells.withColumn("_after", F.sum("_n").over(along)).filter("_after >= _nth and _after - _n < _nth")
+    rows = reached.select("_stratum", "_cut", "_prefix", F.expr("_nth - (_after - _n)").alias("_nth"), "_n").collect()
+    return [tuple(r) for r in rows]
+
+
 def stratified_split(
     df: DataFrame, key: Sequence[str], stratum: str, test: float = 0.05, validation: float = 0.15,
     seed: int = 75, name: str = "part",
@@ -103,39 +132,30 @@ def stratified_split(
     """Label each row `test`, `validation` or `train` with exact quotas per stratum.
 
     Rows are taken in the order of a seeded hash of their key, which has to identify a row, so the
-    outcome does not depend on partitioning. Nothing is sorted or shuffled as a whole: hash
-    prefixes are counted per stratum, only the rows in a prefix where a quota ends are ranked, and
-    every row is then compared with the end points of its stratum.
+    outcome does not depend on partitioning. Nothing is sorted or shuffled as a whole: hash prefixes
+    are counted per stratum, longer ones in every pass, until the prefix where a quota ends holds few
+    rows; only these are ranked, and every row is then compared with the end points of its stratum.
     """
     place = F.md5(F.concat_ws("|", F.lit(str(seed)), *[as_column(k).cast("string") for k in key]))
     placed = df.withColumn("_hash", place)
-    strata = placed.select(as_column(stratum).alias("_stratum"), "_hash").withColumn(
-        "_prefix", F.substring("_hash", 1, 4)
-    )
-    cells = materialize(strata.groupBy("_stratum", "_prefix").agg(F.count(F.lit(1)).alias("_n")), "cells")
-    # Strata are classes or bins: one row each.
-    counts = {r["_stratum"]: r["n"] for r in cells.groupBy("_stratum").agg(F.sum("_n").alias("n")).collect()}
+    strata = materialize(placed.select(as_column(stratum).alias("_stratum"), "_hash"), "strata")
+    # Strata are classes or bins: one row each, and a stop if they are not.
+    found = strata.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).limit(MOST_STRATA + 1).collect()
+    if len(found) > MOST_STRATA:
+        raise ValueError(f"{stratum} has more than {MOST_STRATA} values; strata are classes or bins")
+    counts = {r["_stratum"]: r["n"] for r in found}
     quotas = split_quotas(counts, test, validation)
     spark = df.sparkSession
     kind = df.schema[stratum].dataType.simpleString()
-    wanted = spark.createDataFrame(
-        [(s, cut, upto) for s, (t, v) in quotas.items() for cut, upto in (("_t", t), ("_v", t + v)) if upto],
-        f"_stratum {kind}, _cut string, _upto bigint",
-    )
-    # At most 65,536 prefixes per stratum.
-    along = Window.partitionBy("_stratum").orderBy("_prefix")
-    reached = cells.withColumn("_after", F.sum("_n").over(along))
-    ends = (
-        reached.alias("r")
-        .join(F.broadcast(wanted.alias("w")), F.expr("r._stratum <=> w._stratum"))
-        .filter("_after >= _upto and _after - _n < _upto")
-        .select("r._stratum", "_prefix", "_cut", (F.col("_upto") - (F.col("_after") - F.col("_n"))).alias("_nth"))
-    )
-    in_cell = Window.partitionBy("_stratum", "_prefix", "_cut").orderBy("_hash")
+    schema = f"_stratum {kind}, _cut string, _prefix string, _nth bigint, _n bigint"
+    ends = [
+        (s, cut, "", upto, counts[s]) for s, (t, v) in quotas.items() for cut, upto in (("_t", t), ("_v", t + v)) if upto
+    ]
+    while any(end[4] > CELL_ROWS for end in ends) and len(ends[0][2]) < 32:
+        ends = _narrowed(strata, spark.createDataFrame(ends, schema))
+    in_cell = Window.partitionBy("_stratum", "_cut").orderBy("_hash")
     borders = (
-        strata.alias("s")
-        .join(F.broadcast(ends.alias("e")), F.expr("s._stratum <=> e._stratum and s._prefix = e._prefix"))
-        .select("s._stratum", "s._prefix", "s._hash", "_cut", "_nth")
+        _in_cells(strata, spark.createDataFrame(ends, schema) if ends else spark.createDataFrame([], schema))
         .withColumn("_row", F.row_number().over(in_cell))
         .filter("_row = _nth")
         .select("_stratum", "_cut", "_hash")

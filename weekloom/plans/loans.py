@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.operators.encoders import Encoder, fit_encoder
 from weekloom.operators.evaluation import classification_report, confusion_matrix
 from weekloom.operators.learning import FeatureSpec, fit_with_validation, score_table, train_classifier
-from weekloom.operators.scalers import fit_minmax
+from weekloom.operators.scalers import Scaler, fit_minmax
 from weekloom.operators.weights import add_weights, class_weights, stratified_split
 from weekloom.session import materialize
 
@@ -23,6 +23,31 @@ class LoanFeatures:
     spec: FeatureSpec
     target: str
     encoder: Encoder
+    scaler: Scaler
+
+    def save(self, path: str) -> None:
+        """The dictionary and the scaling, to be applied to new rows by `NewLoans`."""
+        self.encoder.save(f"{path}/encoder")
+        self.scaler.save(self.rows.sparkSession, f"{path}/scaler")
+
+
+@dataclass(frozen=True)
+class NewLoans:
+    """Saved parameters, for rows that came later. A label that the fit did not see gets the code after the last."""
+
+    encoder: Encoder
+    scaler: Scaler
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> NewLoans:
+        return NewLoans(Encoder.load(spark, f"{path}/encoder"), Scaler.load(spark, f"{path}/scaler"))
+
+    def features(self, rows: DataFrame, codes: Sequence[str]) -> DataFrame:
+        return self.scaler.transform(self.encoder.transform(rows, codes, reserve=True))
+
+    def score(self, rows: DataFrame, codes: Sequence[str], model: PipelineModel, keep: Sequence[str]) -> DataFrame:
+        """`keep` columns, the prediction and the class probabilities."""
+        return score_table(model, self.features(rows, codes), keep)
 
 
 def loan_features(
@@ -36,6 +61,9 @@ def loan_features(
     scaler = fit_minmax(base, continuous, 1.0, 3.0)
     coded = encoder.transform(split, [*categorical, *time], reserve=True)
     coded = encoder.transform(coded, [target])
+    lost = [r[target] for r in split.select(target).distinct().join(base.select(target).distinct(), target, "left_anti").collect()]
+    if lost:
+        raise ValueError(f"classes without a training row: {lost}")
     weighted = add_weights(coded, class_weights(base, target), target)
     spec = FeatureSpec(
         codes=[f"{c}_code" for c in (*categorical, *time)],
@@ -43,7 +71,7 @@ def loan_features(
         label=f"{target}_code",
         weight="weight",
     )
-    return LoanFeatures(materialize(scaler.transform(weighted), "features"), spec, target, encoder)
+    return LoanFeatures(materialize(scaler.transform(weighted), "features"), spec, target, encoder, scaler)
 
 
 @dataclass(frozen=True)
@@ -88,5 +116,7 @@ def loan_classification(
     else:
         wider = train.unionByName(validation)
         models = tuple(train_classifier(part, spec, kind, **options) for part in (train, wider))
-    first, final = (Scored(m, score_table(m, rows, [*key, "part", spec.label]), spec.label) for m in models)
+    # Every report reads the scores; each model scores once.
+    scores = [materialize(score_table(m, rows, [*key, "part", spec.label]), "scores") for m in models]
+    first, final = (Scored(m, s, spec.label) for m, s in zip(models, scores, strict=True))
     return LoanModels(first, final)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.functions import as_column, date_features, log_plus_one, log_target, parse_percent, truncate_int
@@ -73,6 +73,32 @@ class SalesFeatures:
     encoder: Encoder
     scaler: Scaler
 
+    def save(self, path: str) -> None:
+        """The dictionary and the scaling, to be applied to new rows by `NewSales`."""
+        self.encoder.save(f"{path}/encoder")
+        self.scaler.save(self.rows.sparkSession, f"{path}/scaler")
+
+
+@dataclass(frozen=True)
+class NewSales:
+    """Saved parameters, for rows that came later. A label that the fit did not see gets the code after the last."""
+
+    encoder: Encoder
+    scaler: Scaler
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> NewSales:
+        return NewSales(Encoder.load(spark, f"{path}/encoder"), Scaler.load(spark, f"{path}/scaler"))
+
+    def features(self, rows: DataFrame, columns: SalesColumns) -> DataFrame:
+        """Codes, scaled measures and the logged price for typed rows with date parts."""
+        coded = self.encoder.transform(rows, [*columns.categorical, *columns.time], reserve=True)
+        return self.scaler.transform(coded).withColumn(f"log_{columns.price}", log_plus_one(columns.price))
+
+    def score(self, rows: DataFrame, columns: SalesColumns, model: PipelineModel) -> DataFrame:
+        """The key and the predicted log quantity."""
+        return score_table(model, self.features(rows, columns), columns.key)
+
 
 def sales_features(
     data: DataFrame, columns: SalesColumns, weight_by: str = "brand", fit_on: str = "train", seed: int = 75,
