@@ -11,7 +11,7 @@ from weekloom import functions as fn
 from weekloom.operators import aggregates, filters, schema
 from weekloom.operators.scalers import Scaler, fit_minmax
 from weekloom.operators.sets import union_vintages
-from weekloom.session import scratch_path
+from weekloom.session import materialize, scratch_path
 from weekloom.sources import tables
 
 KEYS = ["brand", "ka", "fsa", "segment", "week_end"]
@@ -89,9 +89,46 @@ def clean_colnames(spark, sf):
     return out(schema.clean_colnames(quoted), 2)
 
 
-@query("rename_vintage", 'SELECT "CODE", "GEO", ' + _MEASURES_SQL + ' FROM demo WHERE "YEAR" = 1998', v.DEMO)
+@query("rename_vintage", f'SELECT "CODE", "GEO", {_MEASURES_SQL}, "YEAR" FROM demo', v.DEMO)
 def rename_vintage(spark, sf):
-    return out(schema.rename_vintage(v.demo_vintages(spark, sf)[1998], 1998, v.DEMO_NAMES), 2)
+    """Every vintage under its own vendor codes, renamed and stacked."""
+    renamed = [
+        schema.rename_vintage(df, year, v.DEMO_NAMES).withColumn("YEAR", F.lit(year))
+        for year, df in v.demo_vintages(spark, sf).items()
+    ]
+    return out(union_vintages(renamed), 2)
+
+
+# The six demographic files stand on six order years; measure i counts orders whose customer falls to it.
+_FILES = dict(zip(schema.DEMOGRAPHIC_NAMES.prefixes, range(1995, 2001)))
+_NAMES = list(schema.DEMOGRAPHIC_NAMES.suffixes.values())
+
+
+def _name_sql(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+@query("rename_demographics", """SELECT n_name AS "CODE", CAST(year(o_orderdate) + 21 AS INTEGER) AS "YEAR", """ + ", ".join(
+    f"count(*) FILTER (o_custkey % {len(_NAMES)} = {i}) AS {_name_sql(name)}" for i, name in enumerate(_NAMES))
+    + """ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2""")
+def rename_demographics(spark, sf):
+    """All 41 measures of all six files, under each year's vendor codes, renamed and stacked."""
+    orders = (
+        v.table(spark, sf, "orders")
+        .join(v.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(v.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    )
+    measure = [F.count_if(F.col("o_custkey") % len(_NAMES) == i).alias(f"m{i}") for i in range(len(_NAMES))]
+    counts = materialize(
+        orders.groupBy(F.col("n_name").alias("CODE"), F.year("o_orderdate").alias("year")).agg(*measure), "counts")
+    files = []
+    for year, ordered in _FILES.items():
+        codes = {name: code for code, name in schema.DEMOGRAPHIC_NAMES.mapping(year).items()}
+        file = counts.filter(F.col("year") == ordered).select(
+            "CODE", *[F.col(f"m{i}").alias(codes[name]) for i, name in enumerate(_NAMES)])
+        files.append(schema.add_literal(schema.rename_vintage(file, year), "YEAR", year))
+    return union_vintages(files)
 
 
 @query("rename_columns", "SELECT l_orderkey AS order_id, l_linenumber AS line, " + r("l_quantity", "sold") + " FROM lineitem")
@@ -110,10 +147,13 @@ def drop_columns(spark, sf):
     return out(schema.drop_columns(v.table(spark, sf, "orders"), ["o_orderdate", "o_totalprice"]))
 
 
-@query("add_literal", f'SELECT "CODE", "GEO", {_MEASURES_SQL}, 1996 AS "YEAR" FROM demo WHERE "YEAR" = 1996', v.DEMO)
+@query("add_literal", f'SELECT "CODE", "GEO", {_MEASURES_SQL}, "YEAR" FROM demo', v.DEMO)
 def add_literal(spark, sf):
-    vintage = schema.rename_vintage(v.demo_vintages(spark, sf)[1996], 1996, v.DEMO_NAMES)
-    return out(schema.add_literal(vintage, "YEAR", 1996), 2)
+    tagged = [
+        schema.add_literal(schema.rename_vintage(df, year, v.DEMO_NAMES), "YEAR", year)
+        for year, df in v.demo_vintages(spark, sf).items()
+    ]
+    return out(union_vintages(tagged), 2)
 
 
 @query("cast_numeric", "SELECT l_orderkey, l_linenumber, " + ", ".join(

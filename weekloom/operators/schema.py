@@ -137,7 +137,9 @@ def rename_vintage(df: DataFrame, year: int, names: VintageNames = DEMOGRAPHIC_N
     return df.withColumnsRenamed(names.mapping(year))
 
 
-_INCOME = "Household Income ${} (Constant Year 2015 $)"
+def _named(*suffixes: str) -> list[str]:
+    return [DEMOGRAPHIC_NAMES.suffixes[s] for s in suffixes]
+
 
 # Coarse bands by the fine bands they add up: fixed values.
 AGE_BANDS = {
@@ -149,20 +151,10 @@ AGE_BANDS = {
     ],
 }
 INCOME_BANDS = {
-    "Household Income <$60000": [
-        _INCOME.format(b) for b in ("0 To $19,999", "20,000 To $39,999", "40,000 To $59,999")
-    ],
-    "Household Income $60000 - $99000": [
-        _INCOME.format(b) for b in ("60,000 To $79,999", "80,000 To $99,999")
-    ],
+    "Household Income <$60000": _named("HRI_020", "HRI2040", "HRI4060"),
+    "Household Income $60000 - $99000": _named("HRI6080", "HRIX100"),
     # The open-ended totals are added to their own parts here, so high incomes count several times.
-    "Household Income >=$100000": [
-        _INCOME.format(b)
-        for b in (
-            "100,000 Or Over", "100,000 To $124,999", "125,000 To $149,999", "150,000 To $199,999",
-            "200,000 Or Over", "200,000 To $299,999", "300,000 Or Over",
-        )
-    ],
+    "Household Income >=$100000": _named("HRI100P", "HRIX125", "HRIX150", "HRIX200", "HRI200P", "HRIX300", "HRI300P"),
 }
 # Every household counted once: the 100,000 Or Over total already holds its parts.
-INCOME_BANDS_ONCE = {**INCOME_BANDS, "Household Income >=$100000": [_INCOME.format("100,000 Or Over")]}
+INCOME_BANDS_ONCE = {**INCOME_BANDS, "Household Income >=$100000": _named("HRI100P")}
