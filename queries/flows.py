@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from queries import views as v
+from queries.features import split_sql
 from queries.registry import out, query, r
 from weekloom.functions import date_features, log_target
 from weekloom.operators.encoders import fit_encoder
@@ -35,6 +36,30 @@ _BANDS = {"Younger": ["Age Band 1", "Age Band 2"], "Older": ["Age Band 3", "Age
           "Lower income": ["Income Band 1", "Income Band 2"], "Higher income": ["Income Band 3", "Income Band 4"]}
 
 
+_CHANGED = ["qty", "Younger", "Older"]
+_SUMS = ", ".join(f"{' + '.join(f'd.\"{m}\"' for m in parts)} AS \"{name.replace(' ', '_')}\"" for name, parts in _BANDS.items())
+_KEPT_AREA = ["qty", "price", *[b.replace(" ", "_") for b in _BANDS], "Average_Income"]
+
+
+@query("area_changes", "SELECT province, fsa, CAST(week_end AS VARCHAR) AS week_end, " + ", ".join(r(c, c) for c in _KEPT_AREA)
+       + " FROM changed WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _CHANGED),
+       v.POS + ",\n" + v.DEMO_WEEKS + ",\ndemo_week AS (" + v.weekly_select(v.LINEAR) + f"""),
+joined AS (SELECT p.province, p.fsa, p.week_end, p.qty, p.price, {_SUMS}, d."Average Income" AS "Average_Income"
+  FROM (SELECT province, fsa, week_end, sum(qty) AS qty, avg(price) AS price FROM pos GROUP BY 1, 2, 3) p
+  JOIN demo_week d ON p.fsa = d.code AND p.week_end = d.week_end),
+complete AS (SELECT * FROM joined WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _KEPT_AREA)}),
+changed AS (SELECT province, fsa, week_end, {', '.join(
+    f'{c} / nullif(lag({c}) OVER w, 0) - 1 AS {c}' if c in _CHANGED else c for c in _KEPT_AREA)}
+  FROM complete WINDOW w AS (PARTITION BY province, fsa ORDER BY complete.week_end))""")
+def area_changes(spark, sf):
+    """What the segment flow clusters: weekly sales and yearly demographics as relative changes."""
+    columns = segments.AreaColumns()
+    weekly = segments.weekly_area_sales(v.pos(spark, sf), columns)
+    demo = segments.weekly_demographics(v.demo(spark, sf), v.MEASURES)
+    changes = segments.area_changes(weekly, demo, columns, _BANDS, _CHANGED, ["Average Income"])
+    return out(changes.select("province", "fsa", "week_end", *_KEPT_AREA))
+
+
 @query("segments_flow")
 def segments_flow(spark, sf):
     """Segments of one region's areas from sales changes and income; their profile."""
@@ -46,6 +71,31 @@ def segments_flow(spark, sf):
     return out(segments.area_segments(changes, columns, "ASIA", measures).profile("fsa"))
 
 
+_LOAN_CODES = ["priority", "ka", "t_Yr", "t_Qtr", "status"]
+_DICTIONARIES = ",\n".join(
+    f"by_{c} AS (SELECT {c}, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}_code FROM (SELECT DISTINCT {c} FROM base))"
+    for c in _LOAN_CODES)
+
+
+@query("loan_features", f"""SELECT o_orderkey, part, {', '.join(f'{c}_code' for c in _LOAN_CODES)},
+  {', '.join(r(f'({c} - (SELECT min({c}) FROM base)) / (SELECT max({c}) - min({c}) FROM base) * 2 + 1', c) for c in ('amount', 'balance'))},
+  {r('share', 'weight')} FROM split {' '.join(f'JOIN by_{c} USING ({c})' for c in _LOAN_CODES)} JOIN weights USING (status)""",
+    v.LOAN + """,
+dated AS (SELECT *, CAST(year(order_date) AS INTEGER) AS "t_Yr", CAST(quarter(order_date) AS INTEGER) AS "t_Qtr" FROM loan),
+""" + split_sql("dated", "concat_ws('|', '75', CAST(o_orderkey AS VARCHAR))", "status", 0.05, 0.20) + f""",
+base AS (SELECT * FROM split WHERE part = 'train'),
+{_DICTIONARIES},
+ranked AS (SELECT status, count(*) / (SELECT count(*) FROM base) AS share,
+  row_number() OVER (ORDER BY count(*) DESC, status) AS place FROM base GROUP BY 1),
+weights AS (SELECT a.status, b.share FROM ranked a JOIN ranked b ON a.place + b.place = (SELECT count(*) + 1 FROM ranked))""")
+def loan_features(spark, sf):
+    """What the loan flow trains on: parts, codes, scaled measures and class weights, fitted on the training rows."""
+    data = v.loan(spark, sf).select(
+        "o_orderkey", "priority", "ka", "amount", "balance", "status", *date_features("order_date", "t_", ["Yr", "Qtr"]))
+    found = loans.loan_features(data, ["o_orderkey"], ["priority", "ka"], ["t_Yr", "t_Qtr"], ["amount", "balance"], "status")
+    return out(found.rows.select("o_orderkey", "part", *[f"{c}_code" for c in _LOAN_CODES], "amount", "balance", "weight"))
+
+
 @query("loans_flow")
 def loans_flow(spark, sf):
     """Order status from order features with class weights; reports on validation, test and all."""
