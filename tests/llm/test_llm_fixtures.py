@@ -147,7 +147,7 @@ def test_tokens_equal_the_library(spark, docs):
 
 
 def test_tokens_of_odd_characters():
-    library, own = Tokenizer.from_file(TOKENIZER), bpe.Bpe(bpe.tokenizer_text(TOKENIZER))
+    library, own = Tokenizer.from_file(TOKENIZER), bpe.read_tokenizer(TOKENIZER)
     r = random.Random(3)
     alphabet = list("abcs tredvml'' \n\t  !!--  12９é²½ßñ—… 　 \x1c\x1f\x85😀👍🏽漢字кот")
     alphabet += ["'s", "'re", "'ll", "<|endoftext|>", "  ", "\r\n", "can't", "I'LL", "'ſ", "aaaa", "    "]

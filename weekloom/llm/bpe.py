@@ -264,34 +264,26 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_loaded: dict[int, Bpe] = {}
+#: Text that is encoded at a time; its arrays take about thirty times as much memory.
+PIECE_BYTES = 2 << 20
 
 
-def _model(spec) -> Bpe:
-    """The vocabulary of a broadcast tokenizer file, read once in a worker."""
-    text = spec.value
-    if hash(text) not in _loaded:
-        _loaded.clear()
-        _loaded[hash(text)] = Bpe(text)
-    return _loaded[hash(text)]
-
-
-def tokenizer_text(path: str) -> str:
-    return Path(path).read_text(encoding="utf-8")
+def read_tokenizer(path: str) -> Bpe:
+    return Bpe(Path(path).read_text(encoding="utf-8"))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Tokens of every whole text: the id, `ids` (array of int) and `decoded` (the text made from them).
 
-    `tokenizer` is the path of a tokenizer file; the driver reads it and broadcasts it (a few MB, whatever
-    the size of the data). A null text counts as empty and gives no tokens; repeated rows give repeated
+    `tokenizer` is the path of a tokenizer file; the driver reads it and broadcasts its tables (a few MB,
+    whatever the size of the data). A null text counts as empty and gives no tokens; repeated rows give repeated
     rows; further columns are left out; an empty table gives an empty one. One pass, no shuffle: memory is
-    bounded by a piece of 8 MB of text, or by the longest text.
+    bounded by a piece of 2 MB of text, or by the longest text.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer))
+    model = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens, first, decoded in _encoded(batches, spec):
+        for ids, tokens, first, decoded in _encoded(batches, model):
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tokens, pa.int32())), pa.array(decoded)],
                 [id_column, "ids", "decoded"],
@@ -307,10 +299,10 @@ def token_digests(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
 
     Digests are taken where the tokens are, so that tokens need not be sent back from the Python worker.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer))
+    model = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens, first, decoded in _encoded(batches, spec):
+        for ids, tokens, first, decoded in _encoded(batches, model):
             packed = tokens.astype("<u4")
             bounds = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -328,12 +320,11 @@ def token_digests(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
     return frame.mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def _encoded(batches: Iterable[pa.RecordBatch], spec) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[str]]]:
+def _encoded(batches: Iterable[pa.RecordBatch], model) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[str]]]:
     """Per piece: ids, tokens, their offsets, and the texts decoded from them."""
-    for batch in pieces(batches, 1):
-        model = _model(spec)
-        tokens, first = model.encode(batch.column(1))
-        raw = model.decode(tokens)
-        ends = np.r_[0, np.cumsum(model.length[tokens])][first]
+    for batch in pieces(batches, 1, PIECE_BYTES):
+        tokens, first = model.value.encode(batch.column(1))
+        raw = model.value.decode(tokens)
+        ends = np.r_[0, np.cumsum(model.value.length[tokens])][first]
         decoded = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         yield batch.column(0), tokens, first, decoded

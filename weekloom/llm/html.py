@@ -527,7 +527,7 @@ def extract(pages: DataFrame, trees: Trees, id_column: str = "page_id", url_colu
     kinds = [frame.schema[c].dataType.simpleString() for c in (id_column, url_column)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2, 4 << 20):
+        for batch in pieces(batches, 2, 2 << 20):
             texts = main_texts(batch.column(2).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 _SLICE = 1 << 20
 _POWER = 0x9E6C63D0876A9A47 | 1
 
