@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.frames import only
 from weekloom.llm.words import SPACED, Words, gram_hashes, inside_one_text, pieces, read_words
-from weekloom.session import materialize
 
 LENGTH = 20
 #: Words of an anchor.
@@ -137,20 +136,32 @@ def _short(key: np.ndarray) -> np.ndarray:
     return (key >> 32).astype(np.int32)
 
 
+_REPEATED = "bucket int, docs array<int>, places array<int>"
 _HINTS = "doc int, places array<int>"
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed anchors to places of anchors that occur in more than one piece or are known to repeat."""
+def _repeated(buckets: int):
+    """Packed anchors to places of anchors that occur in more than one piece or are known to repeat, packed
+    by document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _by_bucket(batches):
+            hashes, docs, places, known_docs, known_places = (_flat(bucket, i) for i in range(1, 6))
+            order, begin = _groups(hashes)
+            size = np.diff(np.r_[begin, len(hashes)])
+            twice = order[np.repeat(size > 1, size)]
+            doc = np.concatenate((docs[twice], known_docs))
+            place = np.concatenate((places[twice], known_places))
+            if len(doc):
+                yield _packed([(doc.astype(np.int64) % buckets, [doc, place])], buckets, ["docs", "places"])
+
+    return run
+
+
+def _hints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All repeated places of a document in one row."""
     for bucket in _by_bucket(batches):
-        hashes, docs, places, known_docs, known_places = (_flat(bucket, i) for i in range(1, 6))
-        order, begin = _groups(hashes)
-        size = np.diff(np.r_[begin, len(hashes)])
-        twice = order[np.repeat(size > 1, size)]
-        doc = np.concatenate((docs[twice], known_docs))
-        place = np.concatenate((places[twice], known_places))
-        if not len(doc):
-            continue
+        doc, place = _flat(bucket, 1), _flat(bucket, 2)
         order, begin = _groups(doc)
         offsets = pa.array(np.r_[begin, len(doc)], pa.int32())
         yield pa.RecordBatch.from_arrays(
@@ -235,33 +246,48 @@ def _order_codes(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-_GONE = "id bigint, key bigint, starts array<int>, counts array<int>"
+_GONE = "bucket int, ids array<bigint>, keys array<bigint>, starts array<int>, counts array<int>"
+_BY_DOCUMENT = "id bigint, key bigint, starts array<int>, counts array<int>"
 
 
-def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed windows to the stretches of windows that also start earlier, a row per document."""
+def _later(buckets: int):
+    """Packed windows to the stretches of windows that also start earlier, packed by document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in _by_bucket(batches):
+            gone = _gone(bucket)
+            if len(gone[0]):
+                yield _packed([((gone[1] >> 8) % buckets, gone)], buckets, ["ids", "keys", "starts", "counts"])
+
+    return run
+
+
+def _gone(bucket: pa.RecordBatch) -> list[np.ndarray]:
+    """Id, key, start and number of windows of every stretch of a bucket that also starts earlier."""
+    hashes, ids, keys, starts, counts = (_flat(bucket, i) for i in range(1, 6))
+    gone = [_flat(bucket, i) for i in range(6, 10)]
+    if not len(hashes):
+        return gone
+    number = _order_codes(ids, keys)
+    stretch = np.repeat(np.arange(len(starts)), counts)
+    ends = np.cumsum(counts.astype(np.int64))
+    start = np.arange(len(hashes)) - (ends - counts)[stretch] + starts[stretch]
+    code = number[stretch] << 32 | start
+    order, begin = _groups(hashes)
+    size = np.diff(np.r_[begin, len(hashes)])
+    later = np.zeros(len(hashes), bool)
+    later[order] = code[order] > np.repeat(np.minimum.reduceat(code[order], begin), size)
+    s, w = stretch[later], start[later]
+    begin = _stretches(s, w, s)
+    n = np.diff(np.r_[begin, len(w)])
+    more = ids[s[begin]], keys[s[begin]], w[begin].astype(np.int32), n.astype(np.int32)
+    return [np.concatenate(pair) for pair in zip(gone, more, strict=True)]
+
+
+def _by_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All stretches of a document in one row."""
     for bucket in _by_bucket(batches):
-        hashes, ids, keys, starts, counts = (_flat(bucket, i) for i in range(1, 6))
-        gone = [_flat(bucket, i) for i in range(6, 10)]
-        if len(hashes):
-            number = _order_codes(ids, keys)
-            stretch = np.repeat(np.arange(len(starts)), counts)
-            ends = np.cumsum(counts.astype(np.int64))
-            start = np.arange(len(hashes)) - (ends - counts)[stretch] + starts[stretch]
-            code = number[stretch] << 32 | start
-            order, begin = _groups(hashes)
-            size = np.diff(np.r_[begin, len(hashes)])
-            later = np.zeros(len(hashes), bool)
-            later[order] = code[order] > np.repeat(np.minimum.reduceat(code[order], begin), size)
-            s, w = stretch[later], start[later]
-            begin = _stretches(s, w, s)
-            n = np.diff(np.r_[begin, len(w)])
-            gone = [
-                np.concatenate(pair)
-                for pair in zip(gone, (ids[s[begin]], keys[s[begin]], w[begin].astype(np.int32), n.astype(np.int32)), strict=True)
-            ]
-        if not len(gone[0]):
-            continue
+        gone = [_flat(bucket, i) for i in range(1, 5)]
         order, begin = _groups(_order_codes(gone[0], gone[1]))
         offsets = pa.array(np.r_[begin, len(order)], pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(g[order])) for g in gone[2:]]
@@ -309,6 +335,10 @@ def _cut(length: int, schema_names: list[str], digests: bool):
     return run
 
 
+def _at_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
 def drop_repeats(
     docs: DataFrame,
     length: int = LENGTH,
@@ -335,16 +365,12 @@ def drop_repeats(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
     packed = rows.select("key", "text").mapInArrow(_anchors(buckets, length, anchor), _ANCHORS)
-    hints = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, _HINTS)
-    hints = hints.groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("places"))
+    hints = _at_bucket(_at_bucket(packed).mapInArrow(_repeated(buckets), _REPEATED)).mapInArrow(_hints, _HINTS)
     hinted = rows.withColumn("doc", F.shiftright("key", 32).cast("int")).join(hints, "doc")
     windows = hinted.select(F.col("id").cast("bigint").alias("id"), "key", "text", "places").mapInArrow(
         _windows(buckets, length, anchor), _WINDOWS
     )
-    gone = materialize(windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_later, _GONE), "repeats")
-    gone = gone.groupBy("id", "key").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts")
-    )
+    gone = _at_bucket(_at_bucket(windows).mapInArrow(_later(buckets), _GONE)).mapInArrow(_by_document, _BY_DOCUMENT)
     gone = gone.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "starts", "counts")
     ids = F.coalesce(rows["id"].cast("bigint"), F.lit(int(_LAST)))
     none = F.array().cast("array<int>")
