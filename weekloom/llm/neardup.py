@@ -332,10 +332,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: tup
     """
     pairs = materialize(pairs, "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PART).cast("int").alias("parts"))
-    members = pairs.join(parts, "a").select(
-        "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(1).alias("role")
-    )
-    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"), F.lit(0).alias("role"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    members = pairs.join(parts, "a").select("a", part.alias("part"), F.col("b").alias("id"), F.lit(1).alias("role"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    hubs = parts.select("a", every.alias("part"), F.col("a").alias("id"), F.lit(0).alias("role"))
     rows = members.unionByName(hubs).join(texts, "id").select("a", "part", "role", "id", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
     kind = rows.schema["a"].dataType.simpleString()

@@ -378,4 +378,5 @@ def drop_repeats(
         "id", "text", *[F.coalesce(c, none).alias(c) for c in ("starts", "counts")]
     )
     names = [id_column, "n_words", "n_removed", "kept_sha256" if digests else "kept_text"]
-    return joined.mapInArrow(_cut(length, names, digests), f"`{id_column}` {kind}, n_words bigint, n_removed bigint, {names[3]} string")
+    schema = f"`{id_column}` {kind}, n_words bigint, n_removed bigint, {names[3]} string"
+    return joined.mapInArrow(_cut(length, names, digests), schema)

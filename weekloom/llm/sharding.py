@@ -56,14 +56,16 @@ def pack_documents(
     group, a number that depends on BUNDLES and HEAVY and not on the data. The text is read once.
     """
     spark = docs.sparkSession
+    names = [id_column, text_column] if tokens is None else [id_column, text_column, "_tokens"]
+    counted = docs if tokens is None else docs.withColumn("_tokens", tokens)
+    frame = only(counted, *names).toDF("doc_id", "text", *names[2:])
     text = F.coalesce(F.col("text"), F.lit(""))
-    frame = only(docs.withColumn("_tokens", tokens) if tokens is not None else docs, id_column, text_column, *["_tokens"] * (tokens is not None))
-    frame = frame.withColumnsRenamed({id_column: "doc_id", text_column: "text"})
+    n_tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) if tokens is None else F.col("_tokens")
     rows = materialize(
         frame.select(
             "doc_id",
             (F.octet_length(text) + F.lit(overhead)).cast("bigint").alias("size"),
-            (F.col("_tokens") if tokens is not None else F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))).cast("bigint").alias("tokens"),
+            n_tokens.cast("bigint").alias("tokens"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.unhex(F.sha2(text, 256)).alias("digest"),
         ),
@@ -72,13 +74,15 @@ def pack_documents(
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     totals = rows.agg(*sums).first()
     if not totals["rows"]:
-        return rows.select(F.col("doc_id").alias(id_column), "size", "tokens", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
+        nowhere = F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot")
+        return rows.select(F.col("doc_id").alias(id_column), "size", "tokens", "text_crc32", *nowhere)
     groups = rows.groupBy("digest").agg(*sums)
     heavy_rule = F.lit(False)
     for name in MEASURES:
         heavy_rule |= F.col(name) * HEAVY >= max(totals[name] or 0, 1)
     # Groups of a small table would all be heavy; that is right, they are then placed one by one.
-    heavy = sorted((bytes(r["digest"]), r["bytes"] or 0, r["tokens"] or 0, r["rows"]) for r in groups.filter(heavy_rule).collect())
+    large = groups.filter(heavy_rule).collect()
+    heavy = sorted((bytes(r["digest"]), r["bytes"], r["tokens"] or 0, r["rows"]) for r in large)
 
     part = max(1, -(-totals["rows"] // BUNDLES))
     parts = [-(-n // part) for *_, n in heavy]
@@ -89,15 +93,16 @@ def pack_documents(
     placed = rows.join(known, "digest", "left").withColumn(
         "unit", F.coalesce(unit, F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("int"))
     )
-    units = sorted((r["unit"], r["bytes"], r["tokens"] or 0, r["rows"]) for r in placed.groupBy("unit").agg(*sums).collect())
+    measured = placed.groupBy("unit").agg(*sums).collect()
+    units = sorted((r["unit"], r["bytes"], r["tokens"] or 0, r["rows"]) for r in measured)
 
     numbers = np.array([u[0] for u in units])
     sizes = np.array([u[1:] for u in units], float)
     # A heavy group that fits into a shard is one item; its units stay together.
     item = numbers.copy()
     limit = sizes.sum(axis=0) / shards
-    for (_, *measured), b, p in zip(heavy, begin, parts):
-        if (np.array(measured, float) <= limit).all():
+    for (_, *size), b, p in zip(heavy, begin, parts, strict=True):
+        if (np.array(size, float) <= limit).all():
             item[(numbers >= b) & (numbers < b + p)] = b
     items, of = np.unique(item, return_inverse=True)
     summed = np.zeros((len(items), len(MEASURES)))
