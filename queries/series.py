@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from queries import views as v
 from queries.registry import out, query, r
 from queries.relations import SHARES
