@@ -62,13 +62,15 @@ def area_changes(spark, sf):
 
 @query("segments_flow")
 def segments_flow(spark, sf):
-    """Segments of one region's areas from sales changes and income; their profile."""
+    """Segments of one region's areas from sales changes, prices and income; their profile and the share of
+    the areas that each has."""
     columns = segments.AreaColumns()
     weekly = segments.weekly_area_sales(v.pos(spark, sf), columns)
     demo = segments.weekly_demographics(v.demo(spark, sf), v.MEASURES)
     changes = segments.area_changes(weekly, demo, columns, _BANDS, ["qty", "Younger", "Older"], ["Average Income"])
-    measures = ["Lower_income", "Higher_income", "Average_Income"]
-    return out(segments.area_segments(changes, columns, "ASIA", measures).profile("fsa"))
+    measures = ["qty", "price", "Lower_income", "Higher_income", "Average_Income"]
+    found = segments.area_segments(changes, columns, "ASIA", measures)
+    return out(found.profile("fsa").join(found.key_share("fsa"), "segment"))
 
 
 _LOAN_CODES = ["priority", "ka", "t_Yr", "t_Qtr", "status"]

@@ -103,3 +103,11 @@ def test_shuffle_partitions_do_not_change_results(spark, database, partitions):
             assert compare(spark, database, name, SF)[0] == "ok"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_segments_flow_clusters_all_measures(spark):
+    rows = queries()["segments_flow"](spark, SF).collect()
+    assert sorted(r["segment"] for r in rows) == ["First", "Second"]
+    for measure in ("qty", "price", "Lower_income", "Higher_income", "Average_Income"):
+        assert all(r[f"{measure}_min"] <= r[f"{measure}_mean"] <= r[f"{measure}_max"] for r in rows)
+    assert sum(r["key_share"] for r in rows) == pytest.approx(1) and all(r["keys"] > 0 for r in rows)
