@@ -504,6 +504,16 @@ def test_main_text(trees):
     ]
 
 
+def test_head_without_end_tag(trees):
+    whole = html.main_texts([PAGE], trees)
+    assert html.main_texts([PAGE.replace("</head><body>", "").replace("</body>", "")], trees) == whole
+    assert html.main_texts([PAGE.replace("</head>", "")], trees) == whole
+    for inside in ("Some text.", "<b>Some text.</b>", "<br>Some text.", "<p>Some text.", "<title>T</title><meta name=x>Some text."):
+        read = html.Pages()
+        read.add(f"<head>\n{inside}")
+        assert read.block_text == ["Some text."], inside
+
+
 def test_held_out_layouts(trees):
     layouts = html._Layouts(invented(2, 60), seed=77)
     pages = html.Pages()

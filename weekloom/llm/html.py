@@ -36,10 +36,11 @@ BLOCKS = (
 ).split()
 RAW = "script style noscript template textarea title iframe svg math object canvas video audio".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
+IN_HEAD = set("html head base basefont bgsound link meta noframes noscript script style template title".split())
 ENDS_P = set(BLOCKS) - {"label", "select", "option", "button", "html", "body", "head"}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "body": {"head"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"},
+    "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"},
 }
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 TAG_GROUPS = [
@@ -90,7 +91,8 @@ class Pages:
     block_first: list[int] = field(default_factory=list)
 
     def add(self, html: str) -> None:
-        """Read one page. Elements that are never closed end with their parent."""
+        """Read one page. Elements that are never closed end with their parent, a head with the first text or
+        tag that cannot stand in it."""
         root = len(self.parent)
         self.first.append(root)
         self.block_first.append(len(self.block_text))
@@ -104,7 +106,7 @@ class Pages:
             nonlocal said, linked
             if said:
                 text = " ".join("".join(said).split())
-                if text and "head" not in counts:
+                if text:
                     self.block_node.append(stack[-1][1])
                     self.block_text.append(text)
                     self.block_link.append(min(linked, len(text)))
@@ -130,6 +132,8 @@ class Pages:
             stop = found.start() if found else end
             if stop > at:
                 text = html[at:stop]
+                if "head" in counts and not text.isspace():
+                    close(len(stack) - 1)
                 said.append(unescape(text) if "&" in text else text)
                 if link:
                     linked += stop - at
@@ -141,6 +145,8 @@ class Pages:
                 continue
             tag = tag.lower()
             if not found.group(1):
+                if "head" in counts and tag not in IN_HEAD:
+                    close(len(stack) - 1)
                 self.tags[stack[-1][1]] += 1
                 if tag in _RAW:
                     over = _RAW_END[tag].search(html, at)
