@@ -514,6 +514,14 @@ def test_head_without_end_tag(trees):
         assert read.block_text == ["Some text."], inside
 
 
+def test_foreign_marks_are_ignored(frame, trees):
+    marks = ['"12.5"', '"top"', "''", "x", '"1"']
+    rows = [(i, "u", PAGE.replace("<article>", f"<article data-y={m}>").replace("<li>", f"<li DATA-Y={m}>")) for i, m in enumerate(marks)]
+    pages = frame(rows, "page_id bigint, url string, html string")
+    assert {r["text"] for r in html.extract(pages, trees).collect()} == set(html.main_texts([PAGE], trees))
+    assert html.train(pages).feature.shape == trees.feature.shape
+
+
 def test_held_out_layouts(trees):
     layouts = html._Layouts(invented(2, 60), seed=77)
     pages = html.Pages()

@@ -75,7 +75,8 @@ _GROUP = {tag: i for i, tags in enumerate(TAG_GROUPS) for tag in tags}
 
 @dataclass
 class Pages:
-    """Block elements of several pages, in page order, and their texts."""
+    """Block elements of several pages, in page order, and their texts. `data-y` is read from `marked` pages only,
+    which are those laid out here."""
 
     parent: list[int] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
@@ -89,6 +90,7 @@ class Pages:
     block_text: list[str] = field(default_factory=list)
     block_link: list[int] = field(default_factory=list)
     block_first: list[int] = field(default_factory=list)
+    marked: bool = True
 
     def add(self, html: str) -> None:
         """Read one page. Elements that are never closed end with their parent, a head with the first text or
@@ -187,8 +189,9 @@ class Pages:
         around, about, mark = 0, 0, 0
         if attributes and "=" in attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
-                if name == "data-y":
-                    mark = int(value.strip("\"'"))
+                if name.lower() == "data-y":
+                    if self.marked:
+                        mark = int(value.strip("\"'"))
                     continue
                 for part in _PART.findall(value):
                     part = part.lower()
@@ -351,7 +354,7 @@ def decode(nodes: Nodes, log_odds: np.ndarray) -> np.ndarray:
 
 def main_texts(pages: Iterable[str | None], trees: Trees) -> list[str]:
     """Main text of each page: blocks that stay, in page order, with a line break between them."""
-    read = Pages()
+    read = Pages(marked=False)
     for page in pages:
         read.add(page or "")
     if not read.first:
@@ -513,7 +516,7 @@ def train(pages: DataFrame, sample: int = SAMPLE, html_column: str = "html") ->
 def _block_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of up to 60 words; longer ones would say nothing more about layout."""
     for batch in pieces(batches, 0):
-        read = Pages()
+        read = Pages(marked=False)
         for html in batch.column(0).to_pylist():
             read.add(html or "")
         short = [" ".join(t.replace("<", " ").replace("&", " ").split()[:60]) for t in read.block_text]
