@@ -282,6 +282,17 @@ def test_language(spark, frame, names):
     assert all(0 <= x["score"] <= 1 for x in found.values())
 
 
+def test_language_of_a_text_alone_and_among_others(frame):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choices(SAMPLES[lang], k=9)), lang) for i, lang in enumerate(["en", "de", "fr"] * 40)]
+    model = language.train(frame(rows, "doc_id bigint, text string, lang string"))
+    texts = ["A.", "the", "Re.", "ü", "", None, "où", "b", "und nicht", "I", "été"]
+    names, score, ambiguous = model.predict(pa.array(texts))
+    for i, text in enumerate(texts):
+        alone = model.predict(pa.array([text], pa.string()))
+        assert alone[0] == [names[i]] and alone[1][0] == pytest.approx(score[i], abs=1e-12) and alone[2][0] == ambiguous[i]
+
+
 def test_language_odd_rows(none, odd, frame):
     model = language.fit(np.empty((0, language.WIDTH)), [])
     assert [r["lang_pred"] for r in language.identify(odd, model).collect()] == ["und"] * 9

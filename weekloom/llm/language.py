@@ -41,10 +41,13 @@ def _letters() -> np.ndarray:
 _LETTER = _letters()
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The hashed 3-gram that begins at every byte; the two last ones look beyond the text's end."""
+def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The hashed 3-gram that begins at every byte. Beyond the end of its text there are spaces."""
     plain = np.r_[_LETTER[data], np.uint32(32), np.uint32(32)]
-    value = plain[:-2] * _FACTORS[0] + plain[1:-1] * _FACTORS[1] + plain[2:] * _FACTORS[2]
+    second, third = plain[1:-1].copy(), plain[2:].copy()
+    last = offsets[1:][np.diff(offsets) > 0] - 1
+    second[last] = third[last] = third[last[last > 0] - 1] = 32
+    value = plain[:-2] * _FACTORS[0] + second * _FACTORS[1] + third * _FACTORS[2]
     value ^= value >> np.uint32(15)
     return ((value * np.uint32(2246822519)) >> np.uint32(20)).astype(np.int64)
 
@@ -85,7 +88,7 @@ class Model:
         has_letter = _with_letter(data, offsets)
         if not self.languages or not has_letter.any():
             return names, score, ambiguous
-        found = grams(data)
+        found = grams(data, offsets)
         lengths = np.maximum(np.diff(offsets), 1)
         some = np.flatnonzero(np.diff(offsets) > 0)
         margins = np.zeros((n, len(self.bias)))
@@ -184,7 +187,7 @@ def train(
 def _counts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1):
         data, offsets = text_bytes(batch.column(1))
-        found = grams(data)
+        found = grams(data, offsets)
         rows = [
             np.bincount(found[a:b], minlength=WIDTH).astype(np.float32).tobytes()
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
