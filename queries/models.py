@@ -153,6 +153,24 @@ def segments(spark, sf):
     return out(found.profile("fsa"), 4)
 
 
+_RAW_SCALED = v.POS_WEEK + ",\nscaled AS (SELECT province, fsa, week_end, " + ", ".join(
+    f"{c} AS raw_{c}, ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in _MEASURES) + " FROM pos_week)"
+_PROFILES = ", ".join(r(f"{f}(raw_{c})", f"{c}_{name}", 4) for c in _MEASURES for f, name in (("avg", "mean"), ("min", "min"), ("max", "max")))
+
+
+@query("cluster_segments_weekly", f"""SELECT segment, count(*) AS total_count, min(fsa) FILTER (place = 1) AS fsa, {_PROFILES}
+  FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY n DESC, fsa) AS place FROM (
+    SELECT *, count(*) OVER (PARTITION BY segment, fsa) AS n FROM (
+      SELECT *, CASE WHEN min(cluster) OVER (PARTITION BY fsa) = 0 THEN 'First' ELSE 'Second' END AS segment FROM placed)))
+  GROUP BY 1""", _RAW_SCALED + ",\n" + _fit_sql("scaled", _CENTERS) + ",\n" + _fitted_rows(_MEASURES))
+def weekly_segments(spark, sf):
+    """Areas by all their weeks and measures. An area with weeks in both clusters belongs to the first."""
+    weekly = materialize(v.pos_week(spark, sf).select("province", "fsa", "week_end", *_MEASURES), "weeks")
+    found = cluster_segments(weekly, "fsa", _MEASURES, k=2, start=_CENTERS, gamma=_GAMMA)
+    assert found.prototypes.converged
+    return out(found.profile("fsa"), 4)
+
+
 # ---- training
 
 def _sales_rows(spark, sf):

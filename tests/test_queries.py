@@ -111,3 +111,9 @@ def test_segments_flow_clusters_all_measures(spark):
     for measure in ("qty", "price", "Lower_income", "Higher_income", "Average_Income"):
         assert all(r[f"{measure}_min"] <= r[f"{measure}_mean"] <= r[f"{measure}_max"] for r in rows)
     assert sum(r["key_share"] for r in rows) == pytest.approx(1) and all(r["keys"] > 0 for r in rows)
+
+
+def test_weekly_segments_hold_every_week(spark):
+    weeks = queries()["kprototypes_assign"](spark, SF).count()
+    rows = queries()["cluster_segments_weekly"](spark, SF).collect()
+    assert sum(r["total_count"] for r in rows) == weeks
