@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import bpe, chat, contamination, exact, html, language, neardup, quality, repeats, sharding
+from weekloom.llm import (
+    bpe,
+    chat,
+    contamination,
+    exact,
+    html,
+    language,
+    lines,
+    neardup,
+    quality,
+    repeats,
+    runs,
+    search,
+    sharding,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -194,3 +208,126 @@ def op10_naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFr
 def op9_boosted_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html.extract(pages, html.train(pages))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by its hash, goes on with one period from some word on."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.size("words")
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    p = F.floor(1 + (n - F.col("a")) / (3 + F.pmod(g, F.lit(8)))).cast("int")
+    tail = F.transform(
+        F.sequence(F.col("a"), n - 1), lambda i: F.get("words", F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+    )
+    periodic = F.array_join(F.concat(F.slice("words", 1, F.col("a")), tail), " ")
+    chosen = docs.withColumn("words", F.when(F.pmod(h, F.lit(10)) == 0, words)).withColumn("a", a).withColumn("p", p)
+    return chosen.select("doc_id", F.when(n > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+@query(
+    "op11_suffix_tree_runs",
+    """WITH t AS (
+        SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(k))
+    ), h AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+            xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h
+        FROM documents, t
+    ), a AS (
+        SELECT *, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS k FROM h
+    ), d AS (
+        SELECT doc_id, CASE WHEN h % 10 = 0 THEN list_transform(range(len(w)),
+            lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // k) END]) ELSE w END AS w
+        FROM a
+    ), e AS (
+        SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM d
+    ), m AS (
+        SELECT x.doc_id, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS g
+        FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+    ), s AS (
+        SELECT doc_id, q, min(i) AS i, count(*) + q AS n FROM m GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(24, 3 * q)
+    ), r AS (
+        SELECT doc_id, i, n, min(q) AS q FROM s GROUP BY doc_id, i, n
+    ), b AS (
+        SELECT doc_id, count(*) AS n_runs, arg_min({'i': i, 'n': n, 'q': q}, {'x': -n / q, 'i': i, 'q': q}) AS b,
+            string_agg(concat(i, ',', n, ',', q, chr(10)), '' ORDER BY i, q) AS listed FROM r GROUP BY doc_id
+    ), o AS (
+        SELECT DISTINCT doc_id, unnest(range(i + q, i + n)) AS i, true AS gone FROM r
+    ), c AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM e LEFT JOIN o USING (doc_id, i) WHERE gone IS NULL GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.i AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli,
+        sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)""",
+)
+def op11_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(with_periods(table(spark, sf_dir, "documents")))
+    exponent = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"] / r["period"], -r["start"], -r["period"], r["length"]))
+    )
+    best = found.withColumn("best", exponent)
+    start, length, period = -F.col("best.col2"), F.col("best.length"), -F.col("best.col3")
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_perfect_hash_lines",
+    """WITH l AS (
+        SELECT doc_id, p, s[p] AS line, regexp_replace(translate(s[p], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS k
+        FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS p
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))
+    ), c AS (
+        SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> doc_id) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+    FROM l LEFT JOIN c USING (k) GROUP BY doc_id""",
+)
+def op12_perfect_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_common_lines(table(spark, sf_dir, "documents"))
+    n_dropped = F.size("dropped").cast("bigint")
+    return kept.select(
+        "doc_id", "n_lines", n_dropped.alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+@query(
+    "op13_range_maximum_search",
+    """WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+    ), i AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+    ), s AS (
+        SELECT count(*) FILTER (len(w) > 0) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d
+    ), p AS (
+        SELECT doc_id, n, term, count(*) AS tf
+        FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN i USING (term) GROUP BY ALL
+    ), f AS (
+        SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY term
+    ), x AS (
+        SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * big_n) // big_l))))) AS BIGINT) AS score
+        FROM i JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL
+    ), r AS (
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM x WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+)
+def op13_range_maximum_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
