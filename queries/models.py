@@ -13,6 +13,7 @@ from weekloom.operators import evaluation, learning, weights
 from weekloom.operators.clustering import Prototypes, cluster_segments, elbow_curve, kprototypes_fit
 from weekloom.operators.encoders import fit_encoder
 from weekloom.operators.scalers import fit_minmax
+from weekloom.operators.sets import union_vintages
 from weekloom.session import materialize, scratch_path
 from weekloom.sources.models import load_model, save_model
 
@@ -116,17 +117,60 @@ def kprototypes(spark, sf):
     return out(fitted.table(spark).join(sizes, "cluster", "left"))
 
 
-@query("elbow_curve", f"SELECT k, true AS converged, true AS falling FROM (SELECT unnest(range(1, 10)) AS k)")
+# Starts of one to four clusters, and the passes that both sides make: fixed values.
+_ELBOW_STARTS = {
+    1: [((0.3, 0.3, 0.5), ("NATION_1",))],
+    2: _CENTERS,
+    3: [*_CENTERS, ((0.1, 0.6, 0.8), ("NATION_3",))],
+    4: [*_CENTERS, ((0.1, 0.6, 0.8), ("NATION_3",)), ((0.6, 0.5, 0.1), ("NATION_11",))],
+}
+_ELBOW_PASSES = 8
+
+
+def _elbow_sql() -> str:
+    """CTEs c0, c1, ...: all prototypes, by number of clusters, after each pass over the rows of `scaled`."""
+    values = ", ".join(
+        f"({k}, {i}, {', '.join(f'CAST({x} AS DOUBLE)' for x in numbers)}, '{label}')"
+        for k, centers in _ELBOW_STARTS.items() for i, (numbers, (label,)) in enumerate(centers))
+    names = ", ".join(f"c_{c}" for c in _MEASURES)
+    near = " + ".join([*[f"({c} - c_{c}) * ({c} - c_{c})" for c in _MEASURES], f"CASE WHEN fsa = label THEN 0.0 ELSE {_GAMMA} END"])
+    parts = ["numbered AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM scaled)",
+             f"c0 AS MATERIALIZED (SELECT * FROM (VALUES {values}) t(k, cluster, {names}, label))"]
+    for i in range(1, _ELBOW_PASSES + 2):
+        parts.append(f"""n{i} AS MATERIALIZED (SELECT k, id, min({near}) AS distance, arg_min(cluster, {{'d': {near}, 'c': cluster}}) AS cluster
+  FROM numbered, c{i - 1} GROUP BY k, id)""")
+        parts.append(f"""m{i} AS (SELECT k, n.cluster, {', '.join(f'round(avg({c}), 9) AS m_{c}' for c in _MEASURES)}
+  FROM n{i} n JOIN numbered USING (id) GROUP BY 1, 2)""")
+        parts.append(f"""l{i} AS (SELECT k, cluster, fsa AS often FROM (SELECT k, n.cluster, fsa,
+  row_number() OVER (PARTITION BY k, n.cluster ORDER BY count(*) DESC, fsa) AS place FROM n{i} n JOIN numbered USING (id) GROUP BY 1, 2, 3) WHERE place = 1)""")
+        moved = ", ".join(f"coalesce(m_{c}, c_{c}) AS c_{c}" for c in _MEASURES)
+        parts.append(f"c{i} AS MATERIALIZED (SELECT k, cluster, {moved}, coalesce(often, label) AS label FROM c{i - 1} LEFT JOIN m{i} USING (k, cluster) LEFT JOIN l{i} USING (k, cluster))")
+    return ",\n".join(parts)
+
+
+@query("elbow_curve", f"""SELECT k, {r('sum(distance)', 'cost')}, k NOT IN (
+    SELECT k FROM (SELECT * FROM c{_ELBOW_PASSES} EXCEPT SELECT * FROM c{_ELBOW_PASSES - 1})) AS converged
+  FROM n{_ELBOW_PASSES + 1} GROUP BY k""", _SCALED + ",\n" + _elbow_sql())
 def elbow(spark, sf):
-    """One to nine clusters: whether each fit converged, and whether its cost is below that of a cluster less.
+    """Cost of one to four clusters after eight passes from given starts, and whether another would change them."""
+    curve = elbow_curve(_scaled_weeks(spark, sf), _MEASURES, ["fsa"], list(_ELBOW_STARTS), gamma=_GAMMA,
+                        start=_ELBOW_STARTS, max_passes=_ELBOW_PASSES)
+    return out(curve)
+
+
+@query("elbow_curve_own_starts")
+def elbow_of_own_starts(spark, sf):
+    """One to nine clusters from the starts that the fit finds by itself: their costs. SQL cannot follow the
+    starts; tests compare the costs with the rows."""
+    return out(elbow_curve(_scaled_weeks(spark, sf), _MEASURES, ["fsa"]))
 
-    The costs themselves depend on the starts, which SQL cannot follow; tests compare them with the rows.
-    """
-    from pyspark.sql import Window
 
-    curve = elbow_curve(_scaled_weeks(spark, sf), _MEASURES, ["fsa"], starts=1)
-    before = F.lag("cost").over(Window.orderBy("k"))  # nine rows
-    return curve.select(F.col("k").cast("bigint").alias("k"), "converged", F.coalesce(F.col("cost") < before, F.lit(True)).alias("falling"))
+@query("kprototypes_seeding")
+def kprototypes_seeding(spark, sf):
+    """Prototypes of four clusters by each way of finding the starts. Tests compare their costs."""
+    scaled = materialize(_scaled_weeks(spark, sf), "scaled")
+    fitted = {init: kprototypes_fit(scaled, _MEASURES, ["fsa"], 4, _GAMMA, init=init) for init in ("far", "huang", "parallel")}
+    return out(union_vintages([p.table(spark).withColumn("init", F.lit(init)) for init, p in fitted.items()]))
 
 
 # Two kinds of areas to start from, by their scaled population: fixed values.
@@ -137,13 +181,13 @@ scaled AS (SELECT fsa, yr, population AS raw, (population - min(population) OVER
   FROM yearly)"""
 
 
-@query("cluster_segments", f"""SELECT segment, count(*) AS total_count, min(fsa) FILTER (place = 1) AS fsa,
+@query("cluster_segments_yearly", f"""SELECT segment, count(*) AS total_count, min(fsa) FILTER (place = 1) AS fsa,
   {r('avg(raw)', 'population_mean', 4)}, {r('min(raw)', 'population_min', 4)}, {r('max(raw)', 'population_max', 4)}
   FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY n DESC, fsa) AS place FROM (
     SELECT *, count(*) OVER (PARTITION BY segment, fsa) AS n FROM (
       SELECT fsa, raw, CASE WHEN min(cluster) OVER (PARTITION BY fsa) = 0 THEN 'First' ELSE 'Second' END AS segment FROM placed)))
   GROUP BY 1""", _AREA_YEARS + ",\n" + _fit_sql("scaled", _AREA_STARTS, measures=["population"]) + ",\n" + _fitted_rows(["population"]))
-def segments(spark, sf):
+def yearly_segments(spark, sf):
     """Areas by what their years look like: every area belongs to one segment, and there are two."""
     yearly = materialize(
         v.pos(spark, sf).groupBy("fsa", F.year("week_end").alias("yr")).agg(
@@ -158,12 +202,12 @@ _RAW_SCALED = v.POS_WEEK + ",\nscaled AS (SELECT province, fsa, week_end, " + ",
 _PROFILES = ", ".join(r(f"{f}(raw_{c})", f"{c}_{name}", 4) for c in _MEASURES for f, name in (("avg", "mean"), ("min", "min"), ("max", "max")))
 
 
-@query("cluster_segments_weekly", f"""SELECT segment, count(*) AS total_count, min(fsa) FILTER (place = 1) AS fsa, {_PROFILES}
+@query("cluster_segments", f"""SELECT segment, count(*) AS total_count, min(fsa) FILTER (place = 1) AS fsa, {_PROFILES}
   FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY n DESC, fsa) AS place FROM (
     SELECT *, count(*) OVER (PARTITION BY segment, fsa) AS n FROM (
       SELECT *, CASE WHEN min(cluster) OVER (PARTITION BY fsa) = 0 THEN 'First' ELSE 'Second' END AS segment FROM placed)))
   GROUP BY 1""", _RAW_SCALED + ",\n" + _fit_sql("scaled", _CENTERS) + ",\n" + _fitted_rows(_MEASURES))
-def weekly_segments(spark, sf):
+def segments(spark, sf):
     """Areas by all their weeks and measures. An area with weeks in both clusters belongs to the first."""
     weekly = materialize(v.pos_week(spark, sf).select("province", "fsa", "week_end", *_MEASURES), "weeks")
     found = cluster_segments(weekly, "fsa", _MEASURES, k=2, start=_CENTERS, gamma=_GAMMA)

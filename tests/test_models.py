@@ -52,6 +52,80 @@ def test_elbow_cost_falls(blobs):
     assert costs[1] < costs[0]
 
 
+def slow_pass(rows, centers, gamma):
+    """Next prototypes and the cost of the present ones, row by row."""
+    members = [[] for _ in centers]
+    cost = 0.0
+    for x, y, k, g in rows:
+        far = [(x - n[0]) ** 2 + (y - n[1]) ** 2 + gamma * (k != c[0]) + gamma * (g != c[1]) for n, c in centers]
+        members[far.index(min(far))].append((x, y, k, g))
+        cost += min(far)
+    moved = []
+    for old, found in zip(centers, members):
+        if not found:
+            moved.append(old)
+            continue
+        means = tuple(round(sum(m[i] for m in found) / len(found), 9) for i in (0, 1))
+        labels = tuple(max(sorted({m[i] for m in found}), key=[m[i] for m in found].count) for i in (2, 3))
+        moved.append((means, labels))
+    return moved, cost
+
+
+def test_a_pass_against_brute_force(frame, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(float(rng.normal()), float(rng.normal()), f"k{rng.integers(0, 6)}", f"g{rng.integers(0, 3)}") for _ in range(400)]
+    data = frame(rows, "x double, y double, k string, g string").repartition(5)
+    runs = []
+    for k in (1, 2, 5):
+        centers = [((float(rng.normal()), float(rng.normal())), (f"k{i}", f"g{i % 4}")) for i in range(k)]
+        runs.append(clustering.Prototypes(NUMBERS, ["k", "g"], 0.4, centers))
+    runs.append(clustering.Prototypes(NUMBERS, ["k", "g"], 0.4, [((50.0, 50.0), ("k1", "g1")), ((0.0, 0.0), ("k1", "none"))]))
+    for (centers, cost), run in zip(clustering._pass(data, runs), runs):
+        expected, expected_cost = slow_pass(rows, run.centers, 0.4)
+        assert cost == pytest.approx(expected_cost, rel=1e-12)
+        assert [c[1] for c in centers] == [c[1] for c in expected]
+        assert np.allclose([c[0] for c in centers], [c[0] for c in expected], atol=2e-9)
+
+
+def test_a_pass_does_not_multiply_rows(blobs):
+    plan = blobs.select("x", "y", "k").mapInArrow(
+        clustering._adder([clustering.Prototypes(NUMBERS, ["k"], 1.0, [((0.0, 0.0), ("a",))])]), clustering._ADDED
+    )._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+@pytest.mark.parametrize("init", ["huang", "parallel"])
+def test_seeding(blobs, frame, init):
+    """Seeds are rows, the same however rows are partitioned, and lead to no dearer prototypes."""
+    rows = {(r.x, r.y, r.k) for r in blobs.collect()}
+    bare = clustering.Prototypes(NUMBERS, ["k"], 0.5, [])
+    seeding = {"huang": clustering._huang_seeds, "parallel": clustering._parallel_seeds}[init]
+    for k in (1, 2, 5):
+        seeds = seeding(blobs.repartition(1), bare, k, 3)
+        assert seeds == seeding(blobs.repartition(50), bare, k, 3)
+        assert len(seeds) == k == len({*map(repr, seeds)}) and {(*n, *c) for n, c in seeds} <= rows
+    for k in (2, 3, 4):
+        cost = clustering.kprototypes_fit(blobs, NUMBERS, ["k"], k, init=init).cost
+        assert cost <= clustering.kprototypes_fit(blobs, NUMBERS, ["k"], k).cost * (1 + 1e-9)
+    few = frame([(1.0, 1.0, "a")] * 5 + [(2.0, 2.0, "b")], "x double, y double, k string")
+    assert len(clustering.kprototypes_fit(few, NUMBERS, ["k"], 4, init=init).centers) == 4
+
+
+def test_huang_draws_labels_by_frequency(frame):
+    """Labels of 70 and 30 % among rows that differ in nothing else."""
+    df = frame([(0.0, 0.0, "often")] * 70 + [(0.0, 0.0, "seldom")] * 30, "x double, y double, k string")
+    bare = clustering.Prototypes(NUMBERS, ["k"], 1.0, [])
+    drawn = [clustering._huang_seeds(df, bare, 1, seed)[0][1][0] for seed in range(30)]
+    assert 16 <= drawn.count("often") <= 28
+
+
+def test_elbow_of_given_starts(blobs):
+    start = {2: [((0.0, 0.0), ("a",)), ((3.0, 3.0), ("b",))]}
+    rows = clustering.elbow_curve(blobs, NUMBERS, ["k"], [1, 2], start=start, gamma=0.5).orderBy("k").collect()
+    fitted = [clustering.kprototypes_fit(blobs, NUMBERS, ["k"], k, 0.5) for k in (1, 2)]
+    assert [r.cost for r in rows] == pytest.approx([f.cost for f in fitted]) and all(r.converged for r in rows)
+
+
 def test_a_fit_that_was_stopped_reports_the_cost_of_its_prototypes(blobs):
     for options in ({"max_passes": 1}, {"max_passes": 2}, {"tolerance": 0.5}):
         fitted = clustering.kprototypes_fit(blobs, NUMBERS, ["k"], k=4, **options)

@@ -4,8 +4,8 @@ import pytest
 from weekloom.operators import joins, ordered, sets, shares
 
 
-@pytest.mark.parametrize("direct", [10, 4000])
-@pytest.mark.parametrize("kind", ["uniform", "ties", "constant", "two", "skewed"])
+@pytest.mark.parametrize("direct", [1, 16384])
+@pytest.mark.parametrize("kind", ["uniform", "ties", "constant", "two", "skewed", "close", "wide", "signs"])
 def test_exact_quantiles(frame, kind, direct):
     rng = np.random.default_rng(1)
     x = {
@@ -14,6 +14,9 @@ def test_exact_quantiles(frame, kind, direct):
         "constant": np.full(50, 3.0),
         "two": np.array([1.0, 2.0]),
         "skewed": np.exp(rng.normal(0, 3, 2500)),
+        "close": 1 + rng.integers(0, 3000, 3000) * 2.0**-52,  # neighbouring doubles
+        "wide": np.r_[5e-324, 1e-310, 2.0 ** rng.integers(-1000, 1000, 2000), 1.7e308],
+        "signs": np.r_[-rng.uniform(0, 1, 800), 0.0, -0.0, 0.0, np.exp(rng.normal(0, 40, 900)), -1e300],
     }[kind]
     probabilities = [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]
     df = frame([(float(v), None) for v in x], "x double, empty double")
@@ -22,6 +25,12 @@ def test_exact_quantiles(frame, kind, direct):
     assert got["empty"] == [None] * 7
 
 
+def test_exact_quantiles_of_infinite_values(frame):
+    inf = float("inf")
+    df = frame([(v,) for v in (-inf, -inf, -1.0, 0.0, 2.0, inf, inf, float("nan"), None)], "x double")
+    assert ordered.exact_quantiles(df, ["x"], [0, 1 / 6, 0.5, 4 / 6, 1])["x"] == [-inf, -inf, 0.0, 2.0, inf]
+
+
 @pytest.mark.parametrize("runs", [None, 7])
 def test_running_total_and_numbers(frame, runs):
     rng = np.random.default_rng(2)

@@ -115,5 +115,5 @@ def test_segments_flow_clusters_all_measures(spark):
 
 def test_weekly_segments_hold_every_week(spark):
     weeks = queries()["kprototypes_assign"](spark, SF).count()
-    rows = queries()["cluster_segments_weekly"](spark, SF).collect()
+    rows = queries()["cluster_segments"](spark, SF).collect()
     assert sum(r["total_count"] for r in rows) == weeks

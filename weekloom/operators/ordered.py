@@ -8,8 +8,10 @@ the runs, and carry the little that crosses a border in a table with one row per
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,30 +75,70 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str, runs: int
     return running_total(df, order, F.lit(1).cast("bigint"), name, runs)
 
 
-@dataclass
-class _Bracket:
-    """An open interval (low, high) around the value of a rank; its ends are counted apart.
-
-    `inside` is the number of rows in it once it has been counted and is small enough to be exact about.
-    """
+@dataclass(frozen=True)
+class _Cell:
+    """Neighbouring values of a column: the least and the greatest, how many there are, and how many are less."""
 
     column: str
-    rank: int
-    least: float
-    greatest: float
     low: float
     high: float
-    inside: int | None = None
-    value: float | None = None
-
-    @property
-    def interval(self) -> tuple:
-        return self.column, self.low, self.high, self.inside
-
-
-#: Steps of the grid that narrows a bracket, and the accuracy of its sketch. A sketch of this accuracy keeps
-#: up to EXACT values one by one.
-GRID, ACCURACY, EXACT = 1000, 10_000, 4000
+    count: int
+    before: int
+
+    def value(self, rank: int) -> float | None:
+        """The value at a rank of the column, if the ends of the cell tell."""
+        at = rank - self.before
+        if self.low == self.high or at == 0:
+            return self.low
+        return self.high if at == self.count - 1 else None
+
+
+#: Cells to an octave in the first pass, cells of a cell in the others, and rows of a cell that are
+#: counted value by value.
+_OCTAVE, _CELLS, EXACT = 32, 1 << 14, 1 << 14
+_MOST = 1100 * _OCTAVE  # no finite double has a logarithm, to base 2, of 1100 or more, or of -1100 or less
+
+
+def _octave_cell(x: Column) -> Column:
+    """A number that does not fall where `x` rises: sign, exponent and the first bits of the mantissa."""
+    size = F.floor(F.log2(F.abs(x)) * _OCTAVE).cast("int") + 2 * _MOST
+    infinite = F.abs(x) == float("inf")
+    steps = F.when(infinite, F.lit(4 * _MOST)).otherwise(size)
+    return F.when(x == 0, 0).when(x > 0, steps).otherwise(-steps)
+
+
+def _cells(values: DataFrame, column: str, inside: Sequence[_Cell] | None, exact: int) -> DataFrame:
+    """Rows of `column` counted by cell: all of them by octaves, or those in the cells `inside`
+    (in their order) by parts of these."""
+    x = F.col("x")
+    rows = values.select(as_column(column).alias("x")).filter("x IS NOT NULL")
+    if inside is None:
+        keyed = rows.select(F.lit(0).alias("parent"), _octave_cell(x).cast("double").alias("cell"), "x")
+    else:
+        parent = part = F.lit(None)
+        for i, c in enumerate(inside):
+            here = (x >= c.low) & (x <= c.high)
+            # The greater of two values never gets the lesser part, however the division rounds.
+            share = x if c.count <= exact else F.floor((x - c.low) / (c.high - c.low) * _CELLS).cast("double")
+            parent, part = F.when(here, F.lit(i)).otherwise(parent), F.when(here, share).otherwise(part)
+        keyed = rows.select(parent.alias("parent"), part.alias("cell"), "x").filter("parent IS NOT NULL")
+    counted = keyed.groupBy("parent", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return counted.select(F.lit(column).alias("column"), "parent", "low", "high", "n")
+
+
+def _descend(values: DataFrame, inside: dict[str, list[_Cell] | None], exact: int) -> dict[str, list[_Cell]]:
+    """One pass over the columns: the cells, in order, that the rows of all columns, or of these cells, are in."""
+    counted = reduce(DataFrame.unionAll, [_cells(values, c, cells, exact) for c, cells in inside.items()])
+    rows: dict[tuple[str, int], list] = {}
+    for r in counted.collect():  # no more rows than cells, whatever the data
+        rows.setdefault((r["column"], r["parent"]), []).append((r["low"], r["high"], r["n"]))
+    out: dict[str, list[_Cell]] = {c: [] for c in inside}
+    for (column, parent), found in sorted(rows.items()):
+        before = 0 if inside[column] is None else inside[column][parent].before
+        for low, high, n in sorted(found):
+            out[column].append(_Cell(column, low, high, n, before))
+            before += n
+    return out
 
 
 def exact_quantiles(
@@ -104,93 +146,42 @@ def exact_quantiles(
 ) -> dict[str, list[float]]:
     """Exact quantiles with linear interpolation, for every column in the same few passes.
 
-    `percentile` keeps every distinct value of a column in one task. Here each pass counts the rows
-    around a bracket and narrows it with an approximate grid of the rows inside, until few enough are left
-    for the sketch to hold them all. No pass holds more than a sketch per bracket, whatever the data; the
-    driver sees counts, grids and bracket ends only.
+    `percentile` keeps every distinct value of a column in one task. This is a radix selection instead: rows are
+    counted by cells that follow the order of the values, by exponent and first bits of the mantissa, then the
+    cells that hold wanted ranks are cut into 16,384 parts each, until a cell has one value or few rows. A double
+    has 64 bits, so there are five passes at most, whatever the values; later ones count the few rows of the
+    cells that are left. A pass is a code-generated hash aggregate without a sketch or a list, and the driver sees
+    a row per cell. Null and NaN do not count.
     """
     values = df.select(*[as_column(c).cast("double").alias(c) for c in columns])
     # Only these columns are read again, so only they are written.
     values = materialize(
         values.select(*[F.when(~F.isnan(as_column(c)), as_column(c)).alias(c) for c in columns]), "quantiles"
     )
-    first = values.agg(
-        *[
-            expression
-            for i, c in enumerate(columns)
-            for expression in (
-                F.count(as_column(c)).alias(f"n{i}"),
-                F.min(as_column(c)).alias(f"a{i}"),
-                F.max(as_column(c)).alias(f"b{i}"),
-            )
-        ]
-    ).first()
-
-    brackets: dict[tuple[str, int], _Bracket] = {}
-    positions: dict[tuple[str, float], float] = {}
-    for i, c in enumerate(columns):
-        for p in probabilities:
-            if first[f"n{i}"] == 0:
-                continue
-            position = p * (first[f"n{i}"] - 1)
-            positions[c, p] = position
-            for rank in (math.floor(position), math.ceil(position)):
-                ends = (first[f"a{i}"], first[f"b{i}"])
-                brackets[c, rank] = _Bracket(c, rank, *ends, *ends)
-
-    while open_ := [b for b in brackets.values() if b.value is None]:
-        _narrow(values, open_, exact)
+    cells = _descend(values, {c: None for c in columns}, exact)
+    size = {c: cells[c][-1].before + cells[c][-1].count for c in columns if cells[c]}
+    positions = {(c, p): p * (n - 1) for c, n in size.items() for p in probabilities}
+    open_ = {(c, rank) for (c, _), x in positions.items() for rank in (math.floor(x), math.ceil(x))}
+    known: dict[tuple[str, int], float] = {}
+    while True:
+        inside: dict[str, list[_Cell]] = {}
+        for column, rank in sorted(open_):
+            cell = cells[column][bisect_right(cells[column], rank, key=lambda c: c.before) - 1]
+            if (value := cell.value(rank)) is not None:
+                known[column, rank] = value
+            elif cell not in inside.setdefault(column, []):
+                inside[column].append(cell)
+        inside = {c: found for c, found in inside.items() if found}
+        open_ -= known.keys()
+        if not open_:
+            break
+        cells |= _descend(values, inside, exact)
 
     def at(c: str, p: float) -> float | None:
         if (c, p) not in positions:
             return None
         position = positions[c, p]
-        low = brackets[c, math.floor(position)].value
-        high = brackets[c, math.ceil(position)].value
-        return low + (high - low) * (position - math.floor(position))
+        low, high = known[c, math.floor(position)], known[c, math.ceil(position)]
+        return low if low == high else low + (high - low) * (position - math.floor(position))
 
     return {c: [at(c, p) for p in probabilities] for c in columns}
-
-
-def _narrow(values: DataFrame, brackets: list[_Bracket], exact: int) -> None:
-    """One pass over the data: settle or tighten every open bracket."""
-    grid = [g / GRID for g in range(GRID + 1)]
-    aggregates = []
-    shared = {b.interval: i for i, b in enumerate(brackets)}
-    for (column, low, high, known), i in shared.items():
-        x = as_column(column)
-        inside = F.when((x > low) & (x < high), x)
-        # With few rows the sketch is asked for every one of them, by the middle of its rank.
-        points = [(k + 0.5) / known for k in range(known)] if known else grid
-        aggregates += [
-            F.count_if(x < low).alias(f"below{i}"),
-            F.count_if(x == low).alias(f"low{i}"),
-            F.count(inside).alias(f"inside{i}"),
-            F.count_if(x == high).alias(f"high{i}"),
-            F.percentile_approx(inside, points, ACCURACY).alias(f"look{i}"),
-        ]
-    row = values.agg(*aggregates).first()
-
-    for b in brackets:
-        below, at_low, inside, at_high, look = (
-            row[f"{k}{shared[b.interval]}"] for k in ("below", "low", "inside", "high", "look")
-        )
-        rank = b.rank - below - at_low
-        if b.rank < below:  # the grid was off: look on the other side of the border
-            b.low, b.high, b.inside = b.least, b.low, None
-        elif rank < 0:
-            b.value = b.low
-        elif rank < inside and b.inside:
-            b.value = look[rank]
-        elif rank < inside and inside <= exact:
-            b.inside = inside
-        elif rank < inside:
-            # Two grid steps of slack on either side cover the error of the approximate grid.
-            left = math.floor(rank / inside * GRID) - 2
-            right = math.ceil((rank + 1) / inside * GRID) + 2
-            b.low = look[left] if left >= 0 else b.low
-            b.high = look[right] if right <= GRID else b.high
-        elif rank < inside + at_high and b.high > b.low:
-            b.value = b.high
-        else:
-            b.low, b.high, b.inside = b.high, b.greatest, None
