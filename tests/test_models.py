@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from weekloom.operators import aggregates, clustering, evaluation, learning
@@ -217,6 +218,61 @@ def test_validated_fit_refits_with_the_best_count(line):
     assert best.loss == min(fit.losses)
 
 
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_boosting_by_tree_is_what_the_learner_of_spark_does(line, task, tmp_path):
+    if task == "classification":
+        line = line.withColumn("label", (F.col("x") + F.sin("id") > 2).cast("double"))
+    spec = learning.FeatureSpec(codes=["c"], scaled=["x"], weight="w")
+    line = line.withColumn("c", F.col("id") % 3)
+    train, validation = line.filter("id % 4 > 0"), line.filter("id % 4 = 0")
+    fit = learning.fit_with_validation(train, validation, spec, task, max_iter=8, patience=8, maxDepth=3)
+    train_by = learning.train_regressor if task == "regression" else learning.train_classifier
+    whole = train_by(train, spec, "gbt", maxIter=8, maxDepth=3)
+    prepared = PipelineModel(whole.stages[:-1]).transform(validation)
+    more = ["squared"] if task == "regression" else []
+    assert fit.losses == pytest.approx(whole.stages[-1].evaluateEachIteration(prepared, *more), rel=1e-6)
+    save_model(fit.first, str(tmp_path / task))
+    answers = [
+        [r.prediction for r in learning.score_table(m, validation, ["id"]).orderBy("id").collect()]
+        for m in (whole, fit.first, load_model(str(tmp_path / task)))
+    ]
+    assert answers[1] == pytest.approx(answers[0]) and answers[2] == answers[1]
+
+
+def test_growing_stops_with_the_validation_loss(frame):
+    """Validation rows that contradict the training rows: every tree makes them worse."""
+    rows = [(float(i % 10), float(i % 10), i) for i in range(200)]
+    train = frame(rows, "x double, label double, id int")
+    fit = learning.fit_with_validation(
+        train, train.withColumn("label", -F.col("label") + 20), learning.FeatureSpec(scaled=["x"]), max_iter=20,
+        patience=3, maxDepth=2)
+    assert fit.iterations == 1 and len(fit.losses) == 4 == fit.first.stages[-1].getNumTrees
+
+
+def test_trees_split_by_sets_of_codes(frame):
+    """The label depends on whether a code is in a set that no order of the codes shows."""
+    chosen = {c for c in range(64) if (c * 37 + 11) % 64 < 32}
+    rows = [(i, i % 64, 10.0 * (i % 64 in chosen)) for i in range(1280)]
+    df = frame(rows, "id int, c int, label double")
+    spec = learning.FeatureSpec(codes=["c"])
+    model = learning.train_regressor(df, spec, maxIter=1, maxDepth=1)
+    scored = learning.score_table(model, df, ["label"]).collect()
+    assert all(r.prediction == pytest.approx(r.label) for r in scored)
+    new = learning.score_table(model, frame([(0, 999, 0.0)], "id int, c int, label double")).collect()
+    assert len(new) == 1 and 0 <= new[0].prediction <= 10
+
+
+def test_many_codes_are_folded_by_their_mean_label(frame, tmp_path):
+    level = lambda c: float((c * 7919) % 5)
+    df = frame([(i, i % 500, level(i % 500)) for i in range(2000)], "id int, c int, label double")
+    model = learning.train_regressor(df, learning.FeatureSpec(codes=["c"]), max_codes=20, maxIter=1)
+    save_model(model, str(tmp_path / "folded"))
+    unknown = frame([(0, 5000, 0.0), (1, -1, 0.0)], "id int, c int, label double")
+    for fitted in (model, load_model(str(tmp_path / "folded"))):
+        assert all(abs(r.prediction - r.label) < 1e-9 for r in learning.score_table(fitted, df, ["label"]).collect())
+        assert learning.score_table(fitted, unknown, ["id"]).count() == 2
+
+
 def test_classifier_gives_probabilities(line):
     data = line.withColumn("label", (F.col("x") > 2).cast("int")).withColumn("c", F.col("id") % 3)
     model = learning.train_classifier(data, learning.FeatureSpec(codes=["c"], scaled=["x"]), maxIter=20)
