@@ -8,6 +8,31 @@ from weekloom.operators import encoders, scalers, weights
 from weekloom.operators.aggregates import value_counts
 
 
+def test_short_dictionaries_take_no_join(frame):
+    """Columns of few labels are looked up in one projection, one of many by a join, with the same codes."""
+    rows = [(f"a{i % 3}", i % 60, f"label{i}") for i in range(200)] + [(None, None, None)]
+    df = frame(rows, "a string, b int, many string")
+    fitted = encoders.fit_encoder(df, ["a", "b", "many"])
+    short = fitted.transform(df, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in short and "Generate" not in short
+    assert fitted.transform(df)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    codes = {(r.a, r.b, r.many): (r.a_code, r.b_code, r.many_code) for r in fitted.transform(df).collect()}
+    order = sorted(f"label{i}" for i in range(200))
+    assert codes == {(a, b, m): (a and int(a[1]), b, m and order.index(m)) for a, b, m in rows}
+    new = fitted.transform(frame([("z", 99, "z"), (None, None, None)], "a string, b int, many string"), ["a", "b", "many"], reserve=True)
+    assert [tuple(r)[3:] for r in new.collect()] == [(3, 60, 200)] * 2
+
+
+def test_cardinality_expands_no_row(frame):
+    from weekloom.operators.aggregates import cardinality
+
+    df = frame([(i % 7, f"s{i % 11}", None if i % 5 == 0 else i % 3, None) for i in range(300)], "a int, b string, c int, d int")
+    counted = cardinality(df, ["a", "b", "c", "d"])
+    assert "Expand" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["column"]: r.distinct for r in counted.collect()} == {"a": 7, "b": 11, "c": 4, "d": 1}
+    assert {r["column"]: r.distinct for r in cardinality(df.limit(0), ["a", "d"]).collect()} == {"a": 0, "d": 0}
+
+
 def test_encode_numbers_in_numeric_order(frame):
     df = frame([(9, 2.5, "b"), (10, 10.0, "a"), (11, 2.5, None)], "week int, x double, s string")
     rows = encoders.fit_encoder(df, ["week", "x", "s"]).transform(df).orderBy("week").collect()

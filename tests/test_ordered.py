@@ -48,6 +48,50 @@ def test_cumulative_share_cut(frame):
     assert sorted(r.k for r in kept.collect()) == ["b", "c", "d"]
 
 
+def test_sums_do_not_depend_on_partitions(frame):
+    """Values whose plain sums differ from order to order; exact to the last bit here."""
+    import math
+
+    from weekloom.operators.sums import steady_sum
+
+    rng = np.random.default_rng(4)
+    values = [*(rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-12, 9, 3000)).tolist(), 0.0, -0.0]
+    df = frame([(i, i % 3, float(v)) for i, v in enumerate(values)], "id int, k int, v double")
+    seen = set()
+    for n in (1, 7, 211):
+        dealt = df.repartition(n)
+        rows = dealt.groupBy("k").agg(steady_sum(dealt, dealt["v"]).alias("s")).orderBy("k").collect()
+        total = ordered.running_total(dealt, ["id"], "v", "total", n).orderBy("id").collect()
+        seen.add((*[r.s for r in rows], *[r.total for r in total]))
+    assert len(seen) == 1
+    got = seen.pop()
+    assert got[:3] == pytest.approx([math.fsum(values[k::3]) for k in range(3)], rel=1e-15)
+    assert got[-1] == pytest.approx(math.fsum(values), rel=1e-15)
+    assert frame([], "v double").agg(steady_sum(frame([], "v double"), ordered.as_column("v"))).first()[0] is None
+
+
+def test_a_share_that_meets_the_threshold_is_kept_wherever_runs_end(spark, frame):
+    """Two thousand equal combinations: the hundredth makes up 5 % exactly."""
+    rows = [(f"k{i:04}", 0.1 * j, 0.3) for i in range(2000) for j in range(3)]
+    df = frame(rows, "k string, p double, q double")
+    before, kept = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    try:
+        for n in (1, 7, 61):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found = shares.cumulative_share_cut(df.repartition(n), ["k"], "p", "q", 0.05).collect()
+            kept.add(tuple(sorted((r.k, r.sales_share, r.cum_share) for r in found)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(kept) == 1 and len(kept.pop()) in (1900, 1901)
+
+
+def test_runs_are_written_once(spark, frame, monkeypatch):
+    written = []
+    monkeypatch.setattr(ordered, "materialize", lambda df, label: written.append(label) or df)
+    ordered.cut_into_runs(frame([(1, 2)], "k int, d int"), ["k", "d"])
+    assert written == ["runs"]
+
+
 @pytest.mark.parametrize("hot", ["k1", "unknown", None])
 def test_lookups_split_a_hot_key(spark, frame, hot):
     """A key that the table knows, one it doesn't and null: none leaves most rows to one task."""

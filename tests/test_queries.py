@@ -117,3 +117,19 @@ def test_weekly_segments_hold_every_week(spark):
     weeks = queries()["kprototypes_assign"](spark, SF).count()
     rows = queries()["cluster_segments"](spark, SF).collect()
     assert sum(r["total_count"] for r in rows) == weeks
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "weekloom.llm", "corpus_pipeline"])
+def test_the_entry_stands_without_the_optional_part(missing):
+    """The other queries are there if a package of the text operators, their folder or the pipeline is absent."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""import sys
+sys.modules[{missing!r}] = None  # importing it raises ImportError
+import __spark_entry__ as e
+print(len(e.queries()), "pipeline" in e.queries(), any(q.startswith("op") and q[2].isdigit() for q in e.queries()))"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True)
+    n, pipeline, texts = run.stdout.split()
+    assert int(n) >= 109 and (pipeline, texts) == ("False", "False")

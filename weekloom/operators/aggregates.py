@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions import as_column
+from weekloom.session import materialize
 
 
 def group_reduce(
@@ -85,15 +87,27 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def cardinality(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Distinct values per column, null counted as a value."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    row = df.agg(
-        *[
-            (count(as_column(c)) + F.coalesce(F.max(as_column(c).isNull().cast("int")), F.lit(0))).alias(f"{i}_distinct")
-            for i, c in enumerate(columns)
-        ]
-    )
-    return _unpivot(row, columns, "column", "distinct")
+    """Distinct values per column, null counted as a value.
+
+    The exact count makes each column's values distinct by themselves, in every task before the shuffle and after it,
+    so no row is expanded; the columns are written once, and each is read alone. `approximate` takes one pass.
+    """
+    if approximate:
+        row = df.agg(
+            *[
+                (F.approx_count_distinct(as_column(c)) + F.coalesce(F.max(as_column(c).isNull().cast("int")), F.lit(0))).alias(
+                    f"{i}_distinct"
+                )
+                for i, c in enumerate(columns)
+            ]
+        )
+        return _unpivot(row, columns, "column", "distinct")
+    written = materialize(df.select(*[as_column(c).alias(f"c{i}") for i, c in enumerate(columns)]), "columns")
+    values = [written.select(F.lit(c).alias("column"), f"c{i}").distinct().select("column") for i, c in enumerate(columns)]
+    counted = reduce(DataFrame.unionAll, values).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    # A column of a table without rows has none.
+    return names.join(counted, "column", "left").select("column", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def segment_profile(df: DataFrame, segment: str, key: str, measures: Sequence[str]) -> DataFrame:

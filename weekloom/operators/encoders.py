@@ -17,6 +17,8 @@ from weekloom.session import materialize
 
 _WHOLE = (T.IntegralType,)
 _FRACTION = (T.FractionalType,)
+#: Labels of a column that a row may be compared with one by one.
+PACKED = 64
 
 
 def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -65,16 +67,34 @@ class Encoder:
         self, df: DataFrame, columns: Sequence[str] | None = None, suffix: str = "_code", reserve: bool = False
     ) -> DataFrame:
         """Add `<column><suffix>`. A label the dictionary does not know gives null, or with
-        `reserve` the code after the last."""
-        for c in columns or list(self.entries):
+        `reserve` the code after the last.
+
+        All columns of up to `PACKED` labels are looked up in one projection, in a map each that is part of it; any
+        other column takes a join.
+        """
+        columns, before = list(columns or self.entries), df.columns
+        short = [c for c in columns if self.entries.get(c, 0) <= PACKED]
+        words: dict[str, list] = {c: [] for c in short}
+        for r in self.table.filter(F.col("feature").isin(short)).collect() if short else []:  # PACKED rows per column
+            words[r["feature"]] += [F.lit(r["label"]), F.lit(r["code"])]
+        codes = {}
+        for c in short:
+            code = F.try_element_at(F.create_map(*words[c]), as_column(c).cast("string")) if words[c] else F.lit(None)
+            code = code.cast("int")
+            codes[c + suffix] = F.coalesce(code, F.lit(self.entries.get(c, 0))) if reserve else code
+        df = df.withColumns(codes)
+        for c in columns:
+            if c in words:
+                continue
             key = f"_key_{c}"
-            words = self.table.filter(F.col("feature") == c).select(
+            known = self.table.filter(F.col("feature") == c).select(
                 F.col("label").alias(key), F.col("code").alias(c + suffix)
             )
-            df = join_left(df.withColumn(key, as_column(c).cast("string")), words, [key]).drop(key)
+            df = join_left(df.withColumn(key, as_column(c).cast("string")), known, [key]).drop(key)
             if reserve:
                 df = df.withColumn(c + suffix, F.coalesce(as_column(c + suffix), F.lit(self.entries.get(c, 0))))
-        return df
+        added = [c + suffix for c in columns]
+        return df.select(*[as_column(c) for c in before if c not in added], *[as_column(c) for c in added])
 
 
 def fit_encoder(df: DataFrame, columns: Sequence[str]) -> Encoder:

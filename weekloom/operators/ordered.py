@@ -15,32 +15,25 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekloom.functions import as_column
+from weekloom.operators.sums import steady_parts
 from weekloom.session import materialize
 
 RUN = "_run"
 
 
-#: Rows of a run, about. With little data there are as many runs as shuffle partitions at most.
-RUN_ROWS = 4_000_000
-
-
 def cut_into_runs(df: DataFrame, order: Sequence[str | Column], runs: int | None = None) -> DataFrame:
     """Add `_run`: consecutive numbers along `order`, each run holding a similar share of rows.
 
     Range partitioning samples the whole `order` tuple, so a single hot series is cut as well as
-    long as `order` ends in something that tells its rows apart. The rows are written first, so that
-    they are sampled and counted without being made again; there are as many runs as their number asks
-    for, less those that adaptive execution merges because they are small, or exactly `runs`. The result
-    is a written table: the borders come from a sample, and every later reader has to see the same ones.
+    long as `order` ends in something that tells its rows apart. There are `runs` of them, or as many as the session
+    has shuffle partitions, less those that adaptive execution merges because they are small. The result is a
+    written table, since the borders come from a sample and every later reader has to see the same ones; it is the
+    only one that is written. Sampling goes over the rows once more, from the last shuffle below them on.
     """
     columns = [as_column(c) for c in order]
-    if runs is None:
-        df = materialize(df, "unsorted")
-        least = -(-df.count() // RUN_ROWS)
-        shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        runs = least if least > shuffled else None
     ranged = df.repartitionByRange(runs, *columns) if runs else df.repartitionByRange(*columns)
     return materialize(ranged.withColumn(RUN, F.spark_partition_id()), "runs")
 
@@ -48,25 +41,33 @@ def cut_into_runs(df: DataFrame, order: Sequence[str | Column], runs: int | None
 def running_total(
     df: DataFrame, order: Sequence[str | Column], value: str | Column, name: str, runs: int | None = None
 ) -> DataFrame:
-    """Global running sum of `value` along `order`, without bringing all rows to one task."""
-    cut = cut_into_runs(df.withColumn("_value", as_column(value) if isinstance(value, str) else value), order, runs)
+    """Global running sum of `value` along `order`, without bringing all rows to one task. The sum of floating
+    point numbers is the same wherever runs end: it adds up parts that a double holds exactly."""
+    valued = df.withColumn("_value", as_column(value) if isinstance(value, str) else value)
+    if isinstance(valued.schema["_value"].dataType, (T.FloatType, T.DoubleType)):
+        cut = cut_into_runs(valued, order, runs)  # written, so that looking for the size makes no row again
+        parts = steady_parts(cut, F.col("_value").cast("double"))
+    else:
+        cut = cut_into_runs(valued, order, runs)
+        parts = [F.col("_value")]
+    names = [f"_part{i}" for i in range(len(parts))]
+    cut = cut.withColumns(dict(zip(names, parts)))
     # One row per run, so never more rows than range partitions.
+    earlier = Window.orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
     before = (
         cut.groupBy(RUN)
-        .agg(F.sum("_value").alias("_sum"))
-        .select(
-            RUN,
-            F.coalesce(
-                F.sum("_sum").over(Window.orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ).alias("_before"),
-        )
+        .agg(*[F.sum(p).alias(p) for p in names])
+        .select(RUN, *[F.coalesce(F.sum(p).over(earlier), F.lit(0)).alias(f"_before{p}") for p in names])
     )
-    inside = Window.partitionBy(RUN).orderBy(*[as_column(c) for c in order])
+    inside = Window.partitionBy(RUN).orderBy(*[as_column(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.col(f"_before{p}") + F.sum(p).over(inside) for p in names]
+    total = sums[-1]
+    for part in reversed(sums[:-1]):
+        total = part + total
     return (
         cut.join(F.broadcast(before), RUN)
-        .withColumn(name, F.col("_before") + F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop(RUN, "_value", "_before")
+        .withColumn(name, total)
+        .drop(RUN, "_value", *names, *[f"_before{p}" for p in names])
     )
 
 
