@@ -525,6 +525,61 @@ def test_head_without_end_tag(trees):
         assert read.block_text == ["Some text."], inside
 
 
+@pytest.mark.parametrize(
+    ("markup", "shown"),
+    [
+        ('a <svg class="i"/> b', ["a b"]),
+        ("a <svg/> b", ["a b"]),
+        ("a <math/> b <math><mi>x</mi></math> c", ["a b c"]),
+        ("a <svg><svg><text>in</text></svg>t</svg> b", ["a b"]),
+        ("a <svg><text>in</text> b", ["a in b"]),
+        ("a <video src=x> b", ["a b"]),
+        ("a <iframe src=x><p>b</p>", ["a", "b"]),
+        ("a <template><template>x</template>y</template> b", ["a b"]),
+        ("a <object>x<object>y</object>z</object> b", ["a b"]),
+        ("a <script>x = '<p>no</p>'", ["a"]),
+        ("a <style>p {}</style> b <style>q", ["a b"]),
+        ("a <textarea>typed</textarea> b", ["a b"]),
+        ("a <!-- <p>no</p> --> b <!-- <p>no</p>", ["a b"]),
+        ("a <p>b <c", ["a", "b <c"]),
+        ('a <svg data-x="1>2"><text>no</text></svg> b', ["a b"]),
+    ],
+)
+def test_elements_that_are_not_shown(markup, shown):
+    """Self-closing, nested and never closed ones take no text along that is not theirs."""
+    read = html.Pages(marked=False)
+    read.add(f"{markup}")
+    assert read.block_text == shown
+
+
+@pytest.mark.parametrize("part", ["<a ", "<svg>", "<svg", "<video>", "<!-- ", "<!", "</script ", "<p", '<a b="', "<a b='<"])
+def test_hostile_markup_takes_linear_time(part):
+    import time
+
+    taken = []
+    for n in (20_000, 80_000):
+        page = "<p>text</p>" + part * n
+        start = time.process_time()
+        html.Pages(marked=False).add(page)
+        taken.append(time.process_time() - start)
+    assert taken[1] < 12 * taken[0] + 0.5
+
+
+def test_training_texts_are_whole_and_bounded(spark, frame):
+    long = " ".join(f"word{i}" for i in range(400))
+    texts = [r for b in html._block_texts([pa.record_batch([pa.array([f"<p>{long}</p><p>short</p>"])], ["html"])]) for r in b.column(0).to_pylist()]
+    assert texts == ["short", long]
+    seen = []
+    pages = frame([(f"<p>text number {i}</p>",) for i in range(60)], "html string")
+    fit, html.fit = html.fit, lambda texts: seen.append(texts)
+    try:
+        html.train(pages, blocks=25)
+        html.train(pages)
+    finally:
+        html.fit = fit
+    assert [len(x) for x in seen] == [25, 60] and set(seen[0]) < set(seen[1])
+
+
 def test_foreign_marks_are_ignored(frame, trees):
     marks = ['"12.5"', '"top"', "''", "x", '"1"']
     rows = [(i, "u", PAGE.replace("<article>", f"<article data-y={m}>").replace("<li>", f"<li DATA-Y={m}>")) for i, m in enumerate(marks)]

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from weekloom.llm.frames import only
 from weekloom.llm.words import pieces
 
-#: Pages whose texts the training pages are made of, about, and pages made.
-SAMPLE, MADE = 200, 900
+#: Pages whose texts the training pages are made of, about, block texts taken from them at most, and pages made.
+SAMPLE, SAMPLE_BLOCKS, MADE = 200, 4000, 900
 
 # Elements of HTML by how they are treated.
 BLOCKS = (
@@ -61,18 +61,52 @@ AROUND = [
 ]
 ABOUT = set("article content post story entry body text main prose copy".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)>",
-    re.S,
-)
+_ATTRIBUTES = r"((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+){_ATTRIBUTES}>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|data-y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements that may hold others of their kind, those of them that may close themselves, and those whose start tag
+#: makes all that follows theirs if they are never closed.
+_NESTED, _SELF_CLOSING, _TO_THE_END = {"svg", "math", "template", "object"}, {"svg", "math"}, {"script", "style", "textarea"}
+_RAW_TAG = {tag: re.compile(rf"<(/?){tag}(?![^\s/>]){_ATTRIBUTES}>", re.I | re.S) for tag in RAW}
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 _BLOCK, _VOID, _RAW = set(BLOCKS), set(VOID), set(RAW)
 _GROUP = {tag: i for i, tags in enumerate(TAG_GROUPS) for tag in tags}
 
 
+class _RawEnds:
+    """Where the raw elements of a page end. Every kind is looked for once, however many of them are never closed."""
+
+    def __init__(self, html: str, end: int):
+        self.html, self.end = html, end
+        self.pairs: dict[str, dict[int, int]] = {}
+        self.none: set[str] = set()
+
+    def after(self, tag: str, at: int) -> int | None:
+        """The end of the element whose start tag ends at `at`."""
+        if tag in _NESTED:
+            if tag not in self.pairs:
+                self.pairs[tag] = self._paired(tag)
+            return self.pairs[tag].get(at)
+        found = None if tag in self.none else _RAW_END[tag].search(self.html, at, self.end)
+        if found is None:
+            self.none.add(tag)
+            return None
+        return found.end()
+
+    def _paired(self, tag: str) -> dict[int, int]:
+        out, open_ = {}, []
+        for found in _RAW_TAG[tag].finditer(self.html, 0, self.end):
+            if not found.group(1):
+                if tag in _SELF_CLOSING and found.group(2).endswith("/"):
+                    out[found.end()] = found.end()
+                else:
+                    open_.append(found.end())
+            elif open_:
+                out[open_.pop()] = found.end()
+        return out
+
+
 @dataclass
 class Pages:
     """Block elements of several pages, in page order, and their texts. `data-y` is read from `marked` pages only,
@@ -94,7 +128,10 @@ class Pages:
 
     def add(self, html: str) -> None:
         """Read one page. Elements that are never closed end with their parent, a head with the first text or
-        tag that cannot stand in it."""
+        tag that cannot stand in it. What is not shown (scripts, drawings, media and the like) is left out up to its
+        end tag, or to that of the outermost one, or to nothing if it closes itself; without an end tag only its start
+        tag is left out, or all the rest after a script, style or textarea. Text after the last `>` is text, whatever
+        is in it."""
         root = len(self.parent)
         self.first.append(root)
         self.block_first.append(len(self.block_text))
@@ -129,8 +166,10 @@ class Pages:
                     return
 
         at, end = 0, len(html)
+        last = html.rfind(">") + 1  # no tag goes on beyond
+        raw = _RawEnds(html, last)
         while at < end:
-            found = _TOKEN.search(html, at)
+            found = _TOKEN.search(html, at, last) if at < last else None
             stop = found.start() if found else end
             if stop > at:
                 text = html[at:stop]
@@ -144,6 +183,8 @@ class Pages:
             at = found.end()
             tag = found.group(2)
             if tag is None:
+                if html.startswith("<!--", found.start()) and not html.endswith("-->", found.start() + 4, at):
+                    break  # a comment that is never closed
                 continue
             tag = tag.lower()
             if not found.group(1):
@@ -151,8 +192,8 @@ class Pages:
                     close(len(stack) - 1)
                 self.tags[stack[-1][1]] += 1
                 if tag in _RAW:
-                    over = _RAW_END[tag].search(html, at)
-                    at = over.end() if over else end
+                    over = raw.after(tag, at)
+                    at = over if over is not None else end if tag in _TO_THE_END else at
                 elif tag == "br":
                     said.append(" ")
                 elif tag == "a":
@@ -504,23 +545,24 @@ def fit(texts: list[str], made: int = MADE, seed: int = 0) -> Trees:
     return boost(nodes.features[some], y[some], np.where(nodes.own > 0, 1.0, 0.7)[some])
 
 
-def train(pages: DataFrame, sample: int = SAMPLE, html_column: str = "html") -> Trees:
-    """Fit on the block texts of about `sample` pages, those with the least hashes. Null and empty pages give none."""
+def train(pages: DataFrame, sample: int = SAMPLE, blocks: int = SAMPLE_BLOCKS, html_column: str = "html") -> Trees:
+    """Fit on the whole block texts of about `sample` pages, those with the least hashes; of more than `blocks`
+    different texts, on those with the least hashes. Null and empty pages give none."""
     rows = only(pages, html_column).toDF("html").filter("html is not null and html <> ''")
     span = 1 << 20
     share = min(span, int(span * sample / max(rows.count(), 1)) + 1)
     found = rows.filter(F.pmod(F.xxhash64("html"), F.lit(span)) < share).mapInArrow(_block_texts, "text string")
-    return fit(sorted(r["text"] for r in found.distinct().collect()))
+    chosen = found.distinct().orderBy(F.xxhash64("text"), "text").limit(blocks)
+    return fit(sorted(r["text"] for r in chosen.collect()))
 
 
 def _block_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of up to 60 words; longer ones would say nothing more about layout."""
     for batch in pieces(batches, 0):
         read = Pages(marked=False)
         for html in batch.column(0).to_pylist():
             read.add(html or "")
-        short = [" ".join(t.replace("<", " ").replace("&", " ").split()[:60]) for t in read.block_text]
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(set(short)), pa.string())], ["text"])
+        texts = {" ".join(t.replace("<", " ").replace("&", " ").split()) for t in read.block_text}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(texts), pa.string())], ["text"])
 
 
 def extract(pages: DataFrame, trees: Trees, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
