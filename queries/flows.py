@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from queries import views as v
 from queries.features import split_sql
 from queries.registry import out, query, r
+from queries.series import LARGE
 from weekloom.functions import date_features, log_target
 from weekloom.operators.encoders import fit_encoder
+from weekloom.operators.joins import keep_keys
 from weekloom.operators.learning import FeatureSpec, score_table, train_regressor
 from weekloom.operators.scalers import fit_minmax
 from weekloom.operators.sets import union_vintages
@@ -32,6 +34,36 @@ def sales_flow(spark, sf):
     return out(first.unionByName(final))
 
 
+# Quantities that a known function gives: 100 doubled up to four times, by brand, in no order that the names show.
+_POWER_SQL = "(CAST(substr(brand, 7) AS INTEGER) * 7) % 5"
+_PLANTED_POS = (
+    v.POS.replace("pos AS (", "sold AS (", 1)
+    + f""",
+pos AS (SELECT * REPLACE (100.0 * 2 ** ({_POWER_SQL}) AS qty) FROM sold
+  WHERE province = 'ASIA' AND segment = 'N' AND week_end < DATE '2001-01-01')"""
+    + LARGE.removeprefix(v.POS)
+)
+
+
+@query("sales_flow_planted", f"""SELECT brand, ka, fsa, CAST(week_end AS VARCHAR) AS week_end, CAST({_POWER_SQL} AS BIGINT) AS power
+  FROM denoised WHERE (brand, ka, fsa) IN (SELECT (brand, ka, fsa) FROM kept) QUALIFY count(*) OVER (PARTITION BY brand) >= 20""", _PLANTED_POS)
+def sales_flow_planted(spark, sf):
+    """The sales flow on planted quantities: the doublings that the prediction for every row of its table stands for.
+    A mean, or a fit that takes the order of brands for theirs, gives others. Brands of fewer than 20 rows are left
+    out: all rows of such a brand may be test rows, whose level nothing tells."""
+    columns = sales.SalesColumns()
+    power = F.substring("brand", 7, 10).cast("int") * 7 % 5
+    planted = v.pos(spark, sf).withColumn("qty", 100.0 * F.pow(F.lit(2.0), power))
+    data = sales.denoised_sales(planted, columns, 2001, one_row_per_date=True, province="ASIA", segment="N")
+    large = sales.large_combinations(data, columns, 2000, one_row_per_date=True)
+    features = sales.sales_features(large, columns, duplicates="drop")
+    fitted = sales.sales_regression(features, columns)
+    scored = score_table(fitted.model, features.rows, columns.key)
+    often = scored.groupBy("brand").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")  # a row per brand
+    scored = keep_keys(scored, often, ["brand"])
+    return out(scored.select(*columns.key, F.rint(F.log2(F.expm1("prediction") / 100)).cast("bigint").alias("power")))
+
+
 _BANDS = {"Younger": ["Age Band 1", "Age Band 2"], "Older": ["Age Band 3", "Age Band 4", "Age Band 5"],
           "Lower income": ["Income Band 1", "Income Band 2"], "Higher income": ["Income Band 3", "Income Band 4"]}
 
@@ -110,6 +142,50 @@ def loans_flow(spark, sf):
     return out(union_vintages([df.withColumn("on", F.lit(name)) for name, df in reports.items()]))
 
 
+# A planted class for each market segment, in no order that their names show: fixed values.
+_PLANTED_STATUS = {"AUTOMOBILE": 2, "BUILDING": 0, "FURNITURE": 1, "HOUSEHOLD": 0, "MACHINERY": 2}
+_REPORTED = {"first validation": "part = 'validation'", "first test": "part = 'test'", "final all": "part <> 'test'", "final test": "part = 'test'"}
+
+
+@query("loans_flow_planted", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "on", CAST(planted AS VARCHAR) AS label, 1e0 AS precision, 1e0 AS recall, 1e0 AS f1, count(*) AS support
+  FROM split WHERE {where} GROUP BY planted
+  UNION ALL SELECT '{name}', 'accuracy', NULL, NULL, 1e0, count(*) FROM split WHERE {where}
+  UNION ALL SELECT '{name}', unnest(['macro avg', 'weighted avg']), 1e0, 1e0, 1e0, count(*) FROM split WHERE {where}"""
+    for name, where in _REPORTED.items()),
+    v.LOAN + f""",
+classed AS (SELECT *, CASE ka {' '.join(f"WHEN '{k}' THEN {c}" for k, c in _PLANTED_STATUS.items())} END AS planted FROM loan),
+""" + split_sql("classed", "concat_ws('|', '75', CAST(o_orderkey AS VARCHAR))", "planted", 0.05, 0.20))
+def loans_flow_planted(spark, sf):
+    """The loan flow on a planted class: every report has to find all rows right, on as many rows as the split gives."""
+    planted = F.coalesce(*[F.when(F.col("ka") == k, F.lit(c)) for k, c in _PLANTED_STATUS.items()])
+    data = v.loan(spark, sf).select(
+        "o_orderkey", "priority", "ka", "amount", "balance", planted.alias("planted"), *date_features("order_date", "t_", ["Yr", "Qtr"]))
+    features = loans.loan_features(data, ["o_orderkey"], ["priority", "ka"], ["t_Yr", "t_Qtr"], ["amount", "balance"], "planted")
+    models = loans.loan_classification(features, ["o_orderkey"])
+    reports = {"first validation": models.first.report("validation"), "first test": models.first.report("test"),
+               "final all": models.final.report("all"), "final test": models.final.report("test")}
+    return out(union_vintages([df.withColumn("on", F.lit(name)) for name, df in reports.items()]))
+
+
+_SOURCE_SQL = "(CAST(substr(source, 4) AS INTEGER) * 5) % 7 % 2"
+
+
+@query("loans_binary_flow_planted", f"""SELECT CAST(a AS INTEGER) AS actual, CAST(p AS INTEGER) AS predicted, count(planted) AS n
+  FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS p)
+  LEFT JOIN (SELECT planted FROM split WHERE part <> 'test') ON planted = a AND planted = p GROUP BY 1, 2""",
+    v.LOAN_BINARY + f""",
+classed AS (SELECT *, {_SOURCE_SQL} AS planted FROM loan_binary),
+""" + split_sql("classed", "concat_ws('|', '75', CAST(doc_id AS VARCHAR))", "planted", 0.05, 0.20))
+def loans_binary_flow_planted(spark, sf):
+    """Boosted trees with the validation stop on a planted class of sources: a confusion without a wrong answer."""
+    planted = F.substring("source", 4, 10).cast("int") * 5 % 7 % 2
+    data = v.loan_binary(spark, sf).select(
+        "doc_id", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"), planted.alias("planted"))
+    features = loans.loan_features(data, ["doc_id"], ["lang", "source"], [], ["n_chars"], "planted")
+    return loans.loan_classification(features, ["doc_id"], "gbt").final.confusion("all")
+
+
 @query("loans_binary_flow")
 def loans_binary_flow(spark, sf):
     """Document quality by boosted trees with the validation stop; confusion on the training and validation rows."""

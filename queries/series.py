@@ -103,7 +103,7 @@ def cumulative_share(spark, sf):
 
 
 # Prices and quantities denoised at 1 %, then the combinations judged by their smoothed sales of 2000.
-_LARGE = (
+LARGE = (
     v.POS
     + ",\n" + denoise_sql("pos", _SERIES_SQL, "week_end", "price", 0.01).replace("denoised AS", "by_price AS").replace("smooth", "smooth_price")
     + ",\n" + denoise_sql("by_price", _SERIES_SQL, "week_end", "qty", 0.01)
@@ -117,7 +117,7 @@ denoised AS (SELECT * EXCLUDE (price, qty, smooth, smooth_price), smooth_price A
 @query("large_combination_prices", f"""SELECT brand, ka, province, fsa, segment, CAST(week_end AS VARCHAR) AS week_end,
   CAST(year(denoised.week_end) AS INTEGER) AS "Time_Yr", CAST(week(denoised.week_end) AS INTEGER) AS "Time_Week",
   CAST(month(denoised.week_end) AS INTEGER) AS "Time_Mon", {r('price')}
-  FROM denoised WHERE (brand, ka, fsa) IN (SELECT (brand, ka, fsa) FROM kept)""", _LARGE)
+  FROM denoised WHERE (brand, ka, fsa) IN (SELECT (brand, ka, fsa) FROM kept)""", LARGE)
 def large_combination_prices(spark, sf):
     data = v.pos(spark, sf).select(*v.FLAGGED, "province", "week_end", "qty", "price")
     smooth = materialize(
