@@ -200,17 +200,46 @@ def test_near_duplicates(docs, n):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in found.items())
 
 
-def test_near_duplicates_that_miss_the_hub(spark, frame):
-    """Chains of small changes: most members are too far from the bucket's hub but not from each other."""
-    r = random.Random(8)
+def chains(seed=8, families=3, steps=25):
+    r = random.Random(seed)
     rows = []
-    for family in range(3):
+    for family in range(families):
         w = [f"f{family}w{i}" for i in range(60)]
-        for step in range(25):
+        for step in range(steps):
             rows.append((len(rows), " ".join(w)))
             w[r.randrange(60)] = f"f{family}s{step}"
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [None, (8, 3, 1 << 20), (1000, 1000, 200)])
+def test_near_duplicates_that_miss_the_hub(spark, frame, monkeypatch, blocks):
+    """Chains of small changes: most members are too far from the bucket's hub but not from each other. Buckets of
+    one block and of several, by members and by shingles."""
+    rows = chains()
+    for name, size in zip(("SKETCH_BLOCK", "BLOCK", "BLOCK_SHINGLES"), blocks or ()):
+        monkeypatch.setattr(neardup, name, size)
+    found = rows_by_id(neardup.near_duplicates(frame(rows, "doc_id bigint, text string"), shingle=2))
+    assert {i: (x["n_shingles"], x["component_id"]) for i, x in found.items()} == near_by_force(rows, 2)
+
+
+def test_blocks_get_sketches_and_only_close_members_texts(spark, frame, monkeypatch):
+    """A family whose members are far enough from each other meets in blocks without its texts."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):  # about 0.55 alike: bands are shared, sketches are not close
+        w = list(base)
+        for k in r.sample(range(200), 28):
+            w[k] = f"d{i}k{k}"
+        rows.append((i, " ".join(w)))
+    sent = []
+    real = neardup._by_block
+    monkeypatch.setattr(neardup, "_by_block", lambda met: sent.append(met) or real(met))
     found = rows_by_id(neardup.near_duplicates(frame(rows, "doc_id bigint, text string"), shingle=2))
     assert {i: (x["n_shingles"], x["component_id"]) for i, x in found.items()} == near_by_force(rows, 2)
+    sketches, texts = sent
+    assert "text" not in sketches.columns and "text" in texts.columns
+    assert sketches.count() > 2 * texts.count()
 
 
 def test_odd_sketch_tells_similarities():

@@ -25,8 +25,10 @@ SAMPLES, BAND = 128, 4
 BANDS = SAMPLES // BAND
 #: Bits of an odd sketch.
 SKETCH = 256
-#: Members of a bucket that are compared in one block.
-BLOCK = 1024
+#: Members of a bucket whose sketches are compared in one block, members whose sets are, and shingles of these.
+SKETCH_BLOCK, BLOCK, BLOCK_SHINGLES = 16_384, 1024, 4 << 20
+#: Members that a task keeps before it hands them on.
+_HANDED_ON = 1 << 17
 #: Members that are confirmed against one hub in one place.
 HUB_PART = 256
 
@@ -148,16 +150,17 @@ def near_duplicates(
 
     Equal sets are collapsed before anything is paired. A band's bucket is compared with one member, its
     hub; after links have made components, what lies in the same bucket but in different components is
-    compared, block by block, by sketches and then by the sets. So a bucket of copies costs a pair each, a
-    bucket of texts that are nearly similar enough costs their comparison in memory, and no candidate is
-    dropped.
+    compared, block by block: by sketches first, and by the sets where a member has a sketch that is close
+    enough. So a bucket of copies costs a pair each, and no candidate is dropped. A bucket of m members in many
+    components sends m * m / 16,384 sketches; those of them that are close to each other without being linked,
+    say c, send c * c / 1,024 texts or more if they are long, which is quadratic, with a small factor.
     """
     signed = materialize(signatures(docs, shingle, id_column, text_column), "signatures")
     sketch = [f"s{i}" for i in range(SKETCH // 64)]
     whole = signed.filter("content is not null and id is not null")
     nodes = materialize(
         whole.groupBy("content").agg(
-            F.min("id").alias("node"), *[F.any_value(c).alias(c) for c in ("bands", *sketch)]
+            F.min("id").alias("node"), *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", *sketch)]
         ),
         "nodes",
     )
@@ -176,7 +179,7 @@ def near_duplicates(
     links = materialize(_confirmed(_alike(stars, nodes, sketch, limit), texts, shingle, similarity), "links")
     components = materialize(connected_components(links), "components")
 
-    more = materialize(_across(buckets, texts, components, shingle, similarity, limit), "links")
+    more = materialize(_across(buckets, nodes, texts, components, shingle, similarity, limit), "links")
     if not more.isEmpty():
         components = materialize(connected_components(links.union(more)), "components")
 
@@ -218,33 +221,60 @@ def _alike(pairs: DataFrame, nodes: DataFrame, sketch: list[str], limit: int) ->
 
 
 def _across(
-    buckets: DataFrame, texts: DataFrame, components: DataFrame, shingle: int, similarity: tuple[int, int], limit: int
+    buckets: DataFrame, nodes: DataFrame, texts: DataFrame, components: DataFrame, shingle: int,
+    similarity: tuple[int, int], limit: int,
 ) -> DataFrame:
     """Links within a bucket between members of different components.
 
     A bucket's largest component needs no comparison within itself. The members of the others are cut into
-    blocks; everyone in the bucket meets every block, which is streamed past it. Only links leave the task:
-    a family whose members are all nearly, but not quite, similar enough makes no table of pairs.
+    blocks; everyone in the bucket meets every block, which is streamed past it. That is done with sketches
+    alone first, which leave the members that are close to one of another component, and with the texts of these
+    then. Only links leave the task: a family whose members are all nearly, but not quite, similar enough makes no
+    table of pairs.
     """
     known = components.withColumnRenamed("component", "c")
     members = buckets.join(known, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    members = materialize(_mixed(members).join(nodes.select("node", "n_shingles"), "node"), "mixed")
+    kind = members.schema["node"].dataType.simpleString()
+
+    light = _met(members, F.ceil(F.col("minor") / SKETCH_BLOCK))
+    sketches = nodes.select("node", "bands", *[f"s{i}" for i in range(SKETCH // 64)])
+    light = _by_block(light.join(sketches, "node"))
+    columns = ["bucket", "block", "first", "own", "node", "c", "hub", "bands", *[f"s{i}" for i in range(SKETCH // 64)]]
+    close = light.select(*columns).mapInArrow(_close_members(limit), f"bucket bigint, node {kind}").distinct()
+
+    near = materialize(_mixed(members.join(close, ["bucket", "node"])), "close")
+    by_size = F.greatest(F.ceil(F.col("minor") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    met = _by_block(_met(near, by_size).join(texts.withColumnRenamed("id", "node"), "node"))
+    columns = ["bucket", "block", "first", "own", "node", "c", "hub", "text"]
+    links = met.select(*columns).mapInArrow(_compare_blocks(shingle, similarity, limit), f"a {kind}, b {kind}")
+    return links.distinct()
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
     mixed = members.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-    members = materialize(members.join(mixed.select("bucket"), "bucket"), "mixed")
-    sizes = members.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    return members.join(mixed.select("bucket"), "bucket")
+
+
+def _met(members: DataFrame, blocks: Column) -> DataFrame:
+    """Members once for every block of their bucket; `own` is the block a member is in, -1 if it is of the largest
+    component, and `first` says that it is this one."""
+    sizes = members.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
     main = sizes.groupBy("bucket").agg(
-        F.max_by("c", F.struct("n", "c")).alias("main"), (F.sum("n") - F.max("n")).alias("minor")
+        F.max_by("c", F.struct("n", "c")).alias("main"),
+        (F.sum("n") - F.max("n")).alias("minor"),
+        (F.sum("m") - F.max_by("m", F.struct("n", "c"))).alias("shingles"),
     )
-    main = main.withColumn("blocks", F.ceil(F.col("minor") / BLOCK).cast("int"))
-    rows = members.join(main, "bucket").join(texts, members["node"] == texts["id"])
+    rows = members.join(main.withColumn("blocks", blocks.cast("int")), "bucket")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", F.when(F.col("c") != F.col("main"), own).otherwise(F.lit(-1)))
     met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("first", F.col("own") == F.col("block"))
-    ordered = met.repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("first"), "node")
-    kind = ordered.schema["node"].dataType.simpleString()
-    columns = ["bucket", "block", "first", "own", "node", "c", "hub", "text"]
-    links = ordered.select(*columns).mapInArrow(_compare_blocks(shingle, similarity, limit), f"a {kind}, b {kind}")
-    return links.distinct()
+    return met.withColumn("first", F.col("own") == F.col("block"))
+
+
+def _by_block(met: DataFrame) -> DataFrame:
+    return met.repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("first"), "node")
 
 
 @dataclass
@@ -265,39 +295,92 @@ class _Members:
         return _Members(*arrays, [self.sets[i] for i in rows.tolist()])
 
 
+def _blocks_met(rows: Iterable[tuple[np.ndarray, np.ndarray, _Members]]) -> Iterator[tuple[int, _Members, _Members]]:
+    """Bucket, members of a block and members that meet them, in parts, from (bucket, block, members) in the order of
+    `_by_block`. Sets that are not held are empty."""
+    key, block = None, []
+    for bucket, number, members in rows:
+        cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1])) + 1
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
+            if key != (bucket[i], number[i]):
+                key, block = (bucket[i], number[i]), []
+            for k in range(i, j, 256):
+                part = members.pick(np.arange(k, min(j, k + 256)))
+                for held in block:
+                    yield int(bucket[i]), held, part
+                if part.first.any():
+                    mine = part.pick(np.flatnonzero(part.first))
+                    yield int(bucket[i]), mine, part
+                    block.append(mine)
+
+
+def _close_members(limit: int):
+    """For mapInArrow: the members, by bucket, whose sketch is close to that of a member of another component."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.null()
+
+        def members() -> Iterator[tuple[np.ndarray, np.ndarray, _Members]]:
+            nonlocal kind
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                kind = batch.schema.field("node").type
+                plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+                bands = np.asarray(batch.column(7).flatten()).reshape(-1, BANDS).view(np.uint64)
+                sketch = np.stack([np.asarray(batch.column(8 + i)) for i in range(SKETCH // 64)], axis=1).view(np.uint64)
+                yield plain[0], plain[1], _Members(*plain[2:], sketch, bands, [None] * batch.num_rows)
+
+        found: set[tuple] = set()
+        for bucket, held, part in _blocks_met(members()):
+            a, b = _close(held, part, bucket, limit)
+            found.update((bucket, x) for x in (*np.unique(held.node[a]).tolist(), *np.unique(part.node[b]).tolist()))
+            if len(found) >= _HANDED_ON:
+                yield _pairs(found, kind)
+                found.clear()
+        if found:
+            yield _pairs(found, kind)
+
+    return run
+
+
+def _pairs(found: set[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    buckets, nodes = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(nodes, kind)], ["bucket", "node"])
+
+
 def _compare_blocks(shingle: int, similarity: tuple[int, int], limit: int):
+    """For mapInArrow: links between the members of blocks and those that meet them, by their full sets."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, []
-        for batch in pieces(batches, 7, 1 << 20):
-            bucket, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 7)]
-            sets = shingle_sets(batch.column(7), shingle)
-            samples = np.stack([min_hashes(s) for s in sets])
-            rows = _Members(*plain, odd_sketch(samples), band_hashes(samples), sets)
-            cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1])) + 1
-            found: list[tuple] = []
-            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-                if key != (bucket[i], number[i]):
-                    key, block = (bucket[i], number[i]), []
-                for k in range(i, j, 256):
-                    part = rows.pick(np.arange(k, min(j, k + 256)))
-                    for held in block:
-                        found += _links(held, part, *key, similarity, limit)
-                    if part.first.any():
-                        mine = part.pick(np.flatnonzero(part.first))
-                        found += _links(mine, part, *key, similarity, limit)
-                        block.append(mine)
-            if found:
+        kind = pa.null()
+
+        def members() -> Iterator[tuple[np.ndarray, np.ndarray, _Members]]:
+            nonlocal kind
+            for batch in pieces(batches, 7, 1 << 20):
                 kind = batch.schema.field("node").type
-                a, b = (pa.array(list(side), kind) for side in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+                plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+                sets = shingle_sets(batch.column(7), shingle)
+                samples = np.stack([min_hashes(s) for s in sets])
+                yield plain[0], plain[1], _Members(*plain[2:], odd_sketch(samples), band_hashes(samples), sets)
+
+        for bucket, held, part in _blocks_met(members()):
+            a, b = _close(held, part, bucket, limit)
+            found = [
+                (held.node[i], part.node[j])
+                for i, j in zip(a.tolist(), b.tolist(), strict=True)
+                if _similar(held.sets[i], part.sets[j], similarity)
+            ]
+            if found:
+                left, right = (pa.array(list(side), kind) for side in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([left, right], ["a", "b"])
 
     return run
 
 
-def _links(held: _Members, rows: _Members, bucket: int, block: int, similarity: tuple[int, int], limit: int) -> list[tuple]:
-    """Links between held members of this block and further rows that lie in other components."""
-    odd = np.zeros((len(held.node), len(rows.node)), np.int64)
+def _close(held: _Members, rows: _Members, bucket: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Held members of this block and further rows, in other components, whose sketches are close."""
+    odd = np.zeros((len(held.node), len(rows.node)), np.uint16)
     for i in range(held.sketch.shape[1]):
         odd += np.bitwise_count(held.sketch[:, i, None] ^ rows.sketch[None, :, i])
     good = (odd <= limit) & (held.c[:, None] != rows.c[None, :])
@@ -308,11 +391,7 @@ def _links(held: _Members, rows: _Members, bucket: int, block: int, similarity:
     # Of the buckets that two members share, only the first counts.
     band = (held.bands[0].view(np.int64) == bucket).argmax() if len(held.node) else 0
     once = (held.bands[a] == rows.bands[b])[:, :band].any(axis=1)
-    out = []
-    for i, j in zip(a[~once].tolist(), b[~once].tolist(), strict=True):
-        if _similar(held.sets[i], rows.sets[j], similarity):
-            out.append((held.node[i], rows.node[j]))
-    return out
+    return a[~once], b[~once]
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
