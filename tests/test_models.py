@@ -181,6 +181,43 @@ def test_correlation_of_a_constant_is_null(frame):
     assert got["a", "b"] == pytest.approx(1.0) and got["a", "c"] is None and got["a", "a"] == 1.0
 
 
+def test_correlations_by_sums_of_products(frame, monkeypatch):
+    """The same as an expression per pair, by group too, with nulls, constants and columns far from zero."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        x = rng.normal(0, 1, 5)
+        x[1] += x[0]
+        x[2] = 1e6 + 0.01 * x[2] - x[0]
+        values = [None if rng.random() < 0.1 else float(v) for v in x]
+        rows.append((i % 3 if i % 7 else None, f"g{i % 2}", *values, 0.1, None, i if i < 2 else None))
+    names = ["v0", "v1", "v2", "v3", "v4", "constant", "empty", "two"]
+    df = frame(rows, "g int, h string, " + ", ".join(f"{n} double" for n in names[:-1]) + ", two int").repartition(4)
+    for by in ([], ["g"], ["g", "h"]):
+        monkeypatch.setattr(aggregates, "PAIRED", 24)
+        paired = aggregates.correlation_matrix(df, names, by)
+        monkeypatch.setattr(aggregates, "PAIRED", 1)
+        gram = aggregates.correlation_matrix(df, names, by)
+        assert gram.columns == paired.columns
+        a, b = ({tuple(r)[:-1]: r.r for r in x.collect()} for x in (paired, gram))
+        assert a.keys() == b.keys()
+        wrong = {k: (a[k], b[k]) for k in a if (a[k] is None) != (b[k] is None) or (a[k] is not None and abs(a[k] - b[k]) > 1e-6)}
+        assert wrong == {}
+        assert sum(v is not None for v in a.values()) > 20
+
+
+def test_correlations_of_many_columns(frame):
+    rng = np.random.default_rng(7)
+    data = rng.normal(0, 1, (200, 120))
+    data[:, 1:] += data[:, :-1]
+    names = [f"c{i}" for i in range(120)]
+    got = aggregates.correlation_matrix(frame([tuple(map(float, r)) for r in data], ", ".join(f"{n} double" for n in names)), names)
+    r = {(x.a, x.b): x.r for x in got.collect()}
+    expected = np.corrcoef(data.T)
+    assert len(r) == 14400
+    assert np.allclose([[r[a, b] for b in names] for a in names], expected, atol=1e-12)
+
+
 # ---- learning
 
 def test_best_count():

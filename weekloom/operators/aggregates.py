@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,20 +162,30 @@ def _pearson(x: Column, y: Column) -> Column:
     """Over the rows that have both values; null where one of them does not vary. `corr` itself
     raises there under ANSI."""
     both = x.isNotNull() & y.isNotNull()
-    spread = F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y))
-    return F.try_divide(F.covar_pop(x, y), F.sqrt(spread))
+    x, y = F.when(both, x), F.when(both, y)
+    # Rounding leaves a constant some variance, so least and greatest values are compared.
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))))
+
+
+#: Columns up to which every pair of them is an expression of one aggregation.
+PAIRED = 24
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of all column pairs in long form (a, b, r), optionally per group.
+    """Pearson correlation of all column pairs in long form (a, b, r), optionally per group, each over the rows that
+    have both values; null where one of them does not vary.
 
-    Every pair comes out of the same aggregation; pairs run over columns, never over rows.
+    Pairs run over columns, never over rows. Up to `PAIRED` columns every pair comes out of the same aggregation; with
+    more, tasks add up products of the columns as matrices, and a row per column and task is merged.
     """
+    if len(columns) > PAIRED:
+        return _gram_correlations(df, columns, by)
     pairs = list(combinations(range(len(columns)), 2))
     x = [as_column(c).cast("double") for c in columns]
     grouped = df.groupBy(*[as_column(c) for c in by]).agg(
         *[_pearson(x[i], x[j]).alias(f"_r{i}_{j}") for i, j in pairs],
-        *[F.when(F.var_pop(x[i]) > 0, 1.0).alias(f"_r{i}_{i}") for i in range(len(columns))],
+        *[F.when(F.min(x[i]) < F.max(x[i]), 1.0).alias(f"_r{i}_{i}") for i in range(len(columns))],
     )
     entries = [
         F.struct(
@@ -184,6 +197,114 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str]
     return grouped.select(*[as_column(c) for c in by], F.inline(F.array(*entries)))
 
 
+def _gram_correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """By sums of products. Values are taken relative to the mean of their column, so that little cancels."""
+    x = [as_column(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    keys = [as_column(c).alias(f"k{i}") for i, c in enumerate(by)]
+    rows = materialize(df.select(*keys, *x), "columns")
+    means = list(rows.agg(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)) for i in range(len(columns))]).first())
+    kinds = [f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(by))]
+    if by:
+        rows = rows.sortWithinPartitions(*[f"k{i}" for i in range(len(by))])
+    sums = rows.mapInArrow(_gram_rows(len(by), means), ", ".join([*kinds, "i int, sums array<double>"]))
+    order = [*[f"k{i}" for i in range(len(by))], "i"]
+    merged = sums.repartition(*order).sortWithinPartitions(*order)
+    found = merged.mapInArrow(_merged_correlations(len(by)), ", ".join([*kinds, "i int, r array<double>"]))
+    name = F.array(*[F.lit(c) for c in columns])
+    long = found.select(*order[:-1], name[F.col("i")].alias("a"), F.posexplode("r").alias("j", "r"))
+    return long.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(by)], "a", name[F.col("j")].alias("b"), "r")
+
+
+def _key_runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, int, int]]:
+    """Keys, begin and end of the runs of equal keys in the first columns."""
+    if not keys:
+        yield (), 0, batch.num_rows
+        return
+    rows = list(zip(*[batch.column(i).to_pylist() for i in range(keys)], strict=True))
+    begin = 0
+    for i in range(1, len(rows) + 1):
+        if i == len(rows) or rows[i] != rows[begin]:
+            yield rows[begin], begin, i
+            begin = i
+
+
+def _gram_rows(keys: int, means: list[float]) -> Callable:
+    """For mapInArrow over rows sorted by their keys: for every group and column i, over the rows that have both i and
+    j, for all j: their number, sum of i, of its squares, of j, of its squares, and of the products."""
+    n = len(means)
+
+    def out(kinds: list[pa.DataType], key: tuple, m: np.ndarray) -> pa.RecordBatch:
+        # m: mask * mask, values * mask, squares * mask, values * values
+        parts = np.concatenate([m[0], m[1], m[2], m[1].T, m[2].T, m[3]], axis=1)
+        columns = [pa.array([k] * n, t) for k, t in zip(key, kinds, strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 6 * n * n + 1, 6 * n, dtype=np.int32)), pa.array(parts.ravel()))
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(np.arange(n, dtype=np.int32)), lists], [*[f"k{i}" for i in range(keys)], "i", "sums"]
+        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total, kinds = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.column(i).type for i in range(keys)]
+            held = np.stack([~np.asarray(batch.column(keys + i).is_null()) for i in range(n)], axis=1).astype(float)
+            values = np.stack(
+                [pc.fill_null(batch.column(keys + i), means[i]).to_numpy(zero_copy_only=False) - means[i] for i in range(n)], axis=1
+            )
+            for key, low, high in _key_runs(batch, keys):
+                if total is not None and key != current:
+                    yield out(kinds, current, total)
+                    total = None
+                mask, x = held[low:high], values[low:high]
+                square = x * x
+                part = np.stack([mask.T @ mask, x.T @ mask, square.T @ mask, x.T @ x])
+                current, total = key, part if total is None else total + part
+        if total is not None:
+            yield out(kinds, current, total)
+
+    return run
+
+
+def _merged_correlations(keys: int) -> Callable:
+    """For mapInArrow over the rows of `_gram_rows` sorted by keys and column: the correlations of a column."""
+
+    def correlations(sums: np.ndarray, i: int) -> list[float | None]:
+        n, sx, sxx, sy, syy, sxy = sums.reshape(6, -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            vx, vy = sxx / n - (sx / n) ** 2, syy / n - (sy / n) ** 2
+            r = (sxy / n - sx * sy / n**2) / np.sqrt(vx * vy)
+            varies = (n > 0) & (vx > _NOTHING * sxx / n) & (vy > _NOTHING * syy / n)
+        r = np.clip(r, -1, 1)
+        r[i] = 1.0
+        return [float(x) if ok else None for x, ok in zip(r, varies, strict=True)]
+
+    def out(kinds: list[pa.DataType], key: tuple, total: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([k], t) for k, t in zip(key, kinds, strict=True)]
+        names = [*[f"k{i}" for i in range(keys)], "i", "r"]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([correlations(total, key[-1])], pa.list_(pa.float64()))], names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total, kinds = None, None, []
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(keys + 1)]
+            sums = batch.column(keys + 1)
+            for key, low, high in _key_runs(batch, keys + 1):
+                if total is not None and key != current:
+                    yield out(kinds, current, total)
+                    total = None
+                part = sums.slice(low, high - low).flatten().to_numpy().reshape(high - low, -1).sum(axis=0)
+                current, total = key, part if total is None else total + part
+        if total is not None:
+            yield out(kinds, current, total)
+
+    return run
+
+
+#: What is left of a square mean by rounding, where a column does not vary.
+_NOTHING = 1e-13
+
+
 def argmin_row(df: DataFrame, key: str, metric: str) -> DataFrame:
     """Key at the minimum of a metric; the lowest key on ties."""
     order = F.struct(as_column(metric), as_column(key))
