@@ -1,7 +1,7 @@
 """Text quality by Naive Bayes support vectors.
 
-Features are indicators of hashed n-grams of word shapes: single shapes, pairs, and runs of "same word
-as before". Each is scaled by the log ratio of its smoothed shares in the two classes, rows get length 1,
+Features are indicators of hashed n-grams: words and pairs of words as they stand, the shapes of words and
+pairs of shapes, and runs of "same word as before". Each is scaled by the log ratio of its smoothed shares in the two classes, rows get length 1,
 and a linear model with hinge loss is fitted by dual coordinate descent. A logistic curve over
 cross-fitted margins turns margins into probabilities.
 """
@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm.frames import only
-from weekloom.llm.words import SPACED, mix, pieces, random_words, read_words, run_hashes
+from weekloom.llm.words import SPACED, gram_hashes, mix, pieces, random_words, read_words, run_hashes
 
-#: Hashed features.
-WIDTH = 1 << 16
+#: Hashed features: words and their pairs below SHAPES, shapes and all else from there on.
+BITS = 20
+WIDTH = 1 << BITS
+SHAPES = WIDTH >> 1
 #: Labelled rows that the model is fitted on, about.
 SAMPLE = 8192
 THRESHOLD = 0.7
@@ -59,6 +61,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     alike = text[1:] == text[:-1]
     same = (words.hashes[1:] == words.hashes[:-1]) & alike
     pairs = shapes[:-1] * _SALTS[0] + shapes[1:] * _SALTS[1] + same.astype(np.uint64) * _SALTS[2]
+    said = _codes([text, text[1:][alike]], [words.hashes, gram_hashes(words.hashes, 2)[alike]], 0)
     owner, value = [text, text[1:][alike]], [shapes, mix(pairs[alike])]
     run = same
     for k in range(REPEATS):  # the same word three times and more
@@ -66,15 +69,20 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(run)
         owner.append(text[at])
         value.append(np.full(len(at), mix(_SALTS[3:] + np.uint64(k))[0]))
-    owner, value = np.concatenate(owner), np.concatenate(value)
-    code = np.sort(owner << 16 | (value & np.uint64(WIDTH - 1)).astype(np.int64))
+    code = np.sort(np.r_[said, _codes(owner, value, SHAPES)])
     code = code[np.r_[True, code[1:] != code[:-1]]]
-    return code & (WIDTH - 1), np.searchsorted(code >> 16, np.arange(n + 1))
+    return code & (WIDTH - 1), np.searchsorted(code >> BITS, np.arange(n + 1))
+
+
+def _codes(owner: list[np.ndarray], value: list[np.ndarray], base: int) -> np.ndarray:
+    """Text and feature in one number, features in the half of WIDTH that begins at `base`."""
+    feature = (np.concatenate(value) & np.uint64(SHAPES - 1)).astype(np.int64)
+    return np.concatenate(owner) << BITS | feature + base
 
 
 @dataclass(frozen=True)
 class Model:
-    """Margin = sum(weight * ratio) / norm(ratio) + bias over a text's features; a, b: the logistic curve."""
+    """Margin = sum(weight * scaled ratio) + bias over a text's features; a, b: the logistic curve."""
 
     ratio: np.ndarray
     weight: np.ndarray
@@ -87,22 +95,33 @@ class Model:
         return 1 / (1 + np.exp(-(self.a * _margins(found, first, self.ratio, self.weight, self.bias) + self.b)))
 
 
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.diff(np.r_[0.0, np.cumsum(values)][first])
+def _scaled(found: np.ndarray, first: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Ratios of the features of each text, words and shapes at equal length, the whole at length 1.
+
+    Every text is summed by itself, so that its values don't depend on its neighbours.
+    """
+    n = len(first) - 1
+    values = ratio[found]
+    part = 2 * np.repeat(np.arange(n), np.diff(first)) + (found >= SHAPES)
+    length = np.sqrt(np.bincount(part, values**2, 2 * n))
+    parts = np.maximum((length > 1e-6).reshape(n, 2).sum(axis=1), 1)
+    return values / (np.maximum(length, 1e-6) * np.sqrt(np.repeat(parts, 2)))[part]
 
 
 def _margins(found: np.ndarray, first: np.ndarray, ratio: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
-    norm = np.sqrt(np.maximum(_sums(ratio[found] ** 2, first), 1e-12))
-    return _sums(ratio[found] * weight[found], first) / norm + bias
+    n = len(first) - 1
+    text = np.repeat(np.arange(n), np.diff(first))
+    return np.bincount(text, _scaled(found, first, ratio) * weight[found], n) + bias
 
 
 def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Log of how much more often each feature occurs in class 1, with one more row of each class having all."""
+    """Log of how much more often each feature occurs in class 1, with one more row of each class having all.
+    A feature that no row has says nothing: 0."""
     counts = np.ones((2, WIDTH))
     for row, label in zip(rows, labels, strict=True):
         counts[int(label), row] += 1
     shares = counts / counts.sum(axis=1, keepdims=True)
-    return np.log(shares[1] / shares[0])
+    return np.where(counts.sum(axis=0) > 2, np.log(shares[1] / shares[0]), 0.0)
 
 
 def dual_coordinate_descent(
@@ -110,10 +129,7 @@ def dual_coordinate_descent(
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise |w|^2 / 2 + cost * hinge losses, one dual variable at a time."""
     sign = np.where(labels > 0, 1.0, -1.0)
-    scaled = []
-    for row in rows:
-        values = ratio[row]
-        scaled.append(values / max(float(np.sqrt(values @ values)), 1e-6))
+    scaled = [_scaled(row, np.array([0, len(row)]), ratio) for row in rows]
     square = np.array([v @ v + 1 for v in scaled])
     weight, bias, alpha = np.zeros(WIDTH), 0.0, np.zeros(len(rows))
     turn = np.random.default_rng(0)
@@ -159,9 +175,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> Model:
         part = [rows[i] for i in train]
         ratio = log_ratios(part, labels[train])
         weight, bias = dual_coordinate_descent(part, labels[train], ratio)
-        held = [rows[i] for i in rest]
-        first = np.cumsum([0, *map(len, held)])
-        margins[rest] = _margins(np.concatenate(held), first, ratio, weight, bias)
+        for i in rest.tolist():
+            margins[i] = _margins(rows[i], np.array([0, len(rows[i])]), ratio, weight, bias)[0]
     ratio = log_ratios(rows, labels)
     weight, bias = dual_coordinate_descent(rows, labels, ratio)
     return Model(ratio, weight, bias, *logistic_curve(margins, labels))
@@ -180,15 +195,16 @@ def train(
     share = min(1.0, sample / max(known.count(), 1))
     picked = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = only(docs, id_column, text_column).toDF("id", "text")
-    rows = texts.join(F.broadcast(picked), "id").select("label", "text").mapInArrow(_features_of, "label int, found array<int>")
+    rows = texts.join(F.broadcast(picked), "id").select("label", "text").mapInArrow(_features_of, "label int, found binary")
     found = rows.collect()
-    return fit([np.array(r["found"], np.int64) for r in found], np.array([r["label"] for r in found]))
+    return fit([np.frombuffer(r["found"], np.int32) for r in found], np.array([r["label"] for r in found]))
 
 
 def _features_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1):
         found, first = features(batch.column(1))
-        rows = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found.astype(np.int32)))
+        ids = found.astype(np.int32)
+        rows = pa.array([ids[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), rows], ["label", "found"])
 
 
