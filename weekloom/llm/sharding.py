@@ -16,23 +16,63 @@ HEAVY = 4096
 MEASURES = ("bytes", "tokens", "rows")
 
 
+#: Bytes count so many times as much as tokens and rows when shards swap items.
+BYTES_FIRST = 16
+#: Of each shard so many of its smallest items can be swapped.
+SWAPPED = 1024
+
+
 def pack(sizes: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each item, given its (bytes, tokens, rows).
 
     Sizes are taken as shares of what one shard should get. Items are placed from the largest to the
     smallest, each where the dot product with the residual capacity is highest among the shards that
-    still have room for its bytes, or, when none has, where most bytes are left.
+    still have room for it in all measures, or, when none has, among all. Then shards swap items, see `_even`.
     """
     share = sizes / np.maximum(sizes.sum(axis=0), 1) * shards
     residual = np.ones((shards, sizes.shape[1]))
     out = np.empty(len(sizes), np.int64)
-    for i in np.lexsort((np.arange(len(sizes)), -share.sum(axis=1), -share.max(axis=1))).tolist():
+    for i in np.lexsort((np.arange(len(sizes)), -share.max(axis=1), -share.sum(axis=1))).tolist():
         item = share[i]
-        fits = residual[:, 0] >= item[0]
-        place = int(np.argmax(np.where(fits, residual @ item, -np.inf) if fits.any() else residual[:, 0]))
+        fits = (residual >= item).all(axis=1)
+        place = int(np.argmax(np.where(fits | ~fits.any(), residual @ item, -np.inf)))
         residual[place] -= item
         out[i] = place
-    return out
+    return _even(share, out, shards)
+
+
+def _even(share: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+    """Two shards far apart swap an item each, or one hands over an item, while that brings them closer.
+
+    Closeness is the squared distance of their loads, bytes weighted by BYTES_FIRST. A swap has to take off
+    a fiftieth of it, so the distances fall in steps and the loop ends. Pairs of shards are tried from the
+    farthest on, one for each shard; of a shard its SWAPPED smallest items.
+    """
+    weighed = share * np.r_[BYTES_FIRST, np.ones(share.shape[1] - 1)]
+    load = np.zeros((shards, share.shape[1]))
+    np.add.at(load, shard, weighed)
+    one, other = np.triu_indices(shards, 1)
+    nothing = np.zeros((1, share.shape[1]))
+    small = np.argsort(share.sum(axis=1), kind="stable")
+    found = True
+    while found:
+        apart = ((load[one] - load[other]) ** 2).sum(axis=1)
+        found = False
+        for k in np.argsort(-apart, kind="stable")[:shards].tolist():
+            a, b = one[k], other[k]
+            of_a, of_b = (small[shard[small] == s][:SWAPPED] for s in (a, b))
+            given, taken = np.r_[weighed[of_a], nothing], np.r_[weighed[of_b], nothing]
+            after = np.zeros((len(given), len(taken)))
+            for m, gap in enumerate(load[a] - load[b]):
+                after += (gap - 2 * (given[:, m, None] - taken[None, :, m])) ** 2
+            p, q = np.unravel_index(int(after.argmin()), after.shape)
+            if after[p, q] < 0.98 * apart[k]:
+                load[a] += taken[q] - given[p]
+                load[b] += given[p] - taken[q]
+                shard[of_a[p : p + 1]], shard[of_b[q : q + 1]] = b, a
+                found = True
+                break
+    return shard
 
 
 def pack_documents(
@@ -47,7 +87,8 @@ def pack_documents(
 
     `size` is the text's UTF-8 bytes plus `overhead`; `tokens` may be any count per row and is the number
     of words between white space by default. Rows of equal text are a group and stay together, unless the
-    group is larger than a shard should be; then it is cut by a hash of the id. `slot` numbers the rows of
+    group is larger than a shard should be; then it is cut by a hash of the id, and where one id has many
+    rows, by their position. `slot` numbers the rows of
     a shard from 0 without gaps, in a stable order. A null text counts as empty and has no size but the
     overhead; null ids and repeated rows are placed like any others (of identical rows, which gets which
     slot makes no difference); further columns are left out; an empty table gives an empty one.
@@ -68,6 +109,7 @@ def pack_documents(
             n_tokens.cast("bigint").alias("tokens"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.unhex(F.sha2(text, 256)).alias("digest"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shards",
     )
@@ -89,10 +131,15 @@ def pack_documents(
     begin = (BUNDLES + np.cumsum([0, *parts])[:-1]).tolist() if parts else []
     schema = "digest binary, begin int, parts int"
     known = F.broadcast(spark.createDataFrame([(d, b, p) for (d, *_), b, p in zip(heavy, begin, parts)], schema))
-    unit = F.when(F.col("begin").isNotNull(), F.col("begin") + F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    placed = rows.join(known, "digest", "left").withColumn(
-        "unit", F.coalesce(unit, F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("int"))
-    )
+    # Rows of one id and one text that would make up more than a piece: at most BUNDLES such ids.
+    marked = rows.join(known, "digest", "left")
+    repeated = marked.filter("begin is not null").groupBy("digest", "doc_id").count().filter(F.col("count") > part)
+    repeated = repeated.select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"), F.lit(True).alias("hot"))
+    same = (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    spread = F.when(F.col("hot"), F.xxhash64("doc_id", "row")).otherwise(F.xxhash64("doc_id"))
+    unit = F.col("begin") + F.pmod(spread, F.col("parts")).cast("int")
+    light = F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("int")
+    placed = marked.join(F.broadcast(repeated), same, "left").withColumn("unit", F.coalesce(unit, light))
     measured = placed.groupBy("unit").agg(*sums).collect()
     units = sorted((r["unit"], r["bytes"], r["tokens"] or 0, r["rows"]) for r in measured)
 
