@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.frames import only
 from weekloom.llm.words import ALPHANUMERIC, Words, pieces, read_words
+from weekloom.operators.ordered import running_total
 from weekloom.session import materialize
 
 WINDOW = 13
@@ -194,11 +195,16 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple]]:
-    items = only(benchmark, id_column, text_column)
-    total = items.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    for i in range(max(1, n)):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64(text_column), F.lit(max(1, n))) == i).collect()]
+    """Distinct items with text in blocks of BLOCK_BYTES, ids included, and at most one item more; one block at least."""
+    items = only(benchmark, id_column, text_column).toDF("id", "text").filter(F.octet_length("text") > 0).distinct()
+    size = F.octet_length("text").cast("bigint") + F.coalesce(F.octet_length(F.col("id").cast("string")), F.lit(0)) + 8
+    if (items.agg(F.sum(size)).first()[0] or 0) <= BLOCK_BYTES:
+        yield [tuple(r) for r in items.collect()]
+        return
+    dealt = running_total(items, [F.xxhash64("id", "text"), "id", "text"], size, "upto")
+    dealt = materialize(dealt.withColumn("block", F.floor((F.col("upto") - 1) / BLOCK_BYTES)).drop("upto"), "items")
+    for i in range(dealt.agg(F.max("block")).first()[0] + 1):
+        yield [tuple(r) for r in dealt.filter(F.col("block") == i).drop("block").collect()]
 
 
 _SPANS = "array<struct<start:bigint,length:bigint>>"
@@ -223,7 +229,7 @@ def find_passages(
     count once, repeated documents are searched each; further columns are left out; without items or
     documents nothing is found.
 
-    Documents are not shuffled. Items go to the tasks in blocks of 32 MB of text at most (or one item);
+    Documents are not shuffled. Distinct items go to the tasks in blocks of 32 MB of text and one item more at most;
     with more than one block the documents and what was found so far are written in between.
     """
     found = _searched(only(docs, id_column, text_column), 1, benchmark, window, item_column, item_text_column)
