@@ -9,25 +9,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.llm.frames import only
+from weekloom.operators.ordered import RUN, cut_into_runs
 from weekloom.session import materialize
 
-#: Turns of a conversation that are hashed in one place; longer conversations are cut into such blocks.
+#: Turn numbers of a conversation that are hashed in one place; longer conversations are cut into such blocks.
 BLOCK = 1024
+#: Where a block has more rows than this, as when turn numbers repeat or are null, blocks are cut by rows.
+CROWDED = 1 << 16
 _NO_TURN = -(1 << 62)
 
 
-def turn_prefixes(turns: DataFrame) -> DataFrame:
-    """Every turn with its `place` in the conversation (from 1) and the rolling hashes `a` and `b` of the
+def turn_prefixes(conversations: DataFrame) -> DataFrame:
+    """Every distinct turn with its `place` in the conversation (from 1) and the rolling hashes `a` and `b` of the
     turns up to it.
 
     The hash of a prefix is the XOR of the hashes of its (place, role, text), 128 bits in two columns, so
     it can be put together from parts: conversations are cut into blocks of turn numbers, and a block
-    starts from what the blocks before it add up to. A conversation of any length is spread over tasks.
+    starts from what the blocks before it add up to. If so many turns share a block, their numbers being
+    repeated or null, that it is CROWDED, blocks are ranges of rows in the order of conversation, number,
+    role and text instead. A conversation of any length is spread over tasks.
     """
-    cut = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(_NO_TURN)))
-    inside = Window.partitionBy("conv_id", "block").orderBy(
-        F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")
-    )
+    given = only(conversations, "conv_id", "turn", "role", "text")
+    turns = given.distinct()
+    by_number = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(_NO_TURN))
+    crowded = given.groupBy("conv_id", by_number.alias("block")).count().filter(F.col("count") > CROWDED)
+    order = [F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
+    if crowded.isEmpty():
+        cut = turns.withColumn("block", by_number)
+    else:
+        cut = cut_into_runs(turns, [F.asc_nulls_first("conv_id"), *order]).withColumnRenamed(RUN, "block")
+    inside = Window.partitionBy("conv_id", "block").orderBy(*order)
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
     sizes = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
@@ -70,8 +81,7 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
     conv_id is a conversation of its own; null roles and texts equal each other only. Further columns are
     left out; an empty table gives an empty one.
     """
-    turns = only(conversations, "conv_id", "turn", "role", "text").distinct()
-    rolled = materialize(turn_prefixes(turns), "prefixes")
+    rolled = materialize(turn_prefixes(conversations), "prefixes")
     return _maximal(rolled)
 
 
@@ -103,8 +113,7 @@ def render_conversations(conversations: DataFrame, begin: str = "<|im_start|>",
     empty. See `maximal_conversations` for which conversations stay and how odd rows are treated. A
     rendered conversation is one value, so it has to fit one row.
     """
-    turns = only(conversations, "conv_id", "turn", "role", "text").distinct()
-    rolled = materialize(turn_prefixes(turns), "prefixes")
+    rolled = materialize(turn_prefixes(conversations), "prefixes")
     kept = _maximal(rolled).withColumnRenamed("conv_id", "_conv").select("_conv", "turns", "copies")
     piece = F.concat(
         F.lit(begin),
