@@ -175,11 +175,11 @@ def train(
         return fit(np.empty((0, WIDTH)), [])
     each = -(-sample // len(sizes))
     span = 1 << 20
-    picked = F.lit(False)
-    for name, size in sizes.items():
-        share = min(span, int(span * each / size) + 1)
-        picked |= (F.col("lang") == name) & (F.pmod(F.xxhash64("id", "text"), F.lit(span)) < share)
-    found = rows.filter(picked).select("lang", "text").mapInArrow(_counts_of, "lang string, counts binary").toArrow()
+    shares = [(name, min(span, int(span * each / size) + 1)) for name, size in sizes.items()]
+    # One row for each language, joined without a hint: a plan as deep for a thousand languages as for two.
+    share = docs.sparkSession.createDataFrame(shares, f"lang {rows.schema['lang'].dataType.simpleString()}, share bigint")
+    picked = F.pmod(F.xxhash64("id", "text"), F.lit(span)) < F.col("share")
+    found = rows.join(share, "lang").filter(picked).select("lang", "text").mapInArrow(_counts_of, "lang string, counts binary").toArrow()
     counts = [np.frombuffer(c, np.float32) for c in found.column("counts").to_pylist()]
     return fit(np.stack(counts) if counts else np.empty((0, WIDTH)), found.column("lang").to_pylist())
 
