@@ -121,6 +121,39 @@ def test_packing_of_even_items_is_nearly_even():
     assert (totals.max(axis=1) / totals.min(axis=1) < 1.03).all()
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_beside_every_other_packing(seed):
+    """Nine items in three shards: hardly one of the 19,683 ways evens out bytes, tokens and rows better."""
+    r = np.random.default_rng(seed)
+    sizes = np.c_[r.lognormal(5, 0.6, 9), r.lognormal(3, 0.6, 9), r.integers(1, 5, 9)]
+    every = np.stack(np.unravel_index(np.arange(3**9), [3] * 9), axis=1)
+    share = sizes / sizes.sum(axis=0) * 3
+    loads = np.stack([np.where((every == s)[:, :, None], share, 0).sum(axis=1) for s in range(3)], axis=1)
+    cost = ((loads * [sharding.BYTES_FIRST, 1, 1]) ** 2).sum(axis=(1, 2))
+    own = np.flatnonzero((every == sharding.pack(sizes, 3)).all(axis=1))[0]
+    assert (cost < cost[own] - 1e-9).mean() < 0.01
+    assert loads[own, :, 0].max() < 1.07 * loads[:, :, 0].max(axis=1).min()
+
+
+def test_packing_evens_out_all_measures(frame):
+    r = random.Random(2)
+    rows = [(i, " ".join("w" * r.randint(1, 12) + str(i) for _ in range(int(r.lognormvariate(3, 1))))) for i in range(1200)]
+    packed = sharding.pack_documents(frame(rows, "doc_id bigint, text string"), 24).collect()
+    for measure in (lambda x: x["size"], lambda x: x["tokens"], lambda x: 1):
+        sums = np.bincount([x["shard"] for x in packed], [measure(x) for x in packed], 24)
+        assert sums.max() < 1.05 * sums.min()
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_packing_cuts_a_group_of_one_id(frame, hot):
+    rows = [(hot, "the same text")] * 900 + [(1000 + i, f"text {i} " * 3) for i in range(300)]
+    packed = sharding.pack_documents(frame(rows, "doc_id bigint, text string"), 6).collect()
+    sizes, _ = packed_well(packed, 6)
+    assert len(packed) == 1200 and max(sizes) < 1.1 * min(sizes)
+    counts = [sum(r["shard"] == s for r in packed) for s in range(6)]
+    assert max(counts) < 1.1 * min(counts)
+
+
 def test_packing_odd_rows(spark, none, odd):
     assert sharding.pack_documents(none, 4).count() == 0
     rows = sharding.pack_documents(odd, 3).collect()
@@ -397,6 +430,17 @@ def test_passages(frame, monkeypatch, block):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, x in expected.items() if not x[3]}
 
 
+def test_blocks_of_items_that_repeat_a_text(frame, monkeypatch):
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", 200)
+    items = [(i % 40, "one text of many items") for i in range(80)] + [(100, None), (101, ""), (None, "no id")]
+    benchmark = frame(items, "item_id int, text string")
+    blocks = list(contamination._blocks(benchmark, "item_id", "text"))
+    assert len(blocks) > 5 and all(sum(len(t) + len(str(i or "")) + 8 for i, t in b) <= 240 for b in blocks)
+    assert sorted(str(x) for b in blocks for x in b) == sorted(str(x) for x in set(items) if x[1])
+    found = rows_by_id(contamination.contamination(frame([(1, "here one text of many items")], "doc_id bigint, text string"), benchmark))
+    assert found[1]["items"] == sorted(str(i) for i in range(40))
+
+
 def test_suffix_array_is_sorted():
     texts = pa.array([t for _, t in corpus()])
     read = words.read_words(texts, words.ALPHANUMERIC)
@@ -510,6 +554,20 @@ def test_conversations(frame, monkeypatch):
     assert said[6] == "<|im_start|>\nx<|im_end|>\n"
 
 
+def test_conversations_whose_turns_share_a_number(frame, monkeypatch):
+    """Blocks by rows give what blocks by number give."""
+    turns = [(c, n, f"r{k % 3}", f"text {k:03d}") for c, n in ((1, 0), (2, None), (None, 0)) for k in range(40)]
+    turns += [(4, 0, f"r{k % 3}", f"text {k:03d}") for k in range(39)] + turns[:5] + [(5, t, "user", str(t)) for t in range(5)]
+    rows = frame(turns, "conv_id bigint, turn bigint, role string, text string")
+    plain = sorted(map(str, chat.render_conversations(rows).collect()))
+    assert len(plain) == 3
+    cut, real = [], chat.cut_into_runs
+    monkeypatch.setattr(chat, "CROWDED", 10)
+    monkeypatch.setattr(chat, "cut_into_runs", lambda df, order: cut.append(real(df, order, 7)) or cut[-1])
+    assert sorted(map(str, chat.render_conversations(rows).collect())) == plain
+    assert cut[0].select("conv_id", chat.RUN).distinct().count() > 5
+
+
 def test_conversations_odd_rows(frame):
     schema = "conv_id bigint, turn bigint, role string, text string"
     assert chat.render_conversations(frame([], schema)).count() == 0
@@ -661,6 +719,26 @@ def test_quality(frame):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, s in found.items() if s >= 0.7}
 
 
+def test_quality_of_ordinary_shape(frame):
+    """Bad texts with the case, punctuation and lengths of good ones: their words tell them, in long texts too."""
+    r = random.Random(4)
+    common = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    special = {0: ["cheap", "casino", "jackpot", "winner"], 1: ["theorem", "harvest", "parliament", "molecule"]}
+
+    def text(y):
+        n = r.choice([30, 60, 400])
+        return " ".join(r.choice(special[y]) if r.random() < 0.1 else r.choice(common) for _ in range(n)).capitalize() + "."
+
+    rows = [(i, text(int(i % 3 > 0))) for i in range(400)]
+    docs = frame(rows, "doc_id bigint, text string")
+    model = quality.train(docs, frame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id bigint, quality int"))
+    found = {x["doc_id"]: x["score"] for x in quality.score(docs, model).collect()}
+    assert np.mean([(found[i] >= 0.7) == (i % 3 > 0) for i in range(300, 400)]) > 0.95
+    texts = [t for _, t in rows[300:]]
+    assert [model.scores(pa.array([t]))[0] for t in texts] == model.scores(pa.array(texts)).tolist()
+    assert len(set(model.scores(pa.array(["Some casino opened here.", "Some theorem opened here."])).tolist())) == 2
+
+
 def test_quality_odd_rows(none, odd, frame):
     docs = frame([(1, "a text"), (2, "b text")], "doc_id bigint, text string")
     ones = quality.train(docs, frame([(1, 1), (2, 1)], "doc_id bigint, quality int"))
